@@ -17,8 +17,42 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(_read(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import decode, encode
+
+    return decode(encode(_read(spark, sf_dir, "documents")))
+
+
+def op3_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weighted_minhash import fingerprint
+
+    return fingerprint(_read(spark, sf_dir, "documents"))
+
+
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .store import new_path
+    from .token_rollup import Rollup, inserts
+
+    rollup = Rollup(spark, new_path(spark, "rollup"))
+    changes = inserts(_read(spark, sf_dir, "documents"))
+    rollup.apply("documents-0001", changes)
+    rollup.apply("documents-0001", changes)  # a repeated delivery: committed already, nothing is counted twice
+    return rollup.totals()
+
+
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return classify(docs, train(docs, _read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_sentencepiece_codec": op2_sentencepiece_codec,
+    "op3_consistent_weighted_sampling": op3_consistent_weighted_sampling,
+    "op4_token_rollup": op4_token_rollup,
+    "op5_quality_gam": op5_quality_gam,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -281,12 +281,11 @@ def near_edges(points: DataFrame, near: Near = Near(), leaf: int = 16_384, block
 def near_groups(docs: DataFrame, near: Near = Near(), **plan: int) -> DataFrame:
     """doc_id, f0..f3, size, group_id, keep for each row with words and a doc_id.
 
-    group_id is the smallest doc_id of the row's group; keep marks one row of each group
-    (of repeated rows with that doc_id, all are marked; see deduplicate).
+    group_id is the smallest doc_id of the row's group; keep marks the rows of that doc_id.
+    Rows that share a doc_id are one document, whatever their texts (see deduplicate).
     """
     prints = cut(fingerprints(docs))
     points = cut(prints.groupBy("size", *FP).agg(F.min("doc_id").alias("rep")))
-    # One doc_id may stand for several fingerprints (repeated ids): a point's own number keeps them apart.
     groups = components(near_edges(points, near, **plan))
     named = points.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("size", *FP, F.coalesce("root", "rep").alias("group_id"))
     out = prints.join(named, ["size", *FP])
