@@ -1,0 +1,330 @@
+"""PII: surrogates for detected entities by keyed permutations.
+
+Each entity is replaced by a keyed permutation of its own kind's values, so the
+same entity has the same surrogate wherever it stands (coreference) and two
+entities never share one (distinctness): the collision check is the permutation
+itself, which walks on until its value is a valid one of the same kind.  No
+table of entities is built and nothing is shuffled.
+
+* e-mail: letters and digits of the local part, and of the domain but its last
+  label, each permuted within their class; case and separators stay.
+* phone: the national digits are permuted, whatever the layout; country code,
+  brackets and separators stay.
+* card (Luhn-valid, 13 to 19 digits): first digit and grouping stay, the check
+  digit is made anew.  IBAN (valid): country and layout stay, check digits anew.
+* IPv4: permuted within its class (private ranges, loopback, public, other).
+* social security number (3-2-4 digits): digits permuted.
+* secrets: values named token, secret, password or key, and hexadecimal strings
+  of 32 to 64 digits: permuted within each character's class.
+* names: after a title that tells the gender, or a known given name with another
+  capitalised word.  A known given name becomes another one of the same gender
+  and script; other names are permuted letter by letter, vowels and consonants
+  apart, within their script, past the known ones.  Case and length of such
+  names stay.
+
+Digits that fail a kind's check (Luhn, octets above 255) are left alone.
+Results for odd input: a null text stays null; an empty one stays; texts
+without entities stay as they are; a key of no bytes is refused; equal rows give
+equal rows; extra columns pass through.  A permutation may map a value to
+itself, once in so many values as the kind has.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: For tests and checks; a production run passes a secret of its own.
+DEFAULT_KEY = b"weftline surrogate key"
+
+GIVEN = {
+    ("f", "latin"): "anna emma maria laura sofia julia elena lucia clara marie sarah alice jane mary susan linda karen nancy helga ingrid carmen pilar camille juliette".split(),
+    ("m", "latin"): "john james peter paul mark david daniel thomas michael robert william hans karl jürgen wolfgang carlos josé miguel pierre jean louis antoine luca marco".split(),
+    ("f", "cyrillic"): "анна мария елена ольга наталья ирина татьяна светлана юлия екатерина".split(),
+    ("m", "cyrillic"): "иван пётр алексей дмитрий сергей андрей николай михаил владимир олег".split(),
+    ("f", "greek"): "μαρία ελένη άννα σοφία κατερίνα ιωάννα".split(),
+    ("m", "greek"): "γιώργος δημήτρης νίκος κώστας γιάννης παύλος".split(),
+}
+_KNOWN = {name: (place, i) for place, names in GIVEN.items() for i, name in enumerate(names)}
+_TITLES = {
+    **dict.fromkeys(["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "Господин", "κύριος", "Κύριος"], "m"),
+    **dict.fromkeys(["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Señorita", "Madame", "Mme", "госпожа", "Госпожа", "κυρία", "Κυρία"], "f"),
+}
+_CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäöüëï", "ñçß", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψς"]
+_VOWELED = {c: k for k in _CLASSES for c in k}
+_PLAIN = {c: k for k in ("0123456789", "abcdefghijklmnopqrstuvwxyz") for c in k}
+
+_NAME_WORD = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
+_KNOWN_RE = "|".join(sorted((re.escape(n[0].upper() + n[1:]) for n in _KNOWN), key=len, reverse=True))
+PATTERN = re.compile(
+    "|".join(
+        [
+            r"(?P<email>(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@]))",
+            r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|secret[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/=.-]{8,})",
+            r"(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))",
+            r"(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))",
+            r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
+            r"(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))",
+            r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
+            r"(?P<phone>(?<![\w+(])(?:(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w))",
+            rf"(?P<title>\b(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\b\.? )(?P<name>{_NAME_WORD}(?: {_NAME_WORD})?)",
+            rf"(?P<full>\b(?:{_KNOWN_RE}) {_NAME_WORD})",
+        ]
+    )
+)
+#: A text that this linear-time expression doesn't match holds no entity; it only spares work.
+_MAYBE = "[0-9@]|" + "|".join(rf"{t}\.? " for t in _TITLES) + "|(?i:token|secret|passw|key)|" + "|".join(rf"{n[0].upper() + n[1:]} " for n in _KNOWN)
+
+
+def _prf(key: bytes, tweak: str, turn: int, value: int) -> int:
+    data = f"{tweak}\0{turn}\0{value}".encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=32).digest(), "big")
+
+
+def permute(key: bytes, tweak: str, value: int, domain: int, valid: Callable[[int], bool] | None = None) -> int:
+    """A keyed bijection of range(domain), or of its valid values: a Feistel network that walks its cycle until it is inside."""
+    if domain < 2:
+        return value
+    bits = max(2, (domain - 1).bit_length())
+    low = bits // 2
+    high = bits - low
+    while True:
+        a, b, wa, wb = value >> low, value & ((1 << low) - 1), high, low
+        for turn in range(10):
+            a, b, wa, wb = b, a ^ (_prf(key, f"{tweak}|{domain}", turn, b) & ((1 << wa) - 1)), wb, wa
+        value = (a << low) | b
+        if value < domain and (valid is None or valid(value)):
+            return value
+
+
+def _letters(key: bytes, tweak: str, text: str, classes: dict[str, str], valid: Callable[[str], bool] | None = None) -> str:
+    """text with each character of a class permuted, all together, within its class; case stays, other characters too."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    places = [i for i, c in enumerate(low) if c in classes]
+    radix = [classes[low[i]] for i in places]
+    value, domain = 0, 1
+    for i, r in zip(places, radix):
+        value, domain = value * len(r) + r.index(low[i]), domain * len(r)
+
+    def written(v: int) -> str:
+        out = list(low)
+        for i, r in zip(reversed(places), reversed(radix)):
+            v, k = divmod(v, len(r))
+            out[i] = r[k]
+        return "".join(out)
+
+    shape = "".join(classes[c][0] if c in classes else c for c in low)
+    new = written(permute(key, f"{tweak}|{shape}", value, domain, (lambda v: valid(written(v))) if valid else None))
+    return "".join(n.upper() if o != lo and len(n.upper()) == 1 else n for n, o, lo in zip(new, text, low))
+
+
+def _digits(text: str, new: str) -> str:
+    """text with its digits replaced by those of new."""
+    it = iter(new)
+    return "".join(next(it) if c.isdigit() else c for c in text)
+
+
+def luhn(digits: str) -> bool:
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def _card(key: bytes, text: str) -> str | None:
+    d = re.sub(r"\D", "", text)
+    if not d.isascii() or not luhn(d) or len(set(d)) == 1:
+        return None
+    middle = f"{permute(key, f'card|{d[0]}', int(d[1:-1]), 10 ** (len(d) - 2), lambda v: len(set(_checked(d[0] + f'{v:0{len(d) - 2}d}'))) > 1):0{len(d) - 2}d}"
+    return _digits(text, _checked(d[0] + middle))
+
+
+def _checked(digits: str) -> str:
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
+def _iban_mod(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _iban(key: bytes, text: str) -> str | None:
+    s = text.replace(" ", "")
+    if not 15 <= len(s) <= 34 or _iban_mod(s) != 1:
+        return None
+    account = _letters(key, f"iban|{s[:2]}", s[4:], _PLAIN)
+    new = s[:2] + f"{98 - _iban_mod(s[:2] + '00' + account):02d}" + account
+    it = iter(new)
+    return "".join(c if c == " " else next(it) for c in text)
+
+
+def _ip_class(v: int) -> int:
+    a, b = v >> 24, v >> 16 & 255
+    if a == 10:
+        return 1
+    if a == 172 and 16 <= b < 32:
+        return 2
+    if a == 192 and b == 168:
+        return 3
+    if a == 127:
+        return 4
+    return 5 if 0 < a < 224 else 6
+
+
+def _ip(key: bytes, text: str) -> str | None:
+    octets = text.split(".")
+    if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
+        return None
+    v = int.from_bytes(bytes(map(int, octets)), "big")
+    kind = _ip_class(v)
+    # The narrow classes are permuted within their own range; a walk over all addresses would be long.
+    fixed = {1: (0x0A000000, 24), 2: (0xAC100000, 20), 3: (0xC0A80000, 16), 4: (0x7F000000, 24)}
+    if kind in fixed:
+        base, bits = fixed[kind]
+        new = base + permute(key, f"ip|{kind}", v - base, 1 << bits)
+    else:
+        new = permute(key, f"ip|{kind}", v, 1 << 32, lambda x: _ip_class(x) == kind)
+    return ".".join(map(str, new.to_bytes(4, "big")))
+
+
+def _email(key: bytes, text: str) -> str:
+    local, _, domain = text.partition("@")
+    labels = domain.split(".")
+    return _letters(key, "local", local, _PLAIN) + "@" + ".".join([*(_letters(key, "domain", x, _PLAIN) for x in labels[:-1]), labels[-1]])
+
+
+def _phone(key: bytes, text: str) -> str | None:
+    country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+    head = country.group() if country else ""
+    rest = text[len(head) :]
+    d = re.sub(r"\D", "", rest)
+    if not d.isascii() or not 7 <= len(d) <= 14:
+        return None
+    # One number in two layouts, with or without its country code, has one surrogate.
+    return head + _digits(rest, f"{permute(key, f'phone|{len(d)}', int(d), 10 ** len(d)):0{len(d)}d}")
+
+
+def _ssn(key: bytes, text: str) -> str:
+    d = text.replace("-", "")
+    return _digits(text, f"{permute(key, 'ssn', int(d), 10**9):09d}")
+
+
+def _word(key: bytes, word: str, gender: str) -> str:
+    low = word.lower()
+    if low in _KNOWN:
+        (g, script), i = _KNOWN[low]
+        names = GIVEN[g, script]
+        new = names[permute(key, f"given|{g}|{script}", i, len(names))]
+        return new.upper() if word.isupper() and len(word) > 1 else new[0].upper() + new[1:]
+    return _letters(key, "name", word, _VOWELED, lambda w: w not in _KNOWN)
+
+
+def _name(key: bytes, text: str, gender: str) -> str:
+    return " ".join(_word(key, w, gender) for w in text.split(" "))
+
+
+def surrogate(key: bytes, kind: str, text: str, gender: str = "") -> str | None:
+    """The surrogate of an entity, or None if it isn't a valid one of its kind."""
+    if kind == "email":
+        return _email(key, text)
+    if kind == "phone":
+        return _phone(key, text)
+    if kind == "card":
+        return _card(key, text)
+    if kind == "iban":
+        return _iban(key, text)
+    if kind == "ip":
+        return _ip(key, text)
+    if kind == "ssn":
+        return _ssn(key, text)
+    if kind in ("secret", "hex"):
+        hexadecimal = {c: "0123456789abcdef" for c in "0123456789abcdef"}
+        return _letters(key, "secret", text, hexadecimal if re.fullmatch("[0-9a-f]+|[0-9A-F]+", text) else _PLAIN)
+    return _name(key, text, gender)
+
+
+@lru_cache(50_000)
+def _cached(key: bytes, kind: str, text: str, gender: str) -> str | None:
+    return surrogate(key, kind, text, gender)
+
+
+def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with surrogates, and (kind, start, length) of each in it."""
+    out, found, at, size = [], [], 0, 0
+    for m in PATTERN.finditer(text):
+        kind = m.lastgroup
+        new = _cached(key, kind, m.group(kind), _TITLES.get((m.group("title") or "").strip(" ."), ""))
+        if new is None:
+            continue
+        a, b = m.span(kind)
+        out += [text[at:a], new]
+        size += a - at
+        found.append(({"hex": "secret", "full": "name"}.get(kind, kind), size, len(new)))
+        size += len(new)
+        at = b
+    if not found:
+        return text, found
+    return "".join([*out, text[at:]]), found
+
+
+def _batch(texts: pa.Array, key: bytes) -> tuple[pa.Array, list[list[tuple[str, int, int]]]]:
+    maybe = pc.fill_null(pc.match_substring_regex(texts, _MAYBE), False).to_numpy(zero_copy_only=False)
+    found: list[list[tuple[str, int, int]]] = [[] for _ in range(len(texts))]
+    changed, values = maybe & False, []
+    for i in maybe.nonzero()[0].tolist():
+        new, found[i] = replace(texts[i].as_py(), key)
+        if found[i]:
+            changed[i] = True
+            values.append(new)
+    if values:
+        texts = pc.replace_with_mask(texts, pa.array(changed), pa.array(values, texts.type))
+    return texts, found
+
+
+def _key(key: bytes) -> bytes:
+    if not key:
+        raise ValueError("surrogates need a key")
+    return hashlib.sha256(key).digest()
+
+
+def _entities(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                texts, found = _batch(part.column(1), key)
+                lists = pa.array([[dict(zip(("kind", "start", "length"), e)) for e in x] for x in found], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), texts, lists], names=["doc_id", "text", "entities"])
+
+    return run
+
+
+def surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+    """doc_id, text with surrogates, entities (kind, start, length in characters of the new text) of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_entities(_key(key)), "doc_id long, text string, entities array<struct<kind: string, start: int, length: int>>")
+
+
+def _replaced(key: bytes, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                texts, _ = _batch(part.column(at), key)
+                yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(part.columns)], schema=part.schema)
+
+    return run
+
+
+def replace_all(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+    """docs, all columns, with surrogates in text; n_chars, if there, is the new text's length."""
+    out = docs.mapInArrow(_replaced(_key(key), docs.columns.index("text")), docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out

@@ -33,6 +33,9 @@ from . import text as T
 MARK = "▁"
 #: Bytes of text whose distinct words share one trie.
 TRIE_BYTES = 8 << 20
+#: Ids decoded at a time, and remembered pairs of pieces: bounds on memory alone.
+DECODE_IDS = 200_000
+MAX_PAIRS = 400_000
 
 
 def default_model() -> str:
@@ -141,6 +144,8 @@ class Codec:
                         break
                     ok = follows.get((p, i))
                     if ok is None:
+                        if len(follows) > MAX_PAIRS:
+                            follows.clear()
                         ok = follows[p, i] = self.apart(p, i)
                     if ok:
                         break
@@ -284,7 +289,13 @@ def _decode(path: str):
             lists = b.column(1)
             off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             ids = lists.flatten().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, b.column(2), c.decode_batch(off, ids)], names=["doc_id", "ids", "n_tokens", "text"])
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + DECODE_IDS, "right")) - 1)
+                part = b.slice(i, j - i)
+                texts = c.decode_batch(off[i : j + 1] - off[i], ids[off[i] : off[j]])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["doc_id", "ids", "n_tokens", "text"])
+                i = j
 
     return run
 
