@@ -79,7 +79,7 @@ def _dot(flat: np.ndarray, off: np.ndarray, w: np.ndarray) -> np.ndarray:
     return sums[off[1:]] - sums[off[:-1]]
 
 
-def fit_ordinal(flat: np.ndarray, off: np.ndarray, grade: np.ndarray, n_features: int, l1: float = 0.3, l2: float = 0.1, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(flat: np.ndarray, off: np.ndarray, grade: np.ndarray, n_features: int, l1: float = 0.02, l2: float = 0.02, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds; row i has the features flat[off[i]:off[i+1]].
 
     Accelerated proximal steps on the sum over thresholds of the logistic losses of
@@ -100,7 +100,7 @@ def fit_ordinal(flat: np.ndarray, off: np.ndarray, grade: np.ndarray, n_features
         r = p - y
         g = np.bincount(flat, np.repeat(r.sum(axis=1), width), n_features) + l2 * v
         new = v - rate * g
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
+        new = np.maximum(new - rate * l1, 0)
         new_b = np.maximum.accumulate(vb + b_rate * r.sum(axis=0))
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         if np.dot(v - new, new - w) > 0:
@@ -110,7 +110,7 @@ def fit_ordinal(flat: np.ndarray, off: np.ndarray, grade: np.ndarray, n_features
     return w, b
 
 
-def fit(rows: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, z: float = 4.0, grades: int = 3) -> Model:
+def fit(rows: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, z: float = 4.5, grades: int = 3) -> Model:
     """rows: each text's distinct feature numbers; counts: how often each stands there; label: grades, or 0 and 1."""
     weights = np.zeros(1 << BITS)
     label = np.maximum(np.asarray(label, np.int64), 0)
@@ -122,10 +122,11 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, z:
     n1, n0 = positive.sum(), (~positive).sum()
     c1 = np.bincount(flat[np.repeat(positive, width)], minlength=1 << BITS)
     c = np.bincount(flat, minlength=1 << BITS)
-    # Two-sample z score of the share of texts that have the feature; the rest can't tell the grades apart.
+    # Two-sample z score of the share of texts that have the feature. Weights are evidence for toxicity and not below 0,
+    # so that a long text can't outweigh it with harmless words.
     p = (c + 0.5) / (n0 + n1 + 1)
     score = (c1 / n1 - (c - c1) / max(1, n0)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / max(1, n0)))
-    chosen = np.flatnonzero((np.abs(score) >= z) & (c >= 3))
+    chosen = np.flatnonzero((score >= z) & (c >= 3))
     number = np.full(1 << BITS, -1)
     number[chosen] = np.arange(len(chosen))
     kept = number[flat] >= 0
@@ -137,7 +138,7 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, z:
     if label.max() == 1 and len(chosen):
         w, _ = fit_ordinal(small, off, label, len(chosen))
         evidence = np.zeros(1 << BITS)
-        evidence[chosen] = w > 0
+        evidence[chosen] = w > 0.1
         share = np.array([(evidence[r] * k).sum() / max(1, k.sum()) for r, k in zip(rows, counts)])
         cuts = np.quantile(share[positive], [i / grades for i in range(1, grades)])
         grade = np.where(positive, 1 + np.searchsorted(cuts, share, "right"), 0)
