@@ -8,33 +8,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType, _parse_datatype_string
+from pyspark.sql.types import _parse_datatype_string
 
 
 def arrow_type(ddl: str) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(ddl))
 
 
-def batched(fn: Callable[..., object], ddl: str | DataType) -> Callable[..., Column]:
-    """fn of plain values (null as None) as a function of columns.
+def batched(fn: Callable[..., object], ddl: str) -> Callable[..., Column]:
+    """fn of plain values (null as None) as a function of columns; it has to be deterministic.
 
-    Values of a batch are turned to Python once, and equal arguments give equal
-    results, so fn has to be deterministic.
+    The types are read from the DDL at the first use, which needs a session.
     """
-    text = ddl if isinstance(ddl, str) else ddl.simpleString()
-    kind = None
-
-    def run(*columns: pa.Array) -> pa.Array:
-        nonlocal kind
-        if kind is None:
-            kind = arrow_type(text)
-        return pa.array([fn(*row) for row in zip(*(c.to_pylist() for c in columns))], kind)
-
-    # The number of arguments is told by the signature, so there is one for each.
-    one = F.arrow_udf(lambda a: run(a), text)
-    two = F.arrow_udf(lambda a, b: run(a, b), text)
-    three = F.arrow_udf(lambda a, b, c: run(a, b, c), text)
-    return lambda *columns: (one, two, three)[len(columns) - 1](*columns)
+
+    def call(*columns: Column) -> Column:
+        kind = arrow_type(ddl)
+
+        def run(*arrays: pa.Array) -> pa.Array:
+            return pa.array([fn(*row) for row in zip(*(c.to_pylist() for c in arrays))], kind)
+
+        # Spark takes the number of arguments from the signature.
+        shapes = [lambda a: run(a), lambda a, b: run(a, b), lambda a, b, c: run(a, b, c)]
+        return F.arrow_udf(shapes[len(columns) - 1], ddl)(*columns)
+
+    return call
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,13 +71,22 @@ def cache_key(url: Column) -> Column:
     return F.sha2(url, 256)
 
 
-def extension_chains(path: Column) -> Column:
-    """Extensions of a path's last segment, longest first."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; it may be a Python UDF's, which body's lambdas couldn't hold."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chains(path: Column) -> Column:
     parts = F.split(F.lower(F.element_at(F.split(path, "/"), -1)), r"\.")
     at = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: (i < F.size(parts)) & (F.get(parts, i) != ""))
     return F.transform(at, lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))
 
 
+def extension_chains(path: Column) -> Column:
+    """Extensions of a path's last segment, longest first."""
+    return let(path, _chains)
+
+
 def under_domain(host: Column, domains: tuple[str, ...]) -> Column:
     """Whether the host is one of the domains or below one."""
     out = F.lit(False)

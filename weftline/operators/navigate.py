@@ -41,7 +41,8 @@ def siblings(nodes: DataFrame, page: str = "page_id") -> DataFrame:
     """page, node_id, sibling_id: an array over a window in place of a self-join, then exploded."""
     e = elements(nodes)
     w = Window.partitionBy(page, "parent_id")
-    return e.select(page, "node_id", F.explode(F.filter(F.collect_list("node_id").over(w), lambda x: x != F.col("node_id"))).alias("sibling_id"))
+    rows = e.select(page, "node_id", F.collect_list("node_id").over(w).alias("__row"))
+    return rows.select(page, "node_id", F.explode(F.filter("__row", lambda x: x != F.col("node_id"))).alias("sibling_id"))
 
 
 def neighbours(nodes: DataFrame, page: str = "page_id") -> DataFrame:

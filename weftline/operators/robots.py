@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import batched
-from ..functions.url import url_parts
+from ..functions.url import let, url_parts
 from ..kernel import robots as K
 
 _RULES = "struct<rules: array<struct<allow: boolean, pattern: string, regex: string, specificity: int>>, delay: double>"
@@ -36,7 +36,7 @@ def rule_rows(documents: DataFrame, agent: str) -> DataFrame:
 
 def decide(target: Column, rules_: Column) -> Column:
     """The longest matching rule decides, allow before disallow; none allows.  Works on the array alone, without a second shuffle."""
-    hits = F.filter(rules_, lambda r: F.rlike(target, r["regex"]))
+    hits = let(target, lambda t: F.filter(rules_, lambda r: F.rlike(t, r["regex"])))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["specificity"].alias("n"), r["allow"].alias("allow"))))
     return F.coalesce(best["allow"], F.lit(True))
 

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import pages, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pages.query.queries, **tables.query.queries}
+ORACLE_SQL: dict[str, str] = {**pages.query.sql, **tables.query.sql}
