@@ -967,7 +967,7 @@ def parse(html: str | None) -> Node:
         kind = m.lastgroup
         if kind == "attrs" or kind == "name":
             name, attrs = m.group("name"), m.group("attrs")
-            follow = b.start(name if name.islower() else name.lower(), _attributes(attrs) if attrs else {}, html[at - 2] == "/")
+            follow = b.start(name if name.islower() else name.lower(), _attributes(attrs) if attrs else {}, html[at - 2] == "/" and not attrs.endswith("/"))
         elif kind == "end":
             b.end(m.group("end").lower())
             continue
