@@ -5,8 +5,10 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
+HERE = str(Path(__file__).resolve().parent)
+sys.path[:0] = [ROOT, HERE]
+# Python workers load functions of the package and of the test modules by name.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, HERE, f"{HERE}/llm", os.environ.get("PYTHONPATH")]))
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 

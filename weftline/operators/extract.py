@@ -61,7 +61,7 @@ def page_udf(fn: Callable[[Page], object], ddl: str) -> Callable[[Column, Column
     return batched(lambda html, url: fn(Page(html, url or "")), ddl)
 
 
-def extract(pages: DataFrame, fields: Mapping[str, str | Field], html: str = "html", url: str = "url", each: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def extract(pages: DataFrame, fields: Mapping[str, str | Field], html: str = "html", each: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """A column for each field; with each, a row (pos from 0) for every match of that query, and the fields are looked up below it.
 
     keep: columns to carry, all but html by default.  One parse a page, however many fields.
@@ -69,23 +69,22 @@ def extract(pages: DataFrame, fields: Mapping[str, str | Field], html: str = "ht
     wanted = {name: _field(f) for name, f in fields.items()}
     row = f"struct<{', '.join(f'`{n}`: {f.ddl()}' for n, f in wanted.items())}>"
     carried = keep if keep is not None else [c for c in pages.columns if c != html]
-    base = F.col(url) if url in pages.columns else F.lit("")
     names = list(wanted)
     if each is None:
         kind = arrow_type(row)
 
-        def run(h: pa.Array, u: pa.Array) -> pa.Array:
+        def run(h: pa.Array) -> pa.Array:
             rows = [[wanted[n].of(p) for n in names] for p in map(Page, h.to_pylist())]
             return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind.field(k).type) for k in range(len(names))], fields=[kind.field(k) for k in range(len(names))])
 
-        got = F.arrow_udf(run, row)(F.col(html), base)
+        got = F.arrow_udf(run, row)(F.col(html))
         return spread(pages).withColumn("__got", got).select(*carried, *(F.col("__got")[n].alias(n) for n in names))
     scopes = compile_query(each)
 
     def below(p: Page) -> list[dict]:
         return [{n: f.of(p, x) for n, f in wanted.items()} for x in p.select(scopes)]
 
-    got = page_udf(below, f"array<{row}>")(F.col(html), base)
+    got = page_udf(below, f"array<{row}>")(F.col(html), F.lit(""))
     return spread(pages).select(*carried, F.posexplode(got).alias("pos", "__got")).select(*carried, "pos", *(F.col("__got")[n].alias(n) for n in names))
 
 
