@@ -310,4 +310,7 @@ def deduplicate(docs: DataFrame, near: Near = Near(), **plan: int) -> DataFrame:
     once = left.join(again, left["doc_id"].cast("long") == again["__again_id"], "left_anti")
     twice = left.join(again, left["doc_id"].cast("long") == again["__again_id"], "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return once.unionByName(twice.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth"))
+    nth = "__nth"
+    while nth in docs.columns:
+        nth += "_"
+    return once.unionByName(twice.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth))
