@@ -1,14 +1,18 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
 A text's features are its distinct words (letters, lower case) and the first 4
-and 6 bytes of each, hashed.  All thresholds share one weight vector:
-P(grade >= k) = sigmoid(w.x - threshold_k), thresholds in order, and the result
-is the expected grade, sum over k of P(grade >= k).
+to 8 bytes of each, hashed, and each of them at several levels: from one, two or
+four occurrences on, and from shares of half a per cent, one, two or four of the
+text's words on, so that a word that long harmless texts hold by chance weighs
+little.  All thresholds share one weight vector: P(grade >= k) =
+sigmoid(w.x - threshold_k), thresholds in order, and the result is the expected
+grade, sum over k of P(grade >= k).
 
 Labels may hold grades themselves.  Labels of 0 and 1 alone tell no degrees, so
 positives are then graded 1 to 3 by how much of the text the evidence fills: a
-first fit with one threshold gives the words that count as evidence, and the
-positives are cut at the terciles of their share of such words.
+first fit with one threshold gives the features that count as evidence, positives
+with evidence are cut at the terciles of their share of it, and those without
+have grade 1.
 
 Results for odd input: a null or empty text has no features and gets the grade of
 the thresholds alone, which is lowest; without labels of two grades every
@@ -32,11 +36,14 @@ from .labelled import labelled
 BITS = 20
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
-PREFIXES = (4, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+#: Levels of a feature: occurrences, then shares of the words.
+COUNTS, SHARES = np.array([1, 2, 4]), np.array([0.005, 0.01, 0.02, 0.04])
+LEVELS = len(COUNTS) + len(SHARES)
 
 
 def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, 3) feature numbers of a chunk's words, and each text's range among the words."""
+    """(words, 1 + prefixes) feature numbers of a chunk's words, and each text's range among the words."""
     low = T.lower(data)
     starts, ends, woff = T.split(low, off, T.LETTERS)
     if not len(starts):
@@ -49,24 +56,36 @@ def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.stack([(h >> np.uint64(64 - BITS)).astype(np.int64) for h in hashes], axis=1), woff
 
 
+def levels(count: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """(n, LEVELS) of which levels a feature reaches that stands count times among so many words."""
+    return np.concatenate([count[:, None] >= COUNTS, count[:, None] >= SHARES * words[:, None]], axis=1)
+
+
 @dataclass
 class Model:
-    """weights by feature number; thresholds in increasing order (empty: constant)."""
+    """weights: (features, LEVELS) of the feature numbers ids, in order; thresholds in increasing order (empty: constant)."""
 
+    ids: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
     def linear(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
+        if not len(self.ids):
+            return out
+        place = np.full(1 << BITS, -1, np.int32)
+        place[self.ids] = np.arange(len(self.ids))
         for i, j, data, off in T.chunks(texts):
             f, woff = word_features(data, off)
             if not len(f):
                 continue
-            doc = np.repeat(T.doc_of(woff), f.shape[1])
-            f = f.ravel()
-            used = np.flatnonzero(self.weights[f])
-            key = np.unique((doc[used] << BITS) | f[used])
-            out[i:j] = np.bincount(key >> BITS, self.weights[key & ((1 << BITS) - 1)], len(off) - 1)
+            at = place[f.ravel()]
+            used = np.flatnonzero(at >= 0)
+            doc = T.doc_of(woff)[used // f.shape[1]]
+            key, count = np.unique(doc * len(self.ids) + at[used], return_counts=True)
+            doc, at = np.divmod(key, len(self.ids))
+            value = (self.weights[at] * levels(count, np.diff(woff)[doc])).sum(axis=1)
+            out[i:j] = np.bincount(doc, value, len(off) - 1)
         return out
 
     def at_least(self, linear: np.ndarray) -> np.ndarray:
@@ -112,40 +131,47 @@ def fit_ordinal(flat: np.ndarray, off: np.ndarray, grade: np.ndarray, n_features
 
 def fit(rows: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, z: float = 4.5, grades: int = 3) -> Model:
     """rows: each text's distinct feature numbers; counts: how often each stands there; label: grades, or 0 and 1."""
-    weights = np.zeros(1 << BITS)
+    constant = Model(np.zeros(0, np.int64), np.zeros((0, LEVELS)), np.zeros(0))
     label = np.maximum(np.asarray(label, np.int64), 0)
     if len(label) == 0 or label.min() == label.max():
-        return Model(weights, np.zeros(0))
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        return constant
     width = np.array([len(r) for r in rows])
+    flat, count = (np.concatenate(x).astype(np.int64) if len(x) else np.zeros(0, np.int64) for x in (rows, counts))
+    text = np.repeat(np.arange(len(rows)), width)
+    # Every word stands once for each kind of feature.
+    words = np.array([c.sum() for c in counts]) // (1 + len(PREFIXES))
+    at, level = np.nonzero(levels(count, words[text]))
+    flat, text = flat[at] * LEVELS + level, text[at]
     positive = label > 0
     n1, n0 = positive.sum(), (~positive).sum()
-    c1 = np.bincount(flat[np.repeat(positive, width)], minlength=1 << BITS)
-    c = np.bincount(flat, minlength=1 << BITS)
+    c1 = np.bincount(flat[positive[text]], minlength=LEVELS << BITS)
+    c = np.bincount(flat, minlength=LEVELS << BITS)
     # Two-sample z score of the share of texts that have the feature. Weights are evidence for toxicity and not below 0,
     # so that a long text can't outweigh it with harmless words.
     p = (c + 0.5) / (n0 + n1 + 1)
     score = (c1 / n1 - (c - c1) / max(1, n0)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / max(1, n0)))
     chosen = np.flatnonzero((score >= z) & (c >= 3))
-    number = np.full(1 << BITS, -1)
+    number = np.full(LEVELS << BITS, -1)
     number[chosen] = np.arange(len(chosen))
     kept = number[flat] >= 0
-    off = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(width)])]
+    off = np.concatenate([[0], np.cumsum(np.bincount(text[kept], minlength=len(rows)))])
     small = number[flat[kept]]
-    if not len(chosen):
-        small, off = np.zeros(0, np.int64), np.zeros(len(label) + 1, np.int64)
     grade = label
     if label.max() == 1 and len(chosen):
         w, _ = fit_ordinal(small, off, label, len(chosen))
         evidence = np.zeros(1 << BITS)
-        evidence[chosen] = w > 0.1
+        evidence[chosen[w > 0.1] // LEVELS] = 1
         share = np.array([(evidence[r] * k).sum() / max(1, k.sum()) for r, k in zip(rows, counts)])
-        cuts = np.quantile(share[positive], [i / grades for i in range(1, grades)])
+        known = positive & (share > 0)
+        cuts = np.quantile(share[known], [i / grades for i in range(1, grades)]) if known.any() else np.ones(grades - 1)
         grade = np.where(positive, 1 + np.searchsorted(cuts, share, "right"), 0)
     w, b = fit_ordinal(small, off, grade, max(1, len(chosen)))
+    ids, inverse = np.unique(chosen // LEVELS, return_inverse=True)
+    weights = np.zeros((len(ids), LEVELS))
     if len(chosen):
-        weights[chosen] = w
-    return Model(weights, b)
+        weights[inverse, chosen % LEVELS] = w
+    some = weights.any(axis=1)
+    return Model(ids[some], weights[some], b)
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
