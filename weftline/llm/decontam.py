@@ -2,7 +2,7 @@
 
 Words are letters and digits in lower case.  A first pass over the documents
 counts, for each n-gram of the benchmark, the documents that hold it.  Each item
-then keeps the rarest half of its own n-grams as seeds (a rank within the item,
+then keeps the rarest four fifths of its own n-grams as seeds (a rank within the item,
 so a leak into many documents can't use its seeds up).  A second pass finds the
 seeds in every text and aligns the passage around the hits with the item, word
 by word; the score is that of the best local alignment as a share of the item's
@@ -33,7 +33,7 @@ GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a passage counts as a copy.
 THRESHOLD = 0.5
-RARE_SHARE = 0.5
+RARE_SHARE = 0.8
 LEAST_SEEDS = 8
 SLICE_ITEMS = 20_000
 
