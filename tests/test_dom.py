@@ -74,7 +74,7 @@ def test_navigation(page):
 
 
 def test_find_by_text_prefers_the_deepest_and_regex_the_outermost(page):
-    root = page.root
+    root = page.posted()
     assert dom.find_by_text(root, "deep", partial=True).tag == "span"
     assert dom.find_by_text(root, "deep", first=False, partial=True).tag == "span"
     assert dom.find_by_text(root, "deep").tag == "span" and dom.find_by_text(root, " deep ") is None

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftline.kernel import dom
-from weftline.kernel.html import Node, number, parse
+from weftline.kernel.html import Node, number, number_last, number_post, parse
 
 
 def shape(n: Node) -> str:
@@ -76,7 +76,15 @@ def test_serialisation_round_trip():
 def test_any_tag_soup_gives_a_sound_tree(parts):
     root = parse("".join(parts))
     order = number(root)
+    number_post(order)
+    number_last(order)
     assert [n.pre for n in order] == list(range(len(order)))
+
+    def walk(n):
+        return [x for k in n.kids for x in walk(k)] + [n]
+
+    after = walk(root)
+    assert [n.post for n in after] == list(range(len(order))) and all(n.last == max(x.pre for x in walk(n)) for n in order)
     for n in order:
         for k in n.kids:
             assert k.parent is n

@@ -185,6 +185,16 @@ def test_fetch(spark, server):
     assert [r["body"] for r in robots.collect()] == [None]
 
 
+def test_crawl_over_http(spark, server, tmp_path):
+    config = C.CrawlConfig(autothrottle_enabled=True, autothrottle_start_delay=0.01, autothrottle_max_delay=0.05)
+    seeds = spark.createDataFrame([(f"{server}/r",), (f"{server}/none",)], "url string")
+    done = C.crawl(spark, seeds, spiders.crawl_spider([], titles), f"file://{tmp_path}/c", config, fetch=C.http(config, FetchConfig(retries=0)))
+    assert sorted((r["outcome"], r["status"]) for r in done.events.collect()) == [("parsed", 200), ("parsed", 404)]
+    # Items are told by the final address.
+    assert [json.loads(r["item"]) for r in done.items.collect()] == [{"url": f"{server}/ok", "title": "é"}]
+    assert done.counters().first()["requests_count"] == 2
+
+
 def test_text_columns(spark):
     df = spark.createDataFrame([(" \xa0a\r\n\tb ",), ("",), (None,)], "t string")
     got = df.select(X.strip(F.col("t")), X.clean(F.col("t")), X.replace(F.col("t"), "", "-"), F.size(X.split(F.col("t"), "")), X.re_all(F.col("t"), "(x)?[ab]"), X.re_all(F.col("t"), "("), X.safe_segment(F.col("t"))).collect()

@@ -11,11 +11,13 @@ gives a query without matches.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import attrgetter
 
-from .html import TEXT, Node
+from .html import TEXT, Node, number_last
 
 Test = Callable[[Node], bool]
 _IDENT = r"(?:--|-?(?:[A-Za-z_\u0080-\U0010ffff]|\\(?:[0-9a-fA-F]{1,6}\s?|[^\n0-9a-fA-F])))(?:[\w\u0080-\U0010ffff-]|\\(?:[0-9a-fA-F]{1,6}\s?|[^\n0-9a-fA-F]))*"
@@ -312,40 +314,54 @@ class Query:
     want: str = ""
     attr: str = ""
 
-    def select(self, scope: Node, index: Index | None = None) -> list[Node]:
-        """Matches among the descendants of scope, in document order."""
+    def select(self, index: Index, scope: Node | None = None) -> list[Node]:
+        """Matches among the descendants of scope, or in the whole document, in document order."""
         out: dict[int, Node] = {}
         for s in self.selectors:
-            for x in index.candidates(s.right) if index else _below(scope):
-                if x.pre not in out and s.matches(x):
+            plain = not s.left and len(s.right.tests) == 1 and bool(s.right.cls or s.right.tag)
+            for x in index.candidates(s.right, scope):
+                # An index of the only test needs no second look.
+                if plain or s.matches(x):
                     out[x.pre] = x
         return list(out.values()) if len(self.selectors) == 1 else [out[k] for k in sorted(out)]
 
 
 class Index:
-    """Elements of a whole document by tag, class and id, each made when first asked for."""
-
-    def __init__(self, root: Node) -> None:
-        self.all = list(_below(root))
-        self._tags: dict[str, list[Node]] | None = None
-        self._classes: dict[str, list[Node]] | None = None
-
-    def candidates(self, c: Compound) -> list[Node]:
-        if c.cls:
-            if self._classes is None:
-                self._classes = {}
-                for x in self.all:
-                    if "class" in x.attrs:
-                        for name in dict.fromkeys(x.attrs["class"].split()):
-                            self._classes.setdefault(name, []).append(x)
-            return self._classes.get(c.cls, [])
-        if c.tag:
-            if self._tags is None:
-                self._tags = {}
-                for x in self.all:
-                    self._tags.setdefault(x.tag, []).append(x)
-            return self._tags.get(c.tag, [])
-        return self.all
+    """Elements of a numbered document by tag, class and id, each made when first asked for."""
+
+    def __init__(self, order: list[Node]) -> None:
+        self.order = order
+        self.all = [x for x in order if x.tag[0] != "#"]
+        self._by: dict[str, dict[str, list[Node]]] = {}
+        self._bounded = False
+
+    def _named(self, kind: str) -> dict[str, list[Node]]:
+        if kind not in self._by:
+            out = self._by[kind] = {}
+            for x in self.all:
+                if kind == "tag":
+                    names = (x.tag,)
+                elif kind in x.attrs:
+                    names = dict.fromkeys(x.attrs[kind].split()) if kind == "class" else (x.attrs[kind],)
+                else:
+                    continue
+                for name in names:
+                    out.setdefault(name, []).append(x)
+        return self._by[kind]
+
+    def candidates(self, c: Compound, scope: Node | None = None) -> list[Node]:
+        """Elements below scope that the compound may match."""
+        found = self._named("id").get(c.id, []) if c.id else self._named("class").get(c.cls, []) if c.cls else self._named("tag").get(c.tag, []) if c.tag else self.all
+        if scope is None or scope.parent is None:
+            return found
+        if not self._bounded:
+            number_last(self.order)
+            self._bounded = True
+        low = bisect_right(found, scope.pre, key=_pre)
+        return found[low : bisect_right(found, scope.last, low, key=_pre)]
+
+
+_pre = attrgetter("pre")
 
 
 _SUFFIX = re.compile(r"::(?:(text)|attr\(([^()]*)\))\s*$")

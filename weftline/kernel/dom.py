@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 from .css import Index, Query, compile_query, elements
-from .html import COMMENT, DOCTYPE, DOCUMENT, PI, RAW, TEXT, VOID, Node, parse
+from .html import COMMENT, DOCTYPE, DOCUMENT, PI, RAW, TEXT, VOID, Node, number, number_post, parse
 
 #: Unicode White_Space; str.strip() also takes the separators U+001C to U+001F.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -19,16 +18,24 @@ class Page:
     def __init__(self, html: str | None, url: str = "") -> None:
         self.root, self.url = parse(html), url
         self._index: Index | None = None
+        self._posted = False
 
     @property
     def index(self) -> Index:
         if self._index is None:
-            self._index = Index(self.root)
+            self._index = Index(number(self.root))
         return self._index
 
+    def posted(self) -> Node:
+        """The root, once all nodes have their numbers in document order and in post-order."""
+        if not self._posted:
+            number_post(self.index.order)
+            self._posted = True
+        return self.root
+
     def select(self, query: str | Query, scope: Node | None = None) -> list[Node]:
         q = compile_query(query) if isinstance(query, str) else query
-        return q.select(scope or self.root, None if scope else self.index)
+        return q.select(self.index, scope)
 
     def values(self, query: str | Query, scope: Node | None = None) -> list[str]:
         """The text, attribute or outer HTML of each match; empty texts and missing attributes are left out."""
@@ -45,11 +52,6 @@ class Page:
         return found[0] if found else None
 
 
-@lru_cache(8)
-def page(html: str, url: str = "") -> Page:
-    return Page(html, url)
-
-
 # ---- text ----
 
 
@@ -196,7 +198,7 @@ def find_all_by_text(node: Node, text: str, partial: bool = False, case_sensitiv
 
 
 def find_by_text(node: Node, text: str, first: bool = True, partial: bool = False, case_sensitive: bool = True) -> Node | None:
-    """The first match of a deepest-first walk, or the last in document order."""
+    """The first match of a deepest-first walk, or the last in document order; the tree has to be numbered (Page.posted)."""
     found = find_all_by_text(node, text, partial, case_sensitive)
     if not found:
         return None

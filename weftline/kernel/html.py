@@ -20,13 +20,13 @@ DOCUMENT, TEXT, COMMENT, DOCTYPE, PI = "#document", "#text", "#comment", "#docty
 class Node:
     """tag: lower-case name, or one of the kinds above; attrs: in document order; data: of text and comments."""
 
-    __slots__ = ("tag", "attrs", "parent", "kids", "data", "foreign", "pre", "post")
+    __slots__ = ("tag", "attrs", "parent", "kids", "data", "foreign", "pre", "post", "last")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, data: str = "", foreign: str = "") -> None:
         self.tag, self.attrs, self.data, self.foreign = tag, attrs if attrs is not None else {}, data, foreign
         self.parent: Node | None = None
         self.kids: list[Node] = []
-        self.pre = self.post = -1
+        self.pre = self.post = self.last = -1
 
     @property
     def is_element(self) -> bool:
@@ -809,6 +809,17 @@ class Builder:
             self.mode = self.template_modes.pop() if self.template_modes else "body"
 
     def _body_end(self, tag: str) -> None:
+        top = self.open[-1]
+        if top.tag == tag and not top.foreign and len(self.open) > 2:
+            # The common case, in which all of the rules below come to this.
+            if tag in FORMATTING:
+                if self.active and self.active[-1] is top:
+                    self.active.pop()
+                    self.open.pop()
+                    return
+            elif tag in _CLOSES or tag == "p" or tag == "li" or tag in HEADINGS or tag not in _SPECIAL:
+                self.open.pop()
+                return
         if tag == "p":
             if not self.in_scope("p", _BUTTON_SCOPE):
                 self.insert("p", {})
@@ -949,7 +960,7 @@ def _raw_end(tag: str) -> re.Pattern[str]:
 
 
 def parse(html: str | None) -> Node:
-    """The document node; nodes are numbered in pre-order (pre) and post-order (post)."""
+    """The document node of a tree that isn't numbered yet (see number)."""
     html = html or ""
     if "\r" in html:
         html = html.replace("\r\n", "\n").replace("\r", "\n")
@@ -1009,25 +1020,38 @@ def parse(html: str | None) -> Node:
                 b.text(unescape(data) if follow in RCDATA and "&" in data else data)
             b.open.pop()
     b._to_body()
-    number(b.root)
     return b.root
 
 
 def number(root: Node) -> list[Node]:
-    """Numbers the nodes; returns them in document order."""
+    """Numbers the nodes in document order (pre) and returns them so."""
     order: list[Node] = []
-    stack: list[tuple[Node, int]] = [(root, 0)]
-    root.pre, post = 0, 0
-    order.append(root)
+    put, stack = order.append, [root]
+    pop, push = stack.pop, stack.extend
     while stack:
-        node, k = stack.pop()
-        if k < len(node.kids):
-            stack.append((node, k + 1))
-            kid = node.kids[k]
-            kid.pre = len(order)
-            order.append(kid)
-            stack.append((kid, 0))
-        else:
-            node.post = post
-            post += 1
+        node = pop()
+        node.pre = len(order)
+        put(node)
+        if node.kids:
+            push(reversed(node.kids))
     return order
+
+
+def number_post(order: list[Node]) -> None:
+    """Numbers nodes in post-order (post): a node's place is after all that end before it does."""
+    # A node ends after its descendants and before all that begin later, so post = pre + descendants - ancestors.
+    below = [0] * len(order)
+    for node in reversed(order):
+        if node.parent is not None:
+            below[node.parent.pre] += below[node.pre] + 1
+    depth = [0] * len(order)
+    for node in order:
+        if node.parent is not None:
+            depth[node.pre] = depth[node.parent.pre] + 1
+        node.post = node.pre + below[node.pre] - depth[node.pre]
+
+
+def number_last(order: list[Node]) -> None:
+    """Sets last: the number of each node's last descendant, or its own."""
+    for node in reversed(order):
+        node.last = node.kids[-1].last if node.kids else node.pre

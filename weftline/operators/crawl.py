@@ -56,6 +56,20 @@ class CrawlConfig:
     is_blocked: Callable[[int], bool] | None = field(default=None, compare=False)
 
 
+def http(config: CrawlConfig, settings: object = None, sessions: dict[str, object] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A fetch function for crawl() with the configuration's delays; at most so many domains at a time as it allows requests."""
+    from ..kernel.fetching import FetchConfig
+    from ..kernel.throttle import Throttle
+    from ..sources.fetch import fetch_requests
+
+    pace = Throttle(config.autothrottle_start_delay, config.autothrottle_max_delay, config.autothrottle_target_concurrency) if config.autothrottle_enabled else None
+
+    def run(requests: DataFrame) -> DataFrame:
+        return fetch_requests(requests, settings or FetchConfig(), sessions, config.download_delay, pace, lanes=max(1, config.concurrent_requests))
+
+    return run
+
+
 @dataclass
 class CrawlResult:
     """Tables of a crawl; paused: requests are left."""

@@ -131,7 +131,7 @@ def _attrs(attrs: dict[str, str]) -> list[dict]:
 
 
 def _nodes(p: Page) -> list[dict]:
-    out, stack = [], [(p.root, -1, 0, 0)]
+    out, stack = [], [(p.posted(), -1, 0, 0)]
     while stack:
         n, up, depth, place = stack.pop()
         out.append({"node_id": n.pre, "parent_id": up if up >= 0 else None, "post": n.post, "depth": depth, "sib_pos": place, "kind": n.tag[1:] if n.tag[0] == "#" else "element", "tag": dom.tag_name(n), "attrs": _attrs(n.attrs), "text": n.data if n.tag[0] == "#" and n.tag != "#document" else dom.own_text(n)})
@@ -164,15 +164,15 @@ def _found(n: Node | None) -> dict | None:
 
 
 def find_by_text(html: Column, text: str, first: bool = True, partial: bool = False, case_sensitive: bool = True) -> Column:
-    return page_udf(lambda p: _found(dom.find_by_text(p.root, text, first, partial, case_sensitive)), _FOUND)(html, F.lit(""))
+    return page_udf(lambda p: _found(dom.find_by_text(p.posted(), text, first, partial, case_sensitive)), _FOUND)(html, F.lit(""))
 
 
 def find_all_by_text(html: Column, text: str, partial: bool = False, case_sensitive: bool = True) -> Column:
-    return page_udf(lambda p: [_found(x) for x in dom.find_all_by_text(p.root, text, partial, case_sensitive)], f"array<{_FOUND}>")(html, F.lit(""))
+    return page_udf(lambda p: [_found(x) for x in dom.find_all_by_text(p.posted(), text, partial, case_sensitive)], f"array<{_FOUND}>")(html, F.lit(""))
 
 
 def find_by_regex(html: Column, pattern: str, first: bool = True, case_sensitive: bool = True) -> Column:
-    return page_udf(lambda p: _found(dom.find_by_regex(p.root, pattern, first, case_sensitive)), _FOUND)(html, F.lit(""))
+    return page_udf(lambda p: _found(dom.find_by_regex(p.posted(), pattern, first, case_sensitive)), _FOUND)(html, F.lit(""))
 
 
 def paths(pages: DataFrame, query: str, full: bool = False, html: str = "html", keep: list[str] | None = None) -> DataFrame:

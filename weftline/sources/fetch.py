@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..kernel import throttle as K
 from ..kernel import url as U
 from ..kernel.fetching import FetchConfig, Proxies, Response, Sessions, fetch
 
@@ -27,28 +28,35 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(_KINDS), _KINDS)], names=_NAMES)
 
 
-def fetch_requests(requests: DataFrame, config: FetchConfig = FetchConfig(), sessions: dict[str, FetchConfig] | None = None, delay: float = 0.0, batch: int = 32) -> DataFrame:
-    """Responses of requests (url; method, session_id, headers, body if there). A domain's requests come to one task, delay seconds apart."""
+def fetch_requests(requests: DataFrame, config: FetchConfig = FetchConfig(), sessions: dict[str, FetchConfig] | None = None, delay: float = 0.0, throttle: K.Throttle | None = None, lanes: int | None = None, batch: int = 32) -> DataFrame:
+    """Responses of requests (url; method, session_id, headers, body if there).
+
+    A domain's requests come to one task, one after the other: delay seconds apart, or by an adaptive delay that is never below it. lanes: tasks that fetch at a time.
+    """
     known = {"url": "string", "method": "string", "session_id": "string", "headers": "map<string,string>", "body": "string"}
     rows = requests.select(*((F.col(c) if c in requests.columns else F.lit(None)).cast(k).alias(c) for c, k in known.items()))
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotating, out, last = Proxies(list(config.rotating_proxies)), [], {}
+        rotating, out = Proxies(list(config.rotating_proxies)), []
+        pace = throttle or K.Throttle(0.0, delay)
+        slots: dict[str, K.Slot] = {}
         named = Sessions({"default": config} | (sessions or {}))
         for b in batches:
             for url, method, session, headers, body in zip(*(c.to_pylist() for c in b.columns)):
-                if delay:
-                    domain = U.host(url) or ""
-                    time.sleep(max(0.0, last.get(domain, 0.0) + delay - time.monotonic()))
-                    last[domain] = time.monotonic()
-                out.append(_row(url, named.fetch(session, url, method=method or "GET", body=body, headers=dict(headers or []), proxies=rotating)))
+                now = time.monotonic()
+                slot = slots.setdefault(U.host(url) or "", K.slot(pace, delay, now))
+                time.sleep(K.reserve(pace, slot, delay, now))
+                r = named.fetch(session, url, method=method or "GET", body=body, headers=dict(headers or []), proxies=rotating)
+                if throttle is not None and r.error_kind is None:
+                    K.record(pace, slot, r.latency_s, r.status, K.retry_after(r.headers.get("retry-after")), delay, time.monotonic())
+                out.append(_row(url, r))
                 if len(out) == batch:
                     yield _batch(out)
                     out = []
         yield _batch(out)
 
-    return rows.repartition(host).mapInArrow(run, RESPONSE)
+    return (rows.repartition(lanes, host) if lanes else rows.repartition(host)).mapInArrow(run, RESPONSE)
 
 
 class _Urls(InputPartition):
