@@ -35,10 +35,13 @@ def batched(fn: Callable[..., object], ddl: str) -> Callable[..., Column]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores.
+    """df in at least as many partitions as there are cores, if it is a plain scan of few row groups.
 
-    A table of few row groups would else keep most cores idle in a Python stage.
-    A larger one comes in more partitions by itself and isn't shuffled.
+    Those would else keep most cores idle in a Python stage.  A larger table comes in
+    more partitions by itself and isn't shuffled; neither is what comes from a
+    shuffle or a stream, and such a plan isn't run to find out.
     """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -161,7 +161,10 @@ def _round(waiting: DataFrame, config: CrawlConfig, cache: DataFrame | None, fet
     response = lambda df: df.select(F.col("request_url").alias("__url"), *(F.col(c.removeprefix("r_")).cast(k).alias(c) if c.removeprefix("r_") in df.columns else F.lit(None).cast(k).alias(c) for c, k in empty.items()))
     replies = None
     if cache is not None:
-        kept = response(cache.withColumn("request_url", F.col("url")).dropDuplicates(["request_url"]))
+        # Only pages that are asked for are carried further: a small frontier is broadcast to the cache's scan.
+        asked = go.select(F.col("url").alias("__asked")).distinct()
+        wanted = cache.join(asked, cache["url"] == asked["__asked"], "left_semi")
+        kept = response(wanted.withColumn("request_url", F.col("url")).dropDuplicates(["request_url"]))
         hit = go.join(kept, go["url"] == kept["__url"], "left")
         replies = hit.where("__url is not null").withColumn("cached", F.lit(True)).drop("__url")
         missed = hit.where("__url is null").drop("__url", *empty)
