@@ -48,25 +48,18 @@ def test_additive_scores_are_sums_of_table_values():
     assert np.isclose(model.score(x[:1])[0], one)
 
 
-def test_graded_labels_are_learnt_in_order():
+def test_graded_labels_are_learnt_in_order(spark):
     rng = np.random.default_rng(1)
-    texts, grades = [], []
-    for _ in range(600):
+    rows = []
+    for d in range(600):
         g = int(rng.integers(0, 4))
         noise = ["q" + chr(97 + i // 26) + chr(97 + i % 26) for i in rng.integers(0, 400, 30)]
-        texts.append(" ".join([*noise, *["awful", "nasty", "vile"][:g]]))
-        grades.append(g)
-    rows, counts = [], []
-    for i, j, data, off in toxicity.T.chunks(pa.array(texts)):
-        f, woff = toxicity.word_features(data, off)
-        for d in range(len(off) - 1):
-            v, n = np.unique(f[woff[d] : woff[d + 1]].ravel(), return_counts=True)
-            rows.append(v)
-            counts.append(n)
-    m = toxicity.fit(rows[:400], counts[:400], np.array(grades[:400]))
+        rows.append((d, " ".join([*noise, *["awful", "nasty", "vile"][:g]]), g))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.train(df, df.where("doc_id < 400"))
     assert (np.diff(m.thresholds) >= 0).all() and len(m.thresholds) == 3
-    expected = m.at_least(m.linear(pa.array(texts[400:]))).sum(axis=1)
-    assert np.corrcoef(expected, grades[400:])[0, 1] > 0.8
+    got = toxicity.severity(df, m).where("doc_id >= 400").toPandas()
+    assert np.corrcoef(got["severity"], [rows[d][2] for d in got["doc_id"]])[0, 1] > 0.9
 
 
 def test_odd_rows_of_models(spark):

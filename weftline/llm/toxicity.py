@@ -22,7 +22,7 @@ results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .labelled import labelled
+from .store import cut
 
 BITS = 20
 #: Labelled documents that the model is fitted on, at most.
@@ -129,43 +130,30 @@ def fit_ordinal(flat: np.ndarray, off: np.ndarray, grade: np.ndarray, n_features
     return w, b
 
 
-def fit(rows: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, z: float = 4.5, grades: int = 3) -> Model:
-    """rows: each text's distinct feature numbers; counts: how often each stands there; label: grades, or 0 and 1."""
-    constant = Model(np.zeros(0, np.int64), np.zeros((0, LEVELS)), np.zeros(0))
-    label = np.maximum(np.asarray(label, np.int64), 0)
+@dataclass
+class Evidence:
+    """What of labelled texts a fit needs: label, each text's chosen features (number * LEVELS + level), and how often each chosen number stands there."""
+
+    label: np.ndarray
+    chosen: np.ndarray
+    small: np.ndarray
+    off: np.ndarray
+    share: Callable[[np.ndarray], np.ndarray]
+
+
+def fit(e: Evidence, grades: int = 3) -> Model:
+    """Labels are grades, or 0 and 1."""
+    label, chosen = np.maximum(e.label, 0), e.chosen
     if len(label) == 0 or label.min() == label.max():
-        return constant
-    width = np.array([len(r) for r in rows])
-    flat, count = (np.concatenate(x).astype(np.int64) if len(x) else np.zeros(0, np.int64) for x in (rows, counts))
-    text = np.repeat(np.arange(len(rows)), width)
-    # Every word stands once for each kind of feature.
-    words = np.array([c.sum() for c in counts]) // (1 + len(PREFIXES))
-    at, level = np.nonzero(levels(count, words[text]))
-    flat, text = flat[at] * LEVELS + level, text[at]
-    positive = label > 0
-    n1, n0 = positive.sum(), (~positive).sum()
-    c1 = np.bincount(flat[positive[text]], minlength=LEVELS << BITS)
-    c = np.bincount(flat, minlength=LEVELS << BITS)
-    # Two-sample z score of the share of texts that have the feature. Weights are evidence for toxicity and not below 0,
-    # so that a long text can't outweigh it with harmless words.
-    p = (c + 0.5) / (n0 + n1 + 1)
-    score = (c1 / n1 - (c - c1) / max(1, n0)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / max(1, n0)))
-    chosen = np.flatnonzero((score >= z) & (c >= 3))
-    number = np.full(LEVELS << BITS, -1)
-    number[chosen] = np.arange(len(chosen))
-    kept = number[flat] >= 0
-    off = np.concatenate([[0], np.cumsum(np.bincount(text[kept], minlength=len(rows)))])
-    small = number[flat[kept]]
+        return Model(np.zeros(0, np.int64), np.zeros((0, LEVELS)), np.zeros(0))
     grade = label
     if label.max() == 1 and len(chosen):
-        w, _ = fit_ordinal(small, off, label, len(chosen))
-        evidence = np.zeros(1 << BITS)
-        evidence[chosen[w > 0.1] // LEVELS] = 1
-        share = np.array([(evidence[r] * k).sum() / max(1, k.sum()) for r, k in zip(rows, counts)])
+        w, _ = fit_ordinal(e.small, e.off, label, len(chosen))
+        share, positive = e.share(np.unique(chosen[w > 0.1] // LEVELS)), label > 0
         known = positive & (share > 0)
         cuts = np.quantile(share[known], [i / grades for i in range(1, grades)]) if known.any() else np.ones(grades - 1)
         grade = np.where(positive, 1 + np.searchsorted(cuts, share, "right"), 0)
-    w, b = fit_ordinal(small, off, grade, max(1, len(chosen)))
+    w, b = fit_ordinal(e.small, e.off, grade, max(1, len(chosen)))
     ids, inverse = np.unique(chosen // LEVELS, return_inverse=True)
     weights = np.zeros((len(ids), LEVELS))
     if len(chosen):
@@ -174,29 +162,100 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], label: np.ndarray, z:
     return Model(ids[some], weights[some], b)
 
 
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run of texts: its range, and text, number and count of each distinct feature; the words of each text."""
+    for i, j, data, off in T.chunks(texts):
+        f, woff = word_features(data, off)
+        doc = np.repeat(T.doc_of(woff), f.shape[1])
+        key, count = np.unique((doc << BITS) | f.ravel(), return_counts=True)
+        yield i, j, key >> BITS, key & ((1 << BITS) - 1), count, np.diff(woff)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each feature and level stands, and in how many positive ones; number -1: all texts."""
+    total, found = np.zeros((LEVELS << BITS, 2), np.int32), np.zeros(2, np.int64)
     for b in batches:
-        for i, j, data, off in T.chunks(b.column(1)):
-            f, woff = word_features(data, off)
-            doc = np.repeat(T.doc_of(woff), f.shape[1])
-            key, count = np.unique((doc << BITS) | f.ravel(), return_counts=True)
-            ends = np.searchsorted(key >> BITS, np.arange(len(off)))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.astype(np.int32))) for x in (key & ((1 << BITS) - 1), count)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), *lists], names=["doc_id", "y", "features", "counts"])
+        positive = b.column(2).to_numpy() > 0
+        found += [b.num_rows, positive.sum()]
+        for i, j, doc, number, count, words in _texts(b.column(1)):
+            at, level = np.nonzero(levels(count, words[doc]))
+            feature, yes = number[at] * LEVELS + level, positive[i:j][doc[at]]
+            np.add.at(total[:, 0], feature, 1)
+            np.add.at(total[:, 1], feature[yes], 1)
+    # A feature of no positive text can't be evidence.
+    at = np.flatnonzero(total[:, 1])
+    for c in range(0, len(at), 1 << 16):
+        part = at[c : c + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part, 0].astype(np.int64)), pa.array(total[part, 1].astype(np.int64))], names=["feature", "n", "n1"])
+    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([int(found[0])]), pa.array([int(found[1])])], names=["feature", "n", "n1"])
+
+
+def choose(tally: DataFrame, z: float = 4.5, least: int = 3, most: int = 20_000) -> np.ndarray:
+    """Features whose share of positive texts is above that of others by a two-sample z score of z; most: the strongest so many.
+
+    Weights are evidence for toxicity and not below 0, so that a long text can't outweigh it with harmless words.
+    """
+    sums = tally.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+    whole = sums.where("feature = -1").first()
+    n, n1 = (whole["n"], whole["n1"]) if whole else (0, 0)
+    if not 0 < n1 < n:
+        return np.zeros(0, np.int64)
+    p = (F.col("n") + 0.5) / (n + 1)
+    score = (F.col("n1") / n1 - (F.col("n") - F.col("n1")) / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
+    rows = sums.where((F.col("feature") >= 0) & (F.col("n") >= least)).withColumn("z", score).where(F.col("z") >= z).orderBy(F.desc("z"), "feature").limit(most)
+    return np.array(sorted(r["feature"] for r in rows.select("feature").collect()), np.int64)
+
+
+def _chosen(chosen: np.ndarray):
+    ids = np.unique(chosen // LEVELS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, doc, number, count, words in _texts(b.column(1)):
+                k = np.minimum(np.searchsorted(ids, number), max(0, len(ids) - 1))
+                mine = np.flatnonzero(ids[k] == number) if len(ids) else np.zeros(0, np.int64)
+                doc_, k, count = doc[mine], k[mine], count[mine]
+                at, level = np.nonzero(levels(count, words[doc_]))
+                feature = ids[k[at]] * LEVELS + level
+                c = np.minimum(np.searchsorted(chosen, feature), max(0, len(chosen) - 1))
+                good = np.flatnonzero(chosen[c] == feature) if len(chosen) else np.zeros(0, np.int64)
+                ends = lambda d: pa.array(np.searchsorted(d, np.arange(j - i + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends(d), pa.array(v.astype(np.int32))) for d, v in ((doc_[at][good], c[good]), (doc_, k), (doc_, count))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(words), *lists], names=["doc_id", "y", "words", "small", "number", "count"])
+
+    return run
+
+
+def gather(rows: pa.Table, chosen: np.ndarray) -> Evidence:
+    ids = np.unique(chosen // LEVELS)
+
+    def column(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = rows.column(name).combine_chunks()
+        length = lists.value_lengths().to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0)
+        flat = lists.flatten().to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0)
+        return flat.astype(np.int64), np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+
+    small, off = column("small")
+    number, at = column("number")
+    count, _ = column("count")
+    words = np.maximum(rows.column("words").to_numpy(), 1)
+
+    def share(evidence: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(np.where(np.isin(ids[number] if len(ids) else number, evidence), count, 0))])
+        return (sums[at[1:]] - sums[at[:-1]]) / words
+
+    return Evidence(rows.column("y").to_numpy(), chosen, small, off, share)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model of labels.toxic fitted on at most train_rows labelled documents; their feature numbers come to the driver."""
-    rows = labelled(docs, labels, "toxic", train_rows).mapInArrow(_training, "doc_id long, y int, features array<int>, counts array<int>").toArrow()
-    rows = rows.sort_by("doc_id").combine_chunks()
-    lists = []
-    for name in ("features", "counts"):
-        c = rows.column(name)
-        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-        off = np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) if len(c) else np.zeros(1, np.int64)
-        values = c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(c) else np.zeros(0, np.int64)
-        lists.append([values[a:b] for a, b in zip(off[:-1], off[1:])])
-    return fit(lists[0], lists[1], rows.column("y").to_numpy())
+    """A model of labels.toxic fitted on at most train_rows labelled documents.
+
+    Features are counted and chosen over the cluster; of each text only its chosen ones come to the driver.
+    """
+    rows = cut(labelled(docs, labels, "toxic", train_rows))
+    chosen = choose(rows.mapInArrow(_tally, "feature long, n long, n1 long"))
+    found = rows.mapInArrow(_chosen(chosen), "doc_id long, y int, words long, small array<int>, number array<int>, count array<int>").toArrow()
+    return fit(gather(found.sort_by("doc_id"), chosen))
 
 
 def _score(model: Model):
