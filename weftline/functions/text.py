@@ -32,7 +32,8 @@ def clean(c: Column, remove_entities: bool = False) -> Column:
 def replace(c: Column, old: str, new: str) -> Column:
     """All occurrences; an empty old stands between all characters and at both ends."""
     if old == "":
-        return F.concat(F.lit(new), F.array_join(F.transform(F.split(c, ""), lambda x: F.concat(x, F.lit(new))), "")) if new else c
+        between = F.concat(F.lit(new), F.array_join(F.transform(F.split(c, ""), lambda x: F.concat(x, F.lit(new))), ""))
+        return F.when(c == "", F.lit(new)).otherwise(between)
     return F.replace(c, F.lit(old), F.lit(new))
 
 
