@@ -105,22 +105,40 @@ def _once(ids: np.ndarray, anchor: np.ndarray) -> np.ndarray:
 
 
 def _merge(block_bits: int):
-    def run(t: pa.Table) -> pa.Table:
-        seen = [np.frombuffer(x, np.uint32) for x in t.column("once").to_pylist()]
-        again = [np.frombuffer(x, np.uint32) for x in t.column("twice").to_pylist()]
-        cell, count = np.unique(np.concatenate(seen), return_counts=True)
-        found = np.union1d(cell[count > 1], np.concatenate(again))
-        bits = np.zeros(1 << block_bits, bool)
-        if len(found) * 32 <= 1 << block_bits:
-            payload, dense = found.astype(np.uint32).tobytes(), False
-        else:
-            bits[found & np.uint32((1 << block_bits) - 1)] = True
-            payload, dense = np.packbits(bits, bitorder="little").tobytes(), True
-        return pa.table({"block": t.column("block")[:1], "dense": pa.array([dense]), "payload": pa.array([payload], pa.binary())})
+    """Merges the partitions' sketches of each block as they pass, sorted by block: two bits a cell, however many partitions there are."""
+    size, low = 1 << block_bits, np.uint32((1 << block_bits) - 1)
+
+    def flagged(block: int, again: np.ndarray) -> tuple[int, bool, bytes]:
+        found = np.flatnonzero(again)
+        if len(found) * 32 > size:
+            return block, True, np.packbits(again, bitorder="little").tobytes()
+        return block, False, (found.astype(np.uint32) + np.uint32(block << block_bits)).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, again = None, np.zeros(size, bool), np.zeros(size, bool)
+        for b in batches:
+            out = []
+            for block, once, twice in zip(*(c.to_pylist() for c in b.columns)):
+                if block != now:
+                    if now is not None:
+                        out.append(flagged(now, again))
+                        seen[:] = again[:] = False
+                    now = block
+                cell = np.frombuffer(once, np.uint32) & low
+                again[cell[seen[cell]]] = True
+                again[np.frombuffer(twice, np.uint32) & low] = True
+                seen[cell] = True
+            yield _flag_rows(out)
+        yield _flag_rows([flagged(now, again)] if now is not None else [])
 
     return run
 
 
+def _flag_rows(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+    blocks, dense, payload = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(dense, pa.bool_()), pa.array(payload, pa.binary())], names=["block", "dense", "payload"])
+
+
 @dataclass
 class Flags:
     """Cells with an estimate of two or more: sorted ones, and blocks as bits."""
@@ -149,7 +167,8 @@ def flags(docs: DataFrame, window: int = WINDOW, bits: int = WIDTH_BITS, block_b
     """The merged sketch's repeated cells; at most a bit a cell comes to the driver. docs: (doc_id, text)."""
     block_bits = min(block_bits, bits + 1)
     parts = docs.mapInArrow(_sketch(window, bits, block_bits), "block long, once binary, twice binary")
-    rows = parts.groupBy("block").applyInArrow(_merge(block_bits), "block long, dense boolean, payload binary").collect()
+    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge(block_bits), "block long, dense boolean, payload binary")
+    rows = merged.collect()
     sparse = sorted((r["block"], r["payload"]) for r in rows if not r["dense"])
     return Flags(np.frombuffer(b"".join(bytes(p) for _, p in sparse), np.uint32), {r["block"]: np.frombuffer(bytes(r["payload"]), np.uint8) for r in rows if r["dense"]}, bits, block_bits)
 
