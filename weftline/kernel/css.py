@@ -86,6 +86,10 @@ class Complex:
     right: Compound
     left: list[tuple[str, Compound]]
 
+    def __post_init__(self) -> None:
+        # An index of the only test needs no second look.
+        self.plain = not self.left and len(self.right.tests) == 1 and bool(self.right.cls or self.right.tag or self.right.id)
+
     def matches(self, node: Node, scope: Node | None = None) -> bool:
         return self.right(node) and (not self.left or self._left(node, 0, scope))
 
@@ -316,14 +320,16 @@ class Query:
 
     def select(self, index: Index, scope: Node | None = None) -> list[Node]:
         """Matches among the descendants of scope, or in the whole document, in document order."""
+        if len(self.selectors) == 1:
+            s = self.selectors[0]
+            found = index.candidates(s.right, scope)
+            return list(found) if s.plain else [x for x in found if s.matches(x)]
         out: dict[int, Node] = {}
         for s in self.selectors:
-            plain = not s.left and len(s.right.tests) == 1 and bool(s.right.cls or s.right.tag)
             for x in index.candidates(s.right, scope):
-                # An index of the only test needs no second look.
-                if plain or s.matches(x):
+                if s.plain or s.matches(x):
                     out[x.pre] = x
-        return list(out.values()) if len(self.selectors) == 1 else [out[k] for k in sorted(out)]
+        return [out[k] for k in sorted(out)]
 
 
 class Index:

@@ -23,10 +23,13 @@ class Node:
     __slots__ = ("tag", "attrs", "parent", "kids", "data", "foreign", "pre", "post", "last")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, data: str = "", foreign: str = "") -> None:
-        self.tag, self.attrs, self.data, self.foreign = tag, attrs if attrs is not None else {}, data, foreign
+        # pre, post and last are set when the tree is numbered.
+        self.tag = tag
+        self.attrs = {} if attrs is None else attrs
+        self.data = data
+        self.foreign = foreign
         self.parent: Node | None = None
         self.kids: list[Node] = []
-        self.pre = self.post = self.last = -1
 
     @property
     def is_element(self) -> bool:
@@ -59,6 +62,9 @@ _TABLE_SCOPE = _set("html table template")
 _BREAKOUT = (FORMATTING - {"a"} | HEADINGS | _set("blockquote body br center dd div dl dt embed head hr img li listing menu meta ol p pre ruby span sub sup table ul var")) - {"font"}
 _POINTS = _set("foreignobject desc title mi mo mn ms mtext annotation-xml")
 
+#: Tags with rules of their own in the body; any other is inserted as it comes.
+_RULED = _BLOCKS | FORMATTING | HEADINGS | _IN_HEAD | VOID | RAW | RCDATA | _MARKED | _TABLE_PARTS | _set("li dd dt image body html head pre listing form plaintext button table select optgroup option rb rtc rp rt math svg frameset")
+
 _ATTR = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
 _TOKEN = re.compile(rf"<(?:(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[\s/]*+{_ATTR})*+)[\s/]*+>|/(?P<end>[A-Za-z][^\s/>]*+)[^>]*+>|!--(?P<comment>(?s:.*?))(?:--!?>|\Z)|!(?P<declaration>[^>]*+)>?|(?P<bogus>[?/][^>]*+)>?|(?P<odd>[A-Za-z]))")
 _ATTRS = re.compile(r"""[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
@@ -360,7 +366,13 @@ class Builder:
         if mode == "body":
             if self.active:
                 self.reopen()
-            self.text(data)
+            parent = self.open[-1]
+            if parent.kids and parent.kids[-1].tag == TEXT:
+                parent.kids[-1].data += data
+            else:
+                node = Node(TEXT, None, data)
+                node.parent = parent
+                parent.kids.append(node)
             return
         blank = _BLANK.match(data).end()
         if mode in ("initial", "before html", "before head"):
@@ -965,7 +977,7 @@ def parse(html: str | None) -> Node:
     if "\r" in html:
         html = html.replace("\r\n", "\n").replace("\r", "\n")
     b = Builder()
-    at, n, search = 0, len(html), _TOKEN.search
+    at, n, search, opened = 0, len(html), _TOKEN.search, b.open
     while at < n:
         m = search(html, at)
         begin = m.start() if m else n
@@ -975,18 +987,34 @@ def parse(html: str | None) -> Node:
         if not m:
             break
         at = m.end()
-        kind = m.lastgroup
-        if kind == "attrs" or kind == "name":
-            name, attrs = m.group("name"), m.group("attrs")
-            follow = b.start(name if name.islower() else name.lower(), _attributes(attrs) if attrs else {}, html[at - 2] == "/" and not attrs.endswith("/"))
-        elif kind == "end":
-            b.end(m.group("end").lower())
+        kind = m.lastindex
+        if kind <= 2:
+            name, attrs = m.group(1, 2)
+            if not name.islower():
+                name = name.lower()
+            values = _attributes(attrs) if attrs else {}
+            if b.mode == "body" and not opened[-1].foreign and (name in _BLOCKS or name not in _RULED):
+                # The most frequent rules, without the calls.
+                if name in _BLOCKS:
+                    b.close_p()
+                elif b.active:
+                    b.reopen()
+                b.skip_newline = False
+                node = Node(name, values)
+                node.parent = parent = opened[-1]
+                parent.kids.append(node)
+                opened.append(node)
+                continue
+            follow = b.start(name, values, html[at - 2] == "/" and not attrs.endswith("/"))
+        elif kind == 3:
+            name = m.group(3)
+            b.end(name if name.islower() else name.lower())
             continue
-        elif kind == "comment":
-            b.comment(m.group("comment"), b.html if b.mode == "after body" else None)
+        elif kind == 4:
+            b.comment(m.group(4), b.html if b.mode == "after body" else None)
             continue
-        elif kind == "declaration":
-            text = m.group("declaration")
+        elif kind == 5:
+            text = m.group(5)
             if text[:7].lower() == "doctype":
                 b.doctype(text)
             elif b.open and b.open[-1].foreign and text.startswith("[CDATA["):
@@ -996,9 +1024,9 @@ def parse(html: str | None) -> Node:
             else:
                 b.comment(text)
             continue
-        elif kind == "bogus":
-            if m.group("bogus") not in ("/",):
-                b.comment(m.group("bogus").lstrip("/") if m.group("bogus")[0] == "/" else m.group("bogus"))
+        elif kind == 6:
+            if (text := m.group(6)) != "/":
+                b.comment(text.lstrip("/") if text[0] == "/" else text)
             continue
         else:
             found = _odd_tag(html, m.start() + 1)

@@ -22,7 +22,7 @@ query = Registry()
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return E.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 # ---- text functions ----
