@@ -158,3 +158,17 @@ def test_odd_rows_of_passages(spark):
     assert substring.repeated_passages(docs).count() == 0 and substring.repeated_passages(docs.where("false")).count() == 0
     two = docs.select("doc_id", "text").union(spark.createDataFrame([(9, "x\t" + t.replace(" ", "\n")), (8, "y " * 300_000)], DOC))
     assert sorted(tuple(r) for r in substring.repeated_passages(two).collect()) == [(1, 0, 60, 60), (9, 1, 61, 60)]
+
+
+def test_windows_are_judged_alike_however_batches_fall():
+    rng = random.Random(9)
+    rows = sorted((rng.randrange(6), rng.randrange(2), rng.randrange(3), k) for k in range(80))
+    docs = {}
+    for a, b, d, _ in rows:
+        docs.setdefault((a, b), set()).add(d)
+    want = [(d, k) for a, b, d, k in rows if len(docs[a, b]) > 1]
+    for size in (1, 2, 3, 7, 80):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size])], names=["h1", "h2", "doc_id", "pos"]) for i in range(0, 80, size)]
+        got = [tuple(r.values()) for out in substring._repeated(iter(batches)) for r in out.to_pylist()]
+        assert got == want
+    assert list(substring._repeated(iter([]))) == []
