@@ -195,6 +195,32 @@ def _flagged(window: int, shared):
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and pos of the windows of two or more documents, of rows sorted by window and document.
+
+    Rows are judged as they pass: only those of a window's first document are held
+    until a second one comes, so a passage that any number of documents share takes no memory.
+    """
+    held = [np.zeros(0, np.int64)] * 4
+    known = None  # the window at the last batch's end, if it is a repeated one
+    for b in batches:
+        h1, h2, doc, pos = (np.concatenate([x, c.to_numpy().astype(np.int64)]) for x, c in zip(held, b.columns))
+        if not len(h1):
+            continue
+        first = np.ones(len(h1), bool)
+        first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], len(h1))
+        good = doc[begin] != doc[end - 1]
+        if known == (h1[0], h2[0]):
+            good[0] = True
+        known = (h1[-1], h2[-1]) if good[-1] else None
+        last = begin[-1] if not good[-1] else len(h1)
+        held = [x[last:] for x in (h1, h2, doc, pos)]
+        take = np.repeat(good, end - begin)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(pos[take].astype(np.int32))], names=["doc_id", "pos"])
+
+
 def _runs(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,6 +245,6 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, bits: int = WIDTH_B
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     shared = docs.sparkSession.sparkContext.broadcast(flags(rows, window, bits, block_bits))
     found = rows.mapInArrow(_flagged(window, shared), "h1 long, h2 long, doc_id long, pos int")
-    groups = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.collect_list(F.struct("doc_id", "pos")).alias("at")).where("low <> high")
-    places = groups.select(F.explode("at").alias("p")).select("p.doc_id", "p.pos").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
+    windows = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id")
+    places = windows.mapInArrow(_repeated, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
     return places.mapInArrow(_runs(window), "doc_id long, start_word long, end_word long, n_words long")
