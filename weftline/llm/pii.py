@@ -22,7 +22,9 @@ table of entities is built and nothing is shuffled.
   apart, within their script, past the known ones.  Case and length of such
   names stay.
 
-Digits that fail a kind's check (Luhn, octets above 255) are left alone.
+Digits that fail a kind's check (Luhn, octets above 255) are left alone.  A match
+that ran on into its neighbours is tried with shorter ends, at its groups' ends,
+and where none holds the search goes on just after its first group.
 Results for odd input: a null text stays null; an empty one stays; texts
 without entities stay as they are; a key of no bytes is refused; equal rows give
 equal rows; extra columns pass through.  A permutation may map a value to
@@ -63,22 +65,27 @@ _PLAIN = {c: k for k in ("0123456789", "abcdefghijklmnopqrstuvwxyz") for c in k}
 
 _NAME_WORD = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
 _KNOWN_RE = "|".join(sorted((re.escape(n[0].upper() + n[1:]) for n in _KNOWN), key=len, reverse=True))
-PATTERN = re.compile(
-    "|".join(
-        [
-            r"(?P<email>(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@]))",
-            r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|secret[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/=.-]{8,})",
-            r"(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))",
-            r"(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))",
-            r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
-            r"(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))",
-            r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-            r"(?P<phone>(?<![\w+(])(?:(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w))",
-            rf"(?P<title>\b(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\b\.? )(?P<name>{_NAME_WORD}(?: {_NAME_WORD})?)",
-            rf"(?P<full>\b(?:{_KNOWN_RE}) {_NAME_WORD})",
-        ]
-    )
-)
+_PARTS = [
+    r"(?P<email>(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@]))",
+    r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|secret[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/=.-]{8,})",
+    r"(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))",
+    r"(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))",
+    r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
+    r"(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))",
+    r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
+    r"(?P<phone>(?<![\w+(])(?:(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w))",
+    rf"(?P<title>\b(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\b\.? )(?P<name>{_NAME_WORD}(?: {_NAME_WORD})?)",
+    rf"(?P<full>\b(?:{_KNOWN_RE}) {_NAME_WORD})",
+]
+PATTERN = re.compile("|".join(_PARTS))
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_QUAD = re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)")
+#: What may stand at a card's start in its place.
+_NOT_CARD = re.compile("|".join(x for x in _PARTS if x.startswith(("(?P<ssn>", "(?P<phone>"))))
+#: Layouts of cards; shorter ends and later starts than those of a match that failed are held to them, as each further try passes Luhn once in ten.
+_CARD_SHAPE = re.compile(r"\d{13,19}|\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}|\d{4}([ -])\d{3}\3\d{3}\3\d{3}")
+#: Entities of digits alone, at whose start a number before them ends.
+_NEXT = re.compile(rf"{_QUAD.pattern}|\d{{3}}-\d{{2}}-\d{{4}}(?![\w-])|\(?\d{{3}}\)?[ .-]\d{{3}}[ .-]\d{{4}}(?!\w)|\d{{4}}[ -]?(?:\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}|\d{{6}}[ -]?\d{{5}})(?!\w)")
 #: A text that this linear-time expression doesn't match holds no entity; it only spares work.
 _MAYBE = "[0-9@]|" + "|".join(rf"{t}\.? " for t in _TITLES) + "|(?i:token|secret|passw|key)|" + "|".join(rf"{n[0].upper() + n[1:]} " for n in _KNOWN)
 
@@ -253,20 +260,50 @@ def _cached(key: bytes, kind: str, text: str, gender: str) -> str | None:
     return surrogate(key, kind, text, gender)
 
 
+def _ends(kind: str, text: str, a: int, b: int) -> list[int]:
+    """Ends that the entity from a may have, best first: before another entity, then the latest; none lies inside an address."""
+    ends = [b, *(e for e in range(b - 1, a, -1) if text[e] in " .-" and text[e - 1].isalnum())]
+    quads = [q.span() for q in _QUAD.finditer(text, a, min(len(text), b + 16))]
+    ends = [e for e in ends if not any(x < e < y for x, y in quads)]
+    # A number of the North American plan has ten digits.
+    ten = kind == "phone" and re.match(r"\+1(?=[ .(-])", text[a:b])
+    return sorted(ends, key=lambda e: (not (e + 1 < len(text) and _NEXT.match(text, e + 1)), not (ten and sum(c.isdigit() for c in text[a:e]) == 11), -e))
+
+
+def _entity(key: bytes, kind: str, text: str, a: int, b: int, gender: str, again: bool) -> tuple[str, int, str] | None:
+    """(kind, end, surrogate) of the entity at a, whose pattern ends at b; again: a match over a failed before."""
+    if kind not in ("phone", "card", "iban"):
+        new = _cached(key, kind, text[a:b], gender)
+        return None if new is None else (kind, b, new)
+    other = _NOT_CARD.match(text, a) if kind == "card" else None
+    for e in _ends(kind, text, a, b):
+        part = text[a:e]
+        if kind == "card" and (again or other or e < b) and not _CARD_SHAPE.fullmatch(part):
+            continue
+        if kind == "card" and not 13 <= sum(c.isdigit() for c in part) <= 19:
+            continue
+        new = _cached(key, kind, part, gender)
+        if new is not None:
+            return kind, e, new
+    return _entity(key, other.lastgroup, text, a, other.end(), gender, again) if other else None
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with surrogates, and (kind, start, length) of each in it."""
-    out, found, at, size = [], [], 0, 0
-    for m in PATTERN.finditer(text):
+    out, found, at, size, pos, failed = [], [], 0, 0, 0, 0
+    while m := PATTERN.search(text, pos):
         kind = m.lastgroup
-        new = _cached(key, kind, m.group(kind), _TITLES.get((m.group("title") or "").strip(" ."), ""))
-        if new is None:
-            continue
         a, b = m.span(kind)
+        entity = _entity(key, kind, text, a, b, _TITLES.get((m.group("title") or "").strip(" ."), ""), a < failed)
+        if entity is None:
+            pos, failed = next((i for i in range(a + 1, b) if text[i] in " .-"), b), max(failed, b)
+            continue
+        kind, b, new = entity
         out += [text[at:a], new]
         size += a - at
         found.append(({"hex": "secret", "full": "name"}.get(kind, kind), size, len(new)))
         size += len(new)
-        at = b
+        at = pos = b
     if not found:
         return text, found
     return "".join([*out, text[at:]]), found
