@@ -233,6 +233,19 @@ def test_odd_rows_of_decontamination(spark):
     assert decontam.contaminations(docs.where("false"), bench).count() == 0 and decontam.remove(docs, bench.where("false")).count() == 8
 
 
+def test_a_long_verbatim_part_of_an_item_is_a_copy(spark):
+    """Of whatever share of the item, and though many documents hold the part."""
+    rng = random.Random(8)
+    words = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    items = {1: words(59), 2: words(400), 3: words(400)}
+    parts = {10: (1, 5, 34), 11: (2, 100, 250), 12: (2, 387, 400), 13: (2, 40, 52), **{k: (3, 200, 213) for k in range(20, 60)}}
+    docs = [(d, " ".join(words(d) + items[i][a:b] + words(30))) for d, (i, a, b) in parts.items()]
+    df, bench = spark.createDataFrame(docs, DOC).repartition(2), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["start_word"], r["end_word"], r["score"]) for r in decontam.contaminations(df, bench).collect()}
+    assert got == {d: (i, d, d + b - a, (b - a) / len(items[i])) for d, (i, a, b) in parts.items() if b - a >= 13}
+    assert [r["doc_id"] for r in decontam.remove(df, bench).collect()] == [13]
+
+
 # ---- surrogates ----
 
 KEY = b"test key"

@@ -6,7 +6,9 @@ then keeps the rarest four fifths of its own n-grams as seeds (a rank within the
 so a leak into many documents can't use its seeds up).  A second pass finds the
 seeds in every text and aligns the passage around the hits with the item, word
 by word; the score is that of the best local alignment as a share of the item's
-score with itself.  The texts are never shuffled; the benchmark's n-grams are
+score with itself.  A passage of a lower share counts too if it holds so many of the
+item's words verbatim, one after another (13): every such run holds a seed, so none
+is missed, and its row gives the run's own share and place.  The texts are never shuffled; the benchmark's n-grams are
 sent to the tasks in slices of at most ``slice_items`` items, one after another,
 so that what is broadcast doesn't grow with the benchmark.
 
@@ -33,6 +35,8 @@ GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a passage counts as a copy.
 THRESHOLD = 0.5
+#: Words in a row, taken over verbatim, that count as a copy of an item however long it is.
+LEAST_RUN = 13
 RARE_SHARE = 0.8
 LEAST_SEEDS = 8
 SLICE_ITEMS = 20_000
@@ -78,13 +82,19 @@ class Items:
         return Items(self.ids, self.words, grams, np.append(first, len(gram)), item, place, self.size)
 
     def rarest(self, count: dict[int, int], share: float = RARE_SHARE, least: int = LEAST_SEEDS) -> Items:
-        """With each item's rarest n-grams alone, by count of documents (ties: by hash)."""
+        """With each item's rarest n-grams alone, by count of documents (ties: by hash), and the rarest of every run of LEAST_RUN words."""
         keep = []
         for w in self.words:
             g = seeds(w, self.size)
             n = np.array([count.get(int(x), 0) for x in g.view(np.int64)])
             order = np.lexsort((g, n))
-            keep.append(np.sort(order[: max(least, int(np.ceil(len(g) * share)))]))
+            keep.append(order[: max(least, int(np.ceil(len(g) * share)))])
+            span = LEAST_RUN - self.size + 1
+            if 0 < span <= len(g):
+                rank = np.empty(len(g), np.int64)
+                rank[order] = np.arange(len(g))
+                keep[-1] = np.union1d(keep[-1], order[np.lib.stride_tricks.sliding_window_view(rank, span).min(axis=1)])
+            keep[-1] = np.sort(keep[-1])
         return self._indexed(keep)
 
     def lookup(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +180,19 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, end
 
 
+def verbatim(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Length of the longest run of words that a and b share, and the end of the first such in b (exclusive)."""
+    prev, best, end = np.zeros(len(b) + 1, np.int64), 0, 0
+    for w in a:
+        h = np.zeros(len(b) + 1, np.int64)
+        h[1:] = np.where(b == w, prev[:-1] + 1, 0)
+        top = int(h.max())
+        if top > best or (top == best and top and int(h.argmax()) < end):
+            best, end = top, int(h.argmax())
+        prev = h
+    return best, end
+
+
 def passages(at: np.ndarray, start: np.ndarray, length: int, words: int) -> list[tuple[int, int, int]]:
     """(from, to, hits) of the stretches of a text that hold the hits of one item; start: where the item would begin."""
     order = np.argsort(start, kind="stable")
@@ -222,15 +245,21 @@ def _aligned(items: Items, jobs: list[tuple[int, int, int, np.ndarray, int]], id
         a, b = [items.words[j[1]] for j in part], [j[3] for j in part]
         score, end = align(a, b)
         own = np.array([MATCH * len(x) for x in a])
+        rows = []
         good = np.flatnonzero(score >= threshold * own)
         if len(good):
             _, back = align([a[k][::-1] for k in good], [b[k][: end[k]][::-1] for k in good])
-            for k, length in zip(good.tolist(), back.tolist()):
-                d, item, x, _, hits = part[k]
-                # Read backwards, the first best end is the alignment's beginning.
-                row = (float(score[k]) / float(own[k]), -int(x + end[k] - length), int(x + end[k]), hits)
-                if (d, item) not in best or row > best[d, item]:
-                    best[d, item] = row
+            # Read backwards, the first best end is the alignment's beginning.
+            rows += [(k, float(score[k]), int(end[k]) - length, int(end[k])) for k, length in zip(good.tolist(), back.tolist())]
+        for k in np.flatnonzero((score < threshold * own) & (score >= MATCH * LEAST_RUN)).tolist():
+            run, stop = verbatim(a[k], b[k])
+            if run >= LEAST_RUN:
+                rows.append((k, float(MATCH * run), stop - run, stop))
+        for k, points, start, stop in rows:
+            d, item, x, _, hits = part[k]
+            row = (points / float(own[k]), -(x + start), x + stop, hits)
+            if (d, item) not in best or row > best[d, item]:
+                best[d, item] = row
         r += step
     keys = sorted(best)
     rows = [best[k] for k in keys]
@@ -243,7 +272,7 @@ SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word lon
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = GRAM, slice_items: int = SLICE_ITEMS) -> DataFrame:
-    """doc_id, item_id, score (0.5 to 1), start_word, end_word, n_seeds of every passage that copies a benchmark item."""
+    """doc_id, item_id, score (up to 1), start_word, end_word, n_seeds of every passage that copies a benchmark item; score below the threshold: a verbatim run of LEAST_RUN words or more."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     slices = max(1, -(-tests.count() // slice_items))
