@@ -246,6 +246,25 @@ def test_a_long_verbatim_part_of_an_item_is_a_copy(spark):
     assert [r["doc_id"] for r in decontam.remove(df, bench).collect()] == [13]
 
 
+def test_each_passage_of_an_item_has_a_row(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    item = words(40)
+    # Far apart, near, and side by side; at the end a copy of 30 words.
+    texts = {1: (item, 300, item), 2: (item, 5, item), 3: (item, 0, item), 4: (item, 7, item[:30]), 5: (item[10:], 2, item[10:])}
+    want, docs = set(), []
+    for d, (a, gap, b) in texts.items():
+        docs.append((d, " ".join(words(20) + a + words(gap) + b + words(15))))
+        want |= {(d, 20, 20 + len(a), len(a) / 40), (d, 20 + len(a) + gap, 20 + len(a) + gap + len(b), len(b) / 40)}
+    docs.append((6, "hi there " * 20_000))
+    want |= {(6, k, k + 2, 1.0) for k in range(0, 40_000, 2)}
+    docs.append((7, " ".join((item + ["x"]) * 50)))
+    want |= {(7, k, k + 40, 1.0) for k in range(0, 41 * 50, 41)}
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "hi there")], "item_id long, text string")
+    got = [(r["doc_id"], r["start_word"], r["end_word"], r["score"]) for r in decontam.contaminations(spark.createDataFrame(docs, DOC).repartition(2), bench).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 # ---- surrogates ----
 
 KEY = b"test key"

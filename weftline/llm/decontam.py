@@ -15,12 +15,14 @@ so that what is broadcast doesn't grow with the benchmark.
 Results for odd input: null and empty texts hold nothing; an item of fewer than
 n words has its whole self as the only seed, and one without words is left out;
 repeated items and rows give repeated results; rows without doc_id are left out
-of contaminations and kept by ``remove``; of equal scores in a document the
-first passage counts.
+of contaminations and kept by ``remove``; an item that a text holds several times
+has a row for each; of overlapping passages the one of the best score counts, of
+equal ones the first.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -193,13 +195,23 @@ def verbatim(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def passages(at: np.ndarray, start: np.ndarray, length: int, words: int) -> list[tuple[int, int, int]]:
-    """(from, to, hits) of the stretches of a text that hold the hits of one item; start: where the item would begin."""
+def passages(at: np.ndarray, start: np.ndarray, length: int, words: int) -> list[tuple[int, int, np.ndarray]]:
+    """(from, to, places of hits) of the stretches of a text that hold the hits of one item; start: where the item would begin."""
     order = np.argsort(start, kind="stable")
-    start = start[order]
+    at, start = at[order], start[order]
     cuts = np.flatnonzero(np.diff(start) > length) + 1
     pad = length // 2 + 2
-    return [(max(0, int(s[0]) - pad), min(words, int(s[-1]) + length + pad), len(s)) for s in np.split(start, cuts)]
+    out = []
+    for a, s in zip(np.split(at, cuts), np.split(start, cuts)):
+        low, high, a = max(0, int(s[0]) - pad), min(words, int(s[-1]) + length + pad), np.sort(a)
+        # A long stretch goes in windows of which one holds each copy whole, so that many copies take time in proportion.
+        step = 2 * (length + pad)
+        for x in range(low, max(low + 1, high - step), step):
+            y = min(high, x + 2 * step)
+            hits = a[np.searchsorted(a, x) : np.searchsorted(a, y)]
+            if len(hits):
+                out.append((x, y, hits))
+    return out
 
 
 def _find(items: Items, threshold: float):
@@ -228,42 +240,55 @@ def _find(items: Items, threshold: float):
                 for rows in np.split(np.arange(len(at)), cuts):
                     d, k = int(doc[rows[0]]), int(item[rows[0]])
                     text = words[woff[d] : woff[d + 1]]
-                    jobs += [(d, k, x, text[x:y], hits) for x, y, hits in passages(at[rows], start[rows], len(items.words[k]), len(text))]
+                    jobs += [(d, k, x, text[x:y], hits) for x, y, hits in passages(at[rows] - woff[d], start[rows], len(items.words[k]), len(text))]
                 yield _aligned(items, jobs, ids, i, threshold)
 
     return run
 
 
-def _aligned(items: Items, jobs: list[tuple[int, int, int, np.ndarray, int]], ids: np.ndarray, first: int, threshold: float) -> pa.RecordBatch:
-    jobs.sort(key=lambda j: (len(j[3]), len(items.words[j[1]])))
-    best: dict[tuple[int, int], tuple] = {}
-    r = 0
-    while r < len(jobs):
-        # Batches of like size, of some million cells at most.
-        step = max(1, min(512, 200_000 // max(1, len(jobs[r][3]))))
-        part = jobs[r : r + step]
-        a, b = [items.words[j[1]] for j in part], [j[3] for j in part]
-        score, end = align(a, b)
-        own = np.array([MATCH * len(x) for x in a])
-        rows = []
-        good = np.flatnonzero(score >= threshold * own)
-        if len(good):
-            _, back = align([a[k][::-1] for k in good], [b[k][: end[k]][::-1] for k in good])
-            # Read backwards, the first best end is the alignment's beginning.
-            rows += [(k, float(score[k]), int(end[k]) - length, int(end[k])) for k, length in zip(good.tolist(), back.tolist())]
-        for k in np.flatnonzero((score < threshold * own) & (score >= MATCH * LEAST_RUN)).tolist():
-            run, stop = verbatim(a[k], b[k])
-            if run >= LEAST_RUN:
-                rows.append((k, float(MATCH * run), stop - run, stop))
-        for k, points, start, stop in rows:
-            d, item, x, _, hits = part[k]
-            row = (points / float(own[k]), -(x + start), x + stop, hits)
-            if (d, item) not in best or row > best[d, item]:
-                best[d, item] = row
-        r += step
-    keys = sorted(best)
-    rows = [best[k] for k in keys]
-    columns = [[int(ids[first + d]) for d, _ in keys], [items.ids[k] for _, k in keys], [x[0] for x in rows], [-x[1] for x in rows], [x[2] for x in rows], [x[3] for x in rows]]
+def _aligned(items: Items, jobs: list[tuple[int, int, int, np.ndarray, np.ndarray]], ids: np.ndarray, first: int, threshold: float) -> pa.RecordBatch:
+    found: dict[tuple[int, int], list[tuple]] = {}
+    while jobs:
+        jobs.sort(key=lambda j: (len(j[3]), len(items.words[j[1]])))
+        left = []
+        r = 0
+        while r < len(jobs):
+            # Batches of like size, of some million cells at most.
+            step = max(1, min(512, 200_000 // max(1, len(jobs[r][3]))))
+            part = jobs[r : r + step]
+            a, b = [items.words[j[1]] for j in part], [j[3] for j in part]
+            score, end = align(a, b)
+            own = np.array([MATCH * len(x) for x in a])
+            rows = []
+            good = np.flatnonzero(score >= threshold * own)
+            if len(good):
+                _, back = align([a[k][::-1] for k in good], [b[k][: end[k]][::-1] for k in good])
+                # Read backwards, the first best end is the alignment's beginning.
+                rows += [(k, float(score[k]), int(end[k]) - length, int(end[k])) for k, length in zip(good.tolist(), back.tolist())]
+            for k in np.flatnonzero((score < threshold * own) & (score >= MATCH * LEAST_RUN)).tolist():
+                run, stop = verbatim(a[k], b[k])
+                if run >= LEAST_RUN:
+                    rows.append((k, float(MATCH * run), stop - run, stop))
+            for k, points, start, stop in rows:
+                d, item, x, text, hits = part[k]
+                found.setdefault((d, item), []).append((-points / float(own[k]), x + start, x + stop, len(hits)))
+                # What lies before and after it may be a copy too.
+                for u, v in ((0, start), (stop, len(text))):
+                    rest = hits[(hits >= x + u) & (hits < x + v)]
+                    if len(rest):
+                        left.append((d, item, x + u, text[u:v], rest))
+            r += step
+        jobs = left
+    keys, rows = [], []
+    for key in sorted(found):
+        taken: list[tuple] = []
+        for row in sorted(found[key]):
+            at = bisect_left(taken, row[1], key=lambda t: t[1])
+            if (at == 0 or taken[at - 1][2] <= row[1]) and (at == len(taken) or taken[at][1] >= row[2]):
+                taken.insert(at, row)
+        keys += [key] * len(taken)
+        rows += taken
+    columns = [[int(ids[first + d]) for d, _ in keys], [items.ids[k] for _, k in keys], [-x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], [x[3] for x in rows]]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
 
