@@ -365,3 +365,18 @@ def test_no_phone_ip_or_secret_survives(spark, sf_dir):
     for p in map(re.compile, [r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])", r"token = \"(\w+)\""]):
         values = [(d, v) for d, t in texts.items() for v in p.findall(t)]
         assert values and not [v for d, v in values if v in out[d]]
+
+
+def test_no_value_is_its_own_surrogate():
+    for key in (KEY, b"second", pii.DEFAULT_KEY):
+        for (gender, _), names in pii.GIVEN.items():
+            new = [pii.surrogate(key, "name", n.capitalize(), gender).lower() for n in names]
+            assert sorted(new) == sorted(names) and not [n for n, m in zip(names, new) if n == m]
+        for values in ([f"{c}@ab.org" for c in "abcdefghijklmnopqrstuvwxyz"], [f"{c}@{c}.org" for c in "0123456789"]):
+            new = [pii.surrogate(key, "email", v) for v in values]
+            assert len(set(new)) == len(values) and not [v for v, n in zip(values, new) if v.split("@")[0] == n.split("@")[0]]
+    for domain in (2, 3, 26, 97, 1000):
+        got = [pii.permute(KEY, "t", v, domain) for v in range(domain)]
+        odd = [pii.permute(KEY, "t", v, domain, lambda x: x % 2 == 1) for v in range(1, domain, 2)]
+        assert sorted(got) == list(range(domain)) and all(v != n for v, n in enumerate(got))
+        assert sorted(odd) == list(range(1, domain, 2)) and (len(odd) < 2 or all(v != n for v, n in zip(range(1, domain, 2), odd)))

@@ -27,8 +27,8 @@ that ran on into its neighbours is tried with shorter ends, at its groups' ends,
 and where none holds the search goes on just after its first group.
 Results for odd input: a null text stays null; an empty one stays; texts
 without entities stay as they are; a key of no bytes is refused; equal rows give
-equal rows; extra columns pass through.  A permutation may map a value to
-itself, once in so many values as the kind has.
+equal rows; extra columns pass through.  No value is its own surrogate
+where its kind has another of its form.
 """
 
 from __future__ import annotations
@@ -95,19 +95,31 @@ def _prf(key: bytes, tweak: str, turn: int, value: int) -> int:
     return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=32).digest(), "big")
 
 
-def permute(key: bytes, tweak: str, value: int, domain: int, valid: Callable[[int], bool] | None = None) -> int:
-    """A keyed bijection of range(domain), or of its valid values: a Feistel network that walks its cycle until it is inside."""
-    if domain < 2:
-        return value
+def _network(key: bytes, tweak: str, value: int, domain: int, back: bool = False) -> int:
+    """A keyed bijection of range(domain), or its inverse: a Feistel network that walks its cycle until it is inside."""
     bits = max(2, (domain - 1).bit_length())
     low = bits // 2
     high = bits - low
     while True:
         a, b, wa, wb = value >> low, value & ((1 << low) - 1), high, low
-        for turn in range(10):
-            a, b, wa, wb = b, a ^ (_prf(key, f"{tweak}|{domain}", turn, b) & ((1 << wa) - 1)), wb, wa
+        for turn in range(9, -1, -1) if back else range(10):
+            if back:
+                a, b, wa, wb = b ^ (_prf(key, tweak, turn, a) & ((1 << wb) - 1)), a, wb, wa
+            else:
+                a, b, wa, wb = b, a ^ (_prf(key, tweak, turn, b) & ((1 << wa) - 1)), wb, wa
         value = (a << low) | b
-        if value < domain and (valid is None or valid(value)):
+        if value < domain:
+            return value
+
+
+def permute(key: bytes, tweak: str, value: int, domain: int, valid: Callable[[int], bool] | None = None) -> int:
+    """A keyed bijection of range(domain), or of its valid values, in which none of two or more is its own image: the next one in a keyed order."""
+    if domain < 2:
+        return value
+    tweak = f"{tweak}|{domain}"
+    while True:
+        value = _network(key, tweak, (_network(key, tweak, value, domain) + 1) % domain, domain, back=True)
+        if valid is None or valid(value):
             return value
 
 
