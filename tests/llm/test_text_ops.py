@@ -380,3 +380,13 @@ def test_no_value_is_its_own_surrogate():
         odd = [pii.permute(KEY, "t", v, domain, lambda x: x % 2 == 1) for v in range(1, domain, 2)]
         assert sorted(got) == list(range(domain)) and all(v != n for v, n in enumerate(got))
         assert sorted(odd) == list(range(1, domain, 2)) and (len(odd) < 2 or all(v != n for v, n in zip(range(1, domain, 2), odd)))
+
+
+@pytest.mark.parametrize("name, before", [("Emily Clark", ""), ("Priya Shah", ""), ("Clark Novak", "Dr. "), ("Shah", "Prof "), ("محمد علي", "السيد "), ("王小明", "Dr "), ("Łukasz Żuraw", "Herr ")])
+def test_names_of_more_lists_titles_and_scripts(name, before):
+    new, found = pii.replace(f"of {before}{name}, then", KEY)
+    assert [k for k, _, _ in found] == ["name"] and new.startswith(f"of {before}") and new.endswith(", then")
+    part = new[found[0][1] :][: found[0][2]]
+    assert not set(part.split()) & set(name.split()) and len(part.split()) == len(name.split())
+    maybe = pii.pc.match_substring_regex(pii.pa.array([f"of {before}{name}, then"]), pii._MAYBE)
+    assert maybe.to_pylist() == [True]

@@ -16,11 +16,12 @@ table of entities is built and nothing is shuffled.
 * social security number (3-2-4 digits): digits permuted.
 * secrets: values named token, secret, password or key, and hexadecimal strings
   of 32 to 64 digits: permuted within each character's class.
-* names: after a title that tells the gender, or a known given name with another
+* names: after a title, or a known given name with another
   capitalised word.  A known given name becomes another one of the same gender
   and script; other names are permuted letter by letter, vowels and consonants
-  apart, within their script, past the known ones.  Case and length of such
-  names stay.
+  apart, within their script, past the known ones; letters of a script without
+  classes here within their part of the code table.  Case and length of such names
+  stay.
 
 Digits that fail a kind's check (Luhn, octets above 255) are left alone.  A match
 that ran on into its neighbours is tried with shorter ends, at its groups' ends,
@@ -35,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -47,20 +49,37 @@ from pyspark.sql import functions as F
 DEFAULT_KEY = b"weftline surrogate key"
 
 GIVEN = {
-    ("f", "latin"): "anna emma maria laura sofia julia elena lucia clara marie sarah alice jane mary susan linda karen nancy helga ingrid carmen pilar camille juliette".split(),
-    ("m", "latin"): "john james peter paul mark david daniel thomas michael robert william hans karl jürgen wolfgang carlos josé miguel pierre jean louis antoine luca marco".split(),
-    ("f", "cyrillic"): "анна мария елена ольга наталья ирина татьяна светлана юлия екатерина".split(),
-    ("m", "cyrillic"): "иван пётр алексей дмитрий сергей андрей николай михаил владимир олег".split(),
-    ("f", "greek"): "μαρία ελένη άννα σοφία κατερίνα ιωάννα".split(),
-    ("m", "greek"): "γιώργος δημήτρης νίκος κώστας γιάννης παύλος".split(),
+    ("f", "latin"): "anna emma maria laura sofia julia elena lucia clara marie sarah alice jane mary susan linda karen nancy helga ingrid carmen pilar camille juliette emily olivia sophia isabella charlotte amelia evelyn abigail elizabeth emilia hannah natalie zoe leah audrey claire samantha caroline naomi jessica jennifer patricia barbara margaret lisa betty sandra ashley kimberly donna michelle amanda melissa deborah stephanie rebecca sharon cynthia kathleen amy angela shirley brenda pamela nicole katherine catherine christine rachel carolyn janet diane heather julie joyce lauren kelly christina joanna evelina judith andrea megan cheryl jacqueline martha teresa sara janice kathryn gloria priya anjali pooja neha divya kavya ananya deepika lakshmi sunita fatima aisha zainab khadija maryam leila yasmin amina noor mei ling yuki sakura hana aiko keiko yoko akiko minji jiwoo sofía lucía martina paula valentina camila ximena rosa beatriz inês mariana gabriela fernanda larissa chiara giulia francesca alessandra elisa federica katharina sabine petra monika ursula heike birgit claudia johanna lena leonie amélie chloé léa manon inès océane hélène élodie céline agnieszka katarzyna małgorzata magdalena ewa zofia ingeborg astrid freja sigrid kirsten annika ayşe fatma zeynep elif emine".split(),
+    ("m", "latin"): "john james peter paul mark david daniel thomas michael robert william hans karl jürgen wolfgang carlos josé miguel pierre jean louis antoine luca marco liam noah oliver benjamin lucas henry theodore alexander jacob ethan samuel joseph matthew jackson sebastian aiden owen dylan luke gabriel anthony isaac julian christopher joshua andrew nathan aaron ryan adam kevin brian george edward ronald timothy jason jeffrey gary nicholas eric jonathan stephen larry justin scott brandon gregory raymond patrick dennis jerry tyler jose henrik douglas zachary kyle walter harold keith roger arthur gerald lawrence sean albert joe bruce raj arjun rahul amit vikram sanjay rohan anil sunil suresh ramesh rajesh krishna mohammed muhammad mohamed ahmed ali omar hassan hussein ibrahim yusuf khalid abdullah wei jun hiroshi kenji takashi haruto yuto satoshi minjun jihoon juan luis jorge pedro alejandro fernando javier antonio manuel francisco diego rafael sergio andrés joão paulo tiago rodrigo gustavo giuseppe giovanni francesco alessandro matteo lorenzo andreas stefan jens uwe klaus dieter markus tobias florian lukas felix maximilian fritz heinrich étienne françois jacques philippe nicolas guillaume olivier laurent rené thierry piotr krzysztof tomasz paweł marcin lars sven björn erik nils magnus anders mehmet mustafa ahmet emre".split(),
+    ("f", "cyrillic"): "анна мария елена ольга наталья ирина татьяна светлана юлия екатерина александра анастасия вера виктория галина дарья ксения людмила маргарита надежда оксана полина софья валентина алина".split(),
+    ("m", "cyrillic"): "иван пётр алексей дмитрий сергей андрей николай михаил владимир олег александр антон борис виктор виталий георгий денис евгений игорь кирилл константин максим никита павел роман юрий артём".split(),
+    ("f", "greek"): "μαρία ελένη άννα σοφία κατερίνα ιωάννα ειρήνη βασιλική δήμητρα αικατερίνη χριστίνα παναγιώτα ευαγγελία".split(),
+    ("m", "greek"): "γιώργος δημήτρης νίκος κώστας γιάννης παύλος χρήστος βασίλης αλέξανδρος σπύρος θανάσης μιχάλης στέλιος".split(),
 }
 _KNOWN = {name: (place, i) for place, names in GIVEN.items() for i, name in enumerate(names)}
 _TITLES = {
-    **dict.fromkeys(["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "Господин", "κύριος", "Κύριος"], "m"),
-    **dict.fromkeys(["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Señorita", "Madame", "Mme", "госпожа", "Госпожа", "κυρία", "Κυρία"], "f"),
+    **dict.fromkeys(["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "Господин", "κύριος", "Κύριος", "Sir", "Lord", "Signor", "Senhor", "السيد"], "m"),
+    **dict.fromkeys(["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Señorita", "Madame", "Mme", "госпожа", "Госпожа", "κυρία", "Κυρία", "Lady", "Dame", "Mlle", "Mademoiselle", "Signora", "Senhora", "السيدة", "الآنسة"], "f"),
+    **dict.fromkeys(["Dr", "Prof", "Professor", "Mx", "Docteur", "Doctor", "Doktor", "доктор", "Доктор", "профессор", "Профессор", "Δρ", "الدكتور", "الدكتورة"], ""),
 }
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäöüëï", "ñçß", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψς"]
-_VOWELED = {c: k for k in _CLASSES for c in k}
+
+
+class _ByScript(dict):
+    """The class of every letter: one of _CLASSES, or letters of its kind in its part of the code table."""
+
+    def __contains__(self, c: object) -> bool:
+        return isinstance(c, str) and (dict.__contains__(self, c) or c.isalpha())
+
+    def __missing__(self, c: str) -> str:
+        code, kind = ord(c), unicodedata.category(c)
+        low, high = next((r for r in ((0x3400, 0x4DB6), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4)) if r[0] <= code < r[1]), (code & ~127, (code & ~127) + 128))
+        same = [x for x in map(chr, range(low, high)) if unicodedata.category(x) == kind and not dict.__contains__(self, x) and unicodedata.normalize("NFKC", x) == x and x.lower() == x and (kind == "Lo" or (len(x.upper()) == 1 and x.upper().lower() == x))]
+        self[c] = "".join(same) if c in same else c
+        return self[c]
+
+
+_VOWELED = _ByScript({c: k for k in _CLASSES for c in k})
 _PLAIN = {c: k for k in ("0123456789", "abcdefghijklmnopqrstuvwxyz") for c in k}
 
 _NAME_WORD = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
