@@ -78,6 +78,17 @@ def test_odd_rows_of_near_dedup(spark):
     assert simhash.deduplicate(docs.where("false")).count() == 0 and simhash.near_dups(docs.where("false")).count() == 0
 
 
+def test_repeated_ids_of_different_texts_lose_no_text(spark):
+    """Each group leaves one row, wherever its ids stand in other groups too."""
+    rng = random.Random(12)
+    a, b, c, x, y = (" ".join(words(rng, 40)) for _ in range(5))
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (7, x), (7, y), (8, y), (7, ""), (11, c), (11, c), (None, a)], DOC)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (7, x), (7, y), (7, ""), (11, c), (None, a)], key=str)
+    dups = sorted(tuple(r) for r in simhash.near_dups(docs).collect())
+    assert dups == sorted([(3, 3, 2, True), (5, 3, 2, False), (5, 5, 2, True), (9, 5, 2, False), (7, 7, 2, True), (8, 7, 2, False), (11, 11, 2, True), (11, 11, 2, True)])
+
+
 def test_components_by_rounds_and_in_memory(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import text as T
 from .graph import Forest, components
@@ -279,38 +280,67 @@ def near_edges(points: DataFrame, near: Near = Near(), leaf: int = 16_384, block
 
 
 def near_groups(docs: DataFrame, near: Near = Near(), **plan: int) -> DataFrame:
-    """doc_id, f0..f3, size, group_id, keep for each row with words and a doc_id.
+    """doc_id, f0..f3, size, group_id, keep, root for each row with words and a doc_id.
 
-    group_id is the smallest doc_id of the row's group; keep marks the rows of that doc_id.
-    Rows that share a doc_id are one document, whatever their texts (see deduplicate).
+    group_id is the smallest doc_id of the row's group, and root the group itself: where a
+    doc_id repeats with different texts, several groups may have the same smallest one.
+    keep marks the rows of one text of each group, under that doc_id.
     """
     prints = cut(fingerprints(docs))
     points = cut(prints.groupBy("size", *FP).agg(F.min("doc_id").alias("rep")))
-    groups = components(near_edges(points, near, **plan))
-    named = points.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("size", *FP, F.coalesce("root", "rep").alias("group_id"))
+    twins = not points.groupBy("rep").count().where("count > 1").isEmpty()
+    if twins:
+        # One id is the smallest of several fingerprints: these go by names of their own.
+        points = cut(points.select("size", *FP, F.col("rep").alias("doc"), F.xxhash64("size", *FP).alias("rep")))
+    groups = components(near_edges(points.select("size", *FP, "rep"), near, **plan))
+    named = points.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    if twins:
+        group = Window.partitionBy("root")
+        named = named.select("size", *FP, "root", F.min("doc").over(group).alias("group_id"), (F.row_number().over(group.orderBy("doc", "size", *FP)) == 1).alias("first"))
+    else:
+        named = named.select("size", *FP, "root", F.col("root").alias("group_id"), F.lit(True).alias("first"))
     out = prints.join(named, ["size", *FP])
-    return out.select("doc_id", "size", *FP, "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    return out.select("doc_id", "size", *FP, "group_id", (F.col("first") & (F.col("doc_id") == F.col("group_id"))).alias("keep"), "root")
 
 
 def near_dups(docs: DataFrame, near: Near = Near(), **plan: int) -> DataFrame:
     """doc_id, group_id, group_size, keep of all rows that have a near copy."""
     g = near_groups(docs, near, **plan)
-    sizes = g.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size > 1")
-    return g.join(sizes, "group_id").select("doc_id", "group_id", "group_size", "keep")
+    sizes = g.groupBy("root").agg(F.count("*").alias("group_size")).where("group_size > 1")
+    return g.join(sizes, "root").select("doc_id", "group_id", "group_size", "keep")
+
+
+def _with_prints(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, sizes = fingerprint_batch(b.column(at))
+            more = [pa.array(sizes), *(pa.array(prints[:, k].copy().view(np.int64)) for k in range(WORDS64))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "__size", *(f"__{c}" for c in FP)])
+
+    return run
+
+
+def _by_row(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs to keep, by doc_id and fingerprint: one for each kept text of an id, and those without words."""
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    inner = inner.withColumn("__id", F.col(f"c{docs.columns.index('doc_id')}").cast("long")).withColumn("__text", F.col(f"c{docs.columns.index('text')}").cast("string"))
+    schema = StructType([*inner.schema.fields, *(StructField(f"__{c}", LongType()) for c in ["size", *FP])])
+    rows = inner.mapInArrow(_with_prints(len(inner.columns) - 1), schema).withColumn("__print", F.when(F.col("__size") > 0, F.xxhash64("__size", *(f"__{c}" for c in FP))))
+    kept = groups.where("keep").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.lit(True).alias("__keep")).distinct()
+    nth = F.row_number().over(Window.partitionBy("__id", "__print").orderBy(F.xxhash64("__text"), "__text"))
+    rows = rows.join(kept, ["__id", "__print"], "left").withColumn("__nth", nth).where("__print is null or (__keep and __nth = 1)")
+    return rows.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def deduplicate(docs: DataFrame, near: Near = Near(), **plan: int) -> DataFrame:
     """docs with one row of each group of near copies; rows without words or doc_id stay as they are."""
-    groups = cut(near_groups(docs, near, **plan).select("doc_id", "keep"))
+    groups = cut(near_groups(docs, near, **plan).select("doc_id", "keep", F.xxhash64("size", *FP).alias("print")))
+    # Where an id has rows of several texts, or two rows of one, each row is judged; elsewhere the id tells it.
+    several = cut(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__several_id")))
     drop = groups.where("not keep").select(F.col("doc_id").alias("__drop_id")).distinct()
-    left = docs.join(drop, docs["doc_id"].cast("long") == drop["__drop_id"], "left_anti")
-    again = groups.where("keep").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again_id"))
-    if again.isEmpty():
-        return left
-    once = left.join(again, left["doc_id"].cast("long") == again["__again_id"], "left_anti")
-    twice = left.join(again, left["doc_id"].cast("long") == again["__again_id"], "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    nth = "__nth"
-    while nth in docs.columns:
-        nth += "_"
-    return once.unionByName(twice.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth))
+    if several.isEmpty():
+        return docs.join(drop, docs["doc_id"].cast("long") == drop["__drop_id"], "left_anti")
+    once = docs.join(several, docs["doc_id"].cast("long") == several["__several_id"], "left_anti")
+    once = once.join(drop, once["doc_id"].cast("long") == drop["__drop_id"], "left_anti")
+    more = docs.join(several, docs["doc_id"].cast("long") == several["__several_id"], "left_semi")
+    return once.unionByName(_by_row(more, groups))
