@@ -138,6 +138,16 @@ def test_statuses_of_records(spark):
     assert [x[1] for x in got if not x[0]] == ["bad_record"] * 4 and warc.reassemble(docs.where("false")).count() == 0
 
 
+def test_segments_of_all_types_numbers_and_totals(spark):
+    part = lambda o, c, **f: record("continuation", f"{o}-x", c, Segment_Origin_ID=o, **f)
+    rows = [record("resource", "res", b"ab", Segment_Number=1), part("res", b"cd", Segment_Number=2, Segment_Total_Length=4), record("request", "plain", b"q")]
+    rows += [record("response", "big", b"a", Segment_Number=1), part("big", b"b", Segment_Number=2, Segment_Total_Length=3_000_000_000)]
+    rows += [record("response", "lost", b"a", Segment_Number=1), part("lost", b"b", Segment_Total_Length=2), part("odd", b"b", Segment_Number="x")]
+    got = sorted((r["record_id"], r["status"], r["body"] and bytes(r["body"])) for r in warc.reassemble(spark.createDataFrame([(bytearray(r),) for r in rows], "record binary")).collect())
+    # A total beyond 32 bits is read: what is missing are segments, not the total.
+    assert got == [("big", "missing_segment", None), ("lost", "no_segment_number", None), ("lost", "no_total", None), ("odd", "no_segment_number", None), ("res", "ok", b"abcd")]
+
+
 def test_chunked_framing():
     for n in (0, 1, 7, 5000):
         body = bytes(range(256)) * n

@@ -10,9 +10,10 @@ Results for odd input (column status): "ok"; "bad_record" (null, empty or withou
 a WARC head, or a content shorter than it says); "missing_segment" (no first one,
 or a gap); "no_total" (no segment gives a total length); "length_mismatch";
 "conflicting_segment" (two different contents of one number; equal repeated
-segments count once); "bad_framing" (chunk sizes don't hold).  The body is null
-unless the status is "ok".  Records of other types than response and
-continuation are passed over.
+segments count once); "no_segment_number" (a continuation, or a segmented record,
+whose number can't be read: a row of its own); "bad_framing" (chunk sizes don't
+hold).  The body is null unless the status is "ok".  Records of other types than
+response and continuation are passed over unless they are segmented.
 """
 
 from __future__ import annotations
@@ -118,8 +119,13 @@ _PARSED = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total",
 _PARSED_DDL = "origin string, segment int, total long, uri string, content binary, known boolean"
 
 
-def _number(text: str | None) -> int | None:
-    return int(text) if text and text.isdecimal() and len(text) < 10 else None
+#: Stands for the number of a segment that gives none that can be read.
+UNREADABLE = -1
+
+
+def _number(text: str | None, bits: int = 63) -> int | None:
+    number = int(text) if text and text.isdecimal() and len(text) < 20 else 1 << bits
+    return number if number < 1 << bits else None
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +139,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 fields, content = found
                 kind = fields.get("warc-type")
-                if kind == "response" or kind == "continuation":
+                if kind == "response" or kind == "continuation" or "warc-segment-number" in fields:
                     origin = fields.get("warc-segment-origin-id") if kind == "continuation" else fields.get("warc-record-id")
-                    rows.append((origin, _number(fields.get("warc-segment-number")), _number(fields.get("warc-segment-total-length")), fields.get("warc-target-uri"), content, True))
+                    segment = _number(fields.get("warc-segment-number"), 31)
+                    if segment is None and (kind == "continuation" or "warc-segment-number" in fields):
+                        segment = UNREADABLE
+                    rows.append((origin, segment, _number(fields.get("warc-segment-total-length")), fields.get("warc-target-uri"), content, True))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_PARSED), _PARSED)], schema=_PARSED)
 
 
@@ -153,6 +162,8 @@ def body(block: bytes) -> bytes:
 
 def join(segments: list[tuple[int | None, int | None, bytes]]) -> tuple[str, bytes]:
     """(status, whole block) of (number, total, content) segments in any order; a number of None: not segmented."""
+    if any(number == UNREADABLE for number, _, _ in segments):
+        return "no_segment_number", b""
     by: dict[int, bytes] = {}
     totals = set()
     for number, total, content in segments:
@@ -198,8 +209,8 @@ def reassemble(records: DataFrame) -> DataFrame:
     """record_id, uri, n_segments, total_length, status, body of every whole record; records: a binary column record."""
     parsed = records.select(F.col("record").cast("binary")).mapInArrow(_parse, _PARSED_DDL)
     one = F.struct("segment", "total", "content")
-    whole = parsed.where("segment is null or origin is null").select("origin", "uri", "known", F.array(one).alias("segments"))
-    cut = parsed.where("segment is not null and origin is not null").groupBy("origin").agg(F.max("uri").alias("uri"), F.min("known").alias("known"), F.collect_list(one).alias("segments"))
+    whole = parsed.where(f"segment is null or segment = {UNREADABLE} or origin is null").select("origin", "uri", "known", F.array(one).alias("segments"))
+    cut = parsed.where(f"segment <> {UNREADABLE} and origin is not null").groupBy("origin").agg(F.max("uri").alias("uri"), F.min("known").alias("known"), F.collect_list(one).alias("segments"))
     return whole.unionByName(cut).mapInArrow(_assemble, _OUT)
 
 
