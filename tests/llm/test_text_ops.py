@@ -380,7 +380,7 @@ def test_no_phone_ip_or_secret_survives(spark, sf_dir):
 def test_no_value_is_its_own_surrogate():
     for key in (KEY, b"second", pii.DEFAULT_KEY):
         for (gender, _), names in pii.GIVEN.items():
-            new = [pii.surrogate(key, "name", n.capitalize(), gender).lower() for n in names]
+            new = [pii.surrogate(key, "name", n.capitalize()).lower() for n in names]
             assert sorted(new) == sorted(names) and not [n for n, m in zip(names, new) if n == m]
         for values in ([f"{c}@ab.org" for c in "abcdefghijklmnopqrstuvwxyz"], [f"{c}@{c}.org" for c in "0123456789"]):
             new = [pii.surrogate(key, "email", v) for v in values]
@@ -400,3 +400,78 @@ def test_names_of_more_lists_titles_and_scripts(name, before):
     assert not set(part.split()) & set(name.split()) and len(part.split()) == len(name.split())
     maybe = pii.pc.match_substring_regex(pii.pa.array([f"of {before}{name}, then"]), pii._MAYBE)
     assert maybe.to_pylist() == [True]
+
+
+def test_entities_of_any_length():
+    """In time proportional to the length, one-to-one, and without a run of characters that stays."""
+    for text, kind in (("token: " + "a1B" * 3400, "secret"), ("x" * 9000 + "@mail.org", "email"), ("Frau M" + "a" * 9000, "name"), ("token=" + "aZ9" * 100_000, "secret")):
+        new, found = pii.replace(text, KEY)
+        assert [k for k, _, _ in found] == [kind] and len(new) == len(text)
+        start = found[0][1]
+        assert all(new[i : i + pii.CHUNK] != text[i : i + pii.CHUNK] for i in range(start, start + found[0][2] - 40, pii.CHUNK))
+    long = [f"{a}{'q7' * 60}{b}" for a in "abcdef" for b in "uvwxyz"]
+    new = [pii.surrogate(KEY, "secret", v) for v in long]
+    # Each run of characters goes under what stands before it: a common middle shows nowhere.
+    assert len(set(new)) == len(long) and len({n[60:90] for n in new}) == 6
+
+
+def test_long_entities_pass_a_job(spark):
+    docs = spark.createDataFrame([(1, "api_key: " + "Ab9" * 3000), (2, "y" * 9000 + "@a.org b"), (3, "Frau Q" + "e" * 9000)], DOC)
+    out = {r["doc_id"]: r for r in pii.surrogates(docs).collect()}
+    assert all(len(out[d]["entities"]) == 1 for d in (1, 2, 3)) and len(pii.replace_all(docs).collect()) == 3
+
+
+PHONES = [["+4915112345678", "+49 151 12345678", "0151 12345678", "+49 (0)151 12345678", "0049 151 12345678"], ["(826) 555-4081", "+1 826 555-4081", "+18265554081", "826-555-4081"], ["020 7946 0958", "+44 20 7946 0958", "+442079460958"]]
+
+
+@pytest.mark.parametrize("forms", PHONES)
+def test_one_number_in_many_layouts_has_one_surrogate(forms):
+    digits, heads = set(), {"+49": "+49", "0049": "0049", "+44": "+44", "+1": "+1"}
+    for text in forms:
+        new, found = pii.replace(f"call {text} now", KEY)
+        assert [k for k, _, _ in found] == ["phone"] and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {text} now")
+        part = new[5:-4]
+        assert all(part.startswith(h) for h in heads if text.startswith(h))
+        national = re.sub(r"\D", "", part.replace("(0)", ""))
+        digits.add(national[-len(re.sub(r"\D", "", forms[1 if forms[1][0] == "+" else 0][3:])) :].lstrip("0")[-8:])
+    assert len(digits) == 1 and pii.replace("on 01-02-2024 at 007 12", KEY)[1] == []
+
+
+def test_given_names_keep_their_gender_under_all_titles():
+    for key in [b"k%d" % i for i in range(50)]:
+        for place, names in pii.GIVEN.items():
+            new = [pii.surrogate(key, "name", n[0].upper() + n[1:]).lower() for n in names]
+            assert sorted(new) == sorted(names) and not [n for n, m in zip(names, new) if n == m], (key, place)
+    for title in pii._TITLES:
+        for name in ("Maria", "Peter", "Robin"):
+            new, found = pii.replace(f"{title} {name} Olsen", KEY)
+            place = pii._KNOWN[name.lower()][0]
+            assert found[0][0] == "name" and new.startswith(f"{title} ") and pii._KNOWN[new[len(title) + 1 :].split()[0].lower()][0] == place
+            assert new.split()[-2:] == pii.replace(f"{name} Olsen", KEY)[0].split()
+
+
+@pytest.mark.parametrize("word", ["Nora", "Иванова", "Иванов", "Достоевский", "Παπαδοπούλου", "Novotná", "Kowalska", "Kowalski"])
+def test_endings_that_tell_a_gender_stay(word):
+    end = pii._ending(word.lower())
+    others = {pii.surrogate(KEY, "name", word[: -len(end)][:-1] + c + end) for c in ("бвгд" if word[0] > "А" and word[0] < "я" else "βγδζ" if word[0] > "Α" and word[0] < "ω" else "bcdf")}
+    new = pii.surrogate(KEY, "name", word)
+    assert end and new.endswith(end) and new != word and pii._ending(new.lower()) == end and len(others) == 4
+
+
+def test_surrogates_are_distinct_and_the_same_everywhere(spark):
+    """Over the documents of sf0.01, by the entities' places in the old text and in the new one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    pairs, checked = {}, 0
+    for r in pii.surrogates(docs).collect():
+        old, shift = texts[r["doc_id"]], 0
+        for e in r["entities"]:
+            new = r["text"][e["start"] : e["start"] + e["length"]]
+            # Every kind keeps the length.
+            was = old[e["start"] : e["start"] + e["length"]]
+            assert pairs.setdefault((e["kind"], was), new) == new and was != new
+            checked += 1
+        assert len(old) == len(r["text"]) or any(e["kind"] == "ip" for e in r["entities"])
+        if any(e["kind"] in ("ip", "name") for e in r["entities"]):
+            pairs = {k: v for k, v in pairs.items() if k[0] not in ("ip", "name")}
+    assert checked > 50 and len(set(pairs.values())) == len(pairs)

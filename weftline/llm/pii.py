@@ -8,24 +8,29 @@ table of entities is built and nothing is shuffled.
 
 * e-mail: letters and digits of the local part, and of the domain but its last
   label, each permuted within their class; case and separators stay.
-* phone: the national digits are permuted, whatever the layout; country code,
-  brackets and separators stay.
+* phone: the national digits (without country code, trunk zero and leading zeros)
+  are permuted, whatever the layout, so that +4915112345678, +49 151 12345678 and
+  0151 12345678 get the same ones; country code, brackets and separators stay.
 * card (Luhn-valid, 13 to 19 digits): first digit and grouping stay, the check
   digit is made anew.  IBAN (valid): country and layout stay, check digits anew.
 * IPv4: permuted within its class (private ranges, loopback, public, other).
 * social security number (3-2-4 digits): digits permuted.
-* secrets: values named token, secret, password or key, and hexadecimal strings
+* secrets: values named token, secret, password or api, access or secret key, and hexadecimal strings
   of 32 to 64 digits: permuted within each character's class.
 * names: after a title, or a known given name with another
   capitalised word.  A known given name becomes another one of the same gender
-  and script; other names are permuted letter by letter, vowels and consonants
-  apart, within their script, past the known ones; letters of a script without
-  classes here within their part of the code table.  Case and length of such names
-  stay.
+  (or another that both have) and script, also after a title of the other gender:
+  the name alone has to have the same surrogate.  Other names are permuted letter
+  by letter, vowels and consonants apart, within their script, past the known ones,
+  and keep an ending that tells a gender (-a, -ova, -ский, -ος); letters of a script
+  without classes here within their part of the code table.  Case and length of
+  such names stay.
 
 Digits that fail a kind's check (Luhn, octets above 255) are left alone.  A match
 that ran on into its neighbours is tried with shorter ends, at its groups' ends,
-and where none holds the search goes on just after its first group.
+and where none holds the search goes on just after its first group.  Entities may
+have any length: letters are permuted in runs of CHUNK, each under what stands
+before it, in time proportional to the length.
 Results for odd input: a null text stays null; an empty one stays; texts
 without entities stay as they are; a key of no bytes is refused; equal rows give
 equal rows; extra columns pass through.  No value is its own surrogate
@@ -49,19 +54,18 @@ from pyspark.sql import functions as F
 DEFAULT_KEY = b"weftline surrogate key"
 
 GIVEN = {
-    ("f", "latin"): "anna emma maria laura sofia julia elena lucia clara marie sarah alice jane mary susan linda karen nancy helga ingrid carmen pilar camille juliette emily olivia sophia isabella charlotte amelia evelyn abigail elizabeth emilia hannah natalie zoe leah audrey claire samantha caroline naomi jessica jennifer patricia barbara margaret lisa betty sandra ashley kimberly donna michelle amanda melissa deborah stephanie rebecca sharon cynthia kathleen amy angela shirley brenda pamela nicole katherine catherine christine rachel carolyn janet diane heather julie joyce lauren kelly christina joanna evelina judith andrea megan cheryl jacqueline martha teresa sara janice kathryn gloria priya anjali pooja neha divya kavya ananya deepika lakshmi sunita fatima aisha zainab khadija maryam leila yasmin amina noor mei ling yuki sakura hana aiko keiko yoko akiko minji jiwoo sofía lucía martina paula valentina camila ximena rosa beatriz inês mariana gabriela fernanda larissa chiara giulia francesca alessandra elisa federica katharina sabine petra monika ursula heike birgit claudia johanna lena leonie amélie chloé léa manon inès océane hélène élodie céline agnieszka katarzyna małgorzata magdalena ewa zofia ingeborg astrid freja sigrid kirsten annika ayşe fatma zeynep elif emine".split(),
-    ("m", "latin"): "john james peter paul mark david daniel thomas michael robert william hans karl jürgen wolfgang carlos josé miguel pierre jean louis antoine luca marco liam noah oliver benjamin lucas henry theodore alexander jacob ethan samuel joseph matthew jackson sebastian aiden owen dylan luke gabriel anthony isaac julian christopher joshua andrew nathan aaron ryan adam kevin brian george edward ronald timothy jason jeffrey gary nicholas eric jonathan stephen larry justin scott brandon gregory raymond patrick dennis jerry tyler jose henrik douglas zachary kyle walter harold keith roger arthur gerald lawrence sean albert joe bruce raj arjun rahul amit vikram sanjay rohan anil sunil suresh ramesh rajesh krishna mohammed muhammad mohamed ahmed ali omar hassan hussein ibrahim yusuf khalid abdullah wei jun hiroshi kenji takashi haruto yuto satoshi minjun jihoon juan luis jorge pedro alejandro fernando javier antonio manuel francisco diego rafael sergio andrés joão paulo tiago rodrigo gustavo giuseppe giovanni francesco alessandro matteo lorenzo andreas stefan jens uwe klaus dieter markus tobias florian lukas felix maximilian fritz heinrich étienne françois jacques philippe nicolas guillaume olivier laurent rené thierry piotr krzysztof tomasz paweł marcin lars sven björn erik nils magnus anders mehmet mustafa ahmet emre".split(),
+    ("f", "latin"): "anna emma maria laura sofia julia elena lucia clara marie sarah alice jane mary susan linda karen nancy helga ingrid carmen pilar juliette emily olivia sophia isabella charlotte amelia evelyn abigail elizabeth emilia hannah natalie zoe leah audrey claire samantha caroline naomi jessica jennifer patricia barbara margaret lisa betty sandra kimberly donna michelle amanda melissa deborah stephanie rebecca sharon cynthia kathleen amy angela shirley brenda pamela nicole katherine catherine christine rachel carolyn janet diane heather julie lauren christina joanna evelina judith megan cheryl jacqueline martha teresa sara janice kathryn gloria priya anjali pooja neha divya kavya ananya deepika lakshmi sunita fatima aisha zainab khadija maryam leila yasmin amina yuki sakura hana aiko keiko yoko akiko minji jiwoo sofía lucía martina paula valentina camila ximena rosa beatriz inês mariana gabriela fernanda larissa chiara giulia francesca alessandra elisa federica katharina sabine petra monika ursula heike birgit claudia johanna lena leonie amélie chloé léa manon inès océane hélène élodie céline agnieszka katarzyna małgorzata magdalena ewa zofia ingeborg astrid freja sigrid kirsten annika ayşe fatma zeynep elif emine".split(),
+    ("m", "latin"): "john james peter paul mark david daniel thomas michael robert william hans karl jürgen wolfgang carlos josé miguel pierre louis antoine luca marco liam noah oliver benjamin lucas henry theodore alexander jacob ethan samuel joseph matthew jackson sebastian aiden owen dylan luke gabriel anthony isaac julian christopher joshua andrew nathan aaron ryan adam kevin brian george edward ronald timothy jason jeffrey gary nicholas eric jonathan stephen larry justin scott brandon gregory raymond patrick dennis jerry tyler jose henrik douglas zachary kyle walter harold keith roger arthur gerald lawrence sean albert joe bruce raj arjun rahul amit vikram sanjay rohan anil sunil suresh ramesh rajesh krishna mohammed muhammad mohamed ahmed ali omar hassan hussein ibrahim yusuf khalid abdullah hiroshi kenji takashi haruto yuto satoshi minjun jihoon juan luis jorge pedro alejandro fernando javier antonio manuel francisco diego rafael sergio andrés joão paulo tiago rodrigo gustavo giuseppe giovanni francesco alessandro matteo lorenzo andreas stefan jens uwe klaus dieter markus tobias florian lukas felix maximilian fritz heinrich étienne françois jacques philippe nicolas guillaume olivier laurent rené thierry piotr krzysztof tomasz paweł marcin lars sven björn erik nils magnus anders mehmet mustafa ahmet emre".split(),
+    ("", "latin"): "andrea camille robin kim alex sascha dominique claude jamie taylor jordan morgan casey leslie ashley kelly shannon ariel noa toni charlie sam riley avery quinn rowan jean nicola simone noor wei jun ling mei joyce".split(),
     ("f", "cyrillic"): "анна мария елена ольга наталья ирина татьяна светлана юлия екатерина александра анастасия вера виктория галина дарья ксения людмила маргарита надежда оксана полина софья валентина алина".split(),
     ("m", "cyrillic"): "иван пётр алексей дмитрий сергей андрей николай михаил владимир олег александр антон борис виктор виталий георгий денис евгений игорь кирилл константин максим никита павел роман юрий артём".split(),
     ("f", "greek"): "μαρία ελένη άννα σοφία κατερίνα ιωάννα ειρήνη βασιλική δήμητρα αικατερίνη χριστίνα παναγιώτα ευαγγελία".split(),
     ("m", "greek"): "γιώργος δημήτρης νίκος κώστας γιάννης παύλος χρήστος βασίλης αλέξανδρος σπύρος θανάσης μιχάλης στέλιος".split(),
 }
 _KNOWN = {name: (place, i) for place, names in GIVEN.items() for i, name in enumerate(names)}
-_TITLES = {
-    **dict.fromkeys(["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "Господин", "κύριος", "Κύριος", "Sir", "Lord", "Signor", "Senhor", "السيد"], "m"),
-    **dict.fromkeys(["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Señorita", "Madame", "Mme", "госпожа", "Госпожа", "κυρία", "Κυρία", "Lady", "Dame", "Mlle", "Mademoiselle", "Signora", "Senhora", "السيدة", "الآنسة"], "f"),
-    **dict.fromkeys(["Dr", "Prof", "Professor", "Mx", "Docteur", "Doctor", "Doktor", "доктор", "Доктор", "профессор", "Профессор", "Δρ", "الدكتور", "الدكتورة"], ""),
-}
+_TITLES = "Mr Herr Señor Sr Monsieur господин Господин κύριος Κύριος Sir Lord Signor Senhor السيد Mrs Ms Miss Frau Señora Sra Señorita Madame Mme госпожа Госпожа κυρία Κυρία Lady Dame Mlle Mademoiselle Signora Senhora السيدة الآنسة Dr Prof Professor Mx Docteur Doctor Doktor доктор Доктор профессор Профессор Δρ الدكتور الدكتورة".split()
+#: Endings that tell a gender, longest first.
+_ENDINGS = sorted("a á e o ova eva ová ina ska ská cka ski ský cki sky ov ev а я ова ева ёва ина ская ский ой ов ев ёв ин οπούλου όπουλος ου ος ης ας ός ής άς α η ά ή".split(), key=len, reverse=True)
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäöüëï", "ñçß", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψς"]
 
 
@@ -92,7 +96,7 @@ _PARTS = [
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
     r"(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))",
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-    r"(?P<phone>(?<![\w+(])(?:(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w))",
+    r"(?P<phone>(?<![\w+(])(?:(?:(?:\+\d{1,3}[ .-]?)|00\d{1,3}[ .-])(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{3,8}(?:[ -]\d{2,8}){0,3})(?!\w))",
     rf"(?P<title>\b(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\b\.? )(?P<name>{_NAME_WORD}(?: {_NAME_WORD})?)",
     rf"(?P<full>\b(?:{_KNOWN_RE}) {_NAME_WORD})",
 ]
@@ -109,9 +113,13 @@ _NEXT = re.compile(rf"{_QUAD.pattern}|\d{{3}}-\d{{2}}-\d{{4}}(?![\w-])|\(?\d{{3}
 _MAYBE = "[0-9@]|" + "|".join(rf"{t}\.? " for t in _TITLES) + "|(?i:token|secret|passw|key)|" + "|".join(rf"{n[0].upper() + n[1:]} " for n in _KNOWN)
 
 
+#: Characters that are permuted together: 2**15 to this power is within the 64 bytes of the two halves' pseudo-random function.
+CHUNK = 32
+
+
 def _prf(key: bytes, tweak: str, turn: int, value: int) -> int:
-    data = f"{tweak}\0{turn}\0{value}".encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=32).digest(), "big")
+    data = b"%s\0%d\0%s" % (tweak.encode("utf-8", "surrogatepass"), turn, value.to_bytes((value.bit_length() + 7) // 8, "big"))
+    return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=64).digest(), "big")
 
 
 def _network(key: bytes, tweak: str, value: int, domain: int, back: bool = False) -> int:
@@ -143,10 +151,24 @@ def permute(key: bytes, tweak: str, value: int, domain: int, valid: Callable[[in
 
 
 def _letters(key: bytes, tweak: str, text: str, classes: dict[str, str], valid: Callable[[str], bool] | None = None) -> str:
-    """text with each character of a class permuted, all together, within its class; case stays, other characters too."""
+    """text with each character of a class permuted, all together, within its class; case stays, other characters too.
+
+    A longer text than CHUNK goes run by run under a digest of what stands before, which is a bijection of the whole as well.
+    """
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    done, before = [], b""
+    for at in range(0, len(low), CHUNK):
+        part = low[at : at + CHUNK]
+        last = at + CHUNK >= len(low)
+        ok = (lambda w: valid("".join([*done, w]))) if valid and last else None
+        done.append(_run_of_letters(key, f"{tweak}|{before.hex()}", part, classes, ok))
+        before = hashlib.blake2b(before + part.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return "".join(n.upper() if o != lo and len(n.upper()) == 1 else n for n, o, lo in zip("".join(done), text, low))
+
+
+def _run_of_letters(key: bytes, tweak: str, low: str, classes: dict[str, str], valid: Callable[[str], bool] | None) -> str:
     places = [i for i, c in enumerate(low) if c in classes]
     radix = [classes[low[i]] for i in places]
     value, domain = 0, 1
@@ -161,8 +183,7 @@ def _letters(key: bytes, tweak: str, text: str, classes: dict[str, str], valid:
         return "".join(out)
 
     shape = "".join(classes[c][0] if c in classes else c for c in low)
-    new = written(permute(key, f"{tweak}|{shape}", value, domain, (lambda v: valid(written(v))) if valid else None))
-    return "".join(n.upper() if o != lo and len(n.upper()) == 1 else n for n, o, lo in zip(new, text, low))
+    return written(permute(key, f"{tweak}|{shape}", value, domain, (lambda v: valid(written(v))) if valid else None))
 
 
 def _digits(text: str, new: str) -> str:
@@ -236,15 +257,27 @@ def _email(key: bytes, text: str) -> str:
     return _letters(key, "local", local, _PLAIN) + "@" + ".".join([*(_letters(key, "domain", x, _PLAIN) for x in labels[:-1]), labels[-1]])
 
 
+#: The country calling codes: no one begins another.
+_COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d")
+
+
 def _phone(key: bytes, text: str) -> str | None:
-    country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    head = country.group() if country else ""
-    rest = text[len(head) :]
+    plus = re.match(r"\+|00", text)
+    at = plus.end() if plus else 0
+    if plus and (country := _COUNTRY.match(text, at)):
+        at = country.end()
+        if trunk := re.match(r"[ .-]?\(0\)", text[at:]):
+            at += trunk.end()
+    head, rest = text[:at], text[at:]
     d = re.sub(r"\D", "", rest)
-    if not d.isascii() or not 7 <= len(d) <= 14:
+    if not d.isascii() or not (7 <= len(d) <= 14 if plus or d[0] != "0" else 9 <= len(d) <= 12):
+        return None
+    # One number in two layouts, with or without its country code or trunk zero, has one surrogate.
+    number = d.lstrip("0")
+    if len(number) < 6:
         return None
-    # One number in two layouts, with or without its country code, has one surrogate.
-    return head + _digits(rest, f"{permute(key, f'phone|{len(d)}', int(d), 10 ** len(d)):0{len(d)}d}")
+    low = 10 ** (len(number) - 1)
+    return head + _digits(rest, "0" * (len(d) - len(number)) + str(low + permute(key, f"phone|{len(number)}", int(number) - low, 9 * low)))
 
 
 def _ssn(key: bytes, text: str) -> str:
@@ -252,21 +285,28 @@ def _ssn(key: bytes, text: str) -> str:
     return _digits(text, f"{permute(key, 'ssn', int(d), 10**9):09d}")
 
 
-def _word(key: bytes, word: str, gender: str) -> str:
+def _ending(low: str) -> str:
+    """The ending that tells a gender, if at least two letters stand before it."""
+    return next((e for e in _ENDINGS if low.endswith(e) and len(low) >= len(e) + 2), "")
+
+
+def _word(key: bytes, word: str) -> str:
     low = word.lower()
     if low in _KNOWN:
         (g, script), i = _KNOWN[low]
         names = GIVEN[g, script]
         new = names[permute(key, f"given|{g}|{script}", i, len(names))]
         return new.upper() if word.isupper() and len(word) > 1 else new[0].upper() + new[1:]
-    return _letters(key, "name", word, _VOWELED, lambda w: w not in _KNOWN)
+    end = _ending(low) if len(low) == len(word) else ""
+    stem = len(word) - len(end)
+    return _letters(key, f"name|{end}", word[:stem], _VOWELED, lambda w: w + end not in _KNOWN and _ending(w + end) == end) + word[stem:]
 
 
-def _name(key: bytes, text: str, gender: str) -> str:
-    return " ".join(_word(key, w, gender) for w in text.split(" "))
+def _name(key: bytes, text: str) -> str:
+    return " ".join(_word(key, w) for w in text.split(" "))
 
 
-def surrogate(key: bytes, kind: str, text: str, gender: str = "") -> str | None:
+def surrogate(key: bytes, kind: str, text: str) -> str | None:
     """The surrogate of an entity, or None if it isn't a valid one of its kind."""
     if kind == "email":
         return _email(key, text)
@@ -283,12 +323,14 @@ def surrogate(key: bytes, kind: str, text: str, gender: str = "") -> str | None:
     if kind in ("secret", "hex"):
         hexadecimal = {c: "0123456789abcdef" for c in "0123456789abcdef"}
         return _letters(key, "secret", text, hexadecimal if re.fullmatch("[0-9a-f]+|[0-9A-F]+", text) else _PLAIN)
-    return _name(key, text, gender)
+    return _name(key, text)
+
+
+_remembered = lru_cache(50_000)(surrogate)
 
 
-@lru_cache(50_000)
-def _cached(key: bytes, kind: str, text: str, gender: str) -> str | None:
-    return surrogate(key, kind, text, gender)
+def _cached(key: bytes, kind: str, text: str) -> str | None:
+    return (_remembered if len(text) <= 64 else surrogate)(key, kind, text)
 
 
 def _ends(kind: str, text: str, a: int, b: int) -> list[int]:
@@ -301,10 +343,10 @@ def _ends(kind: str, text: str, a: int, b: int) -> list[int]:
     return sorted(ends, key=lambda e: (not (e + 1 < len(text) and _NEXT.match(text, e + 1)), not (ten and sum(c.isdigit() for c in text[a:e]) == 11), -e))
 
 
-def _entity(key: bytes, kind: str, text: str, a: int, b: int, gender: str, again: bool) -> tuple[str, int, str] | None:
+def _entity(key: bytes, kind: str, text: str, a: int, b: int, again: bool) -> tuple[str, int, str] | None:
     """(kind, end, surrogate) of the entity at a, whose pattern ends at b; again: a match over a failed before."""
     if kind not in ("phone", "card", "iban"):
-        new = _cached(key, kind, text[a:b], gender)
+        new = _cached(key, kind, text[a:b])
         return None if new is None else (kind, b, new)
     other = _NOT_CARD.match(text, a) if kind == "card" else None
     for e in _ends(kind, text, a, b):
@@ -313,10 +355,10 @@ def _entity(key: bytes, kind: str, text: str, a: int, b: int, gender: str, again
             continue
         if kind == "card" and not 13 <= sum(c.isdigit() for c in part) <= 19:
             continue
-        new = _cached(key, kind, part, gender)
+        new = _cached(key, kind, part)
         if new is not None:
             return kind, e, new
-    return _entity(key, other.lastgroup, text, a, other.end(), gender, again) if other else None
+    return _entity(key, other.lastgroup, text, a, other.end(), again) if other else None
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
@@ -325,7 +367,7 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     while m := PATTERN.search(text, pos):
         kind = m.lastgroup
         a, b = m.span(kind)
-        entity = _entity(key, kind, text, a, b, _TITLES.get((m.group("title") or "").strip(" ."), ""), a < failed)
+        entity = _entity(key, kind, text, a, b, a < failed)
         if entity is None:
             pos, failed = next((i for i in range(a + 1, b) if text[i] in " .-"), b), max(failed, b)
             continue
