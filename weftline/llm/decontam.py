@@ -28,10 +28,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as arrow
 
 from . import text as T
+from .rows import id_type, rows
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -48,7 +51,7 @@ SLICE_ITEMS = 20_000
 class Items:
     """Benchmark items as word hashes; grams: sorted distinct seeds; entries of seed s: item and place at first[s]:first[s + 1]."""
 
-    ids: list[int]
+    ids: pa.Array
     words: list[np.ndarray]
     grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
@@ -57,14 +60,10 @@ class Items:
     size: int = GRAM
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]], size: int = GRAM) -> Items:
-        ids, words = [], []
-        for k, text in sorted((k, t or "") for k, t in rows if k is not None):
-            w, _ = _words(*_single(text))
-            if len(w):
-                ids.append(k)
-                words.append(w)
-        return cls(ids, words, size=size)._indexed(None)
+    def of(cls, ids: pa.Array, texts: list[str | None], size: int = GRAM) -> Items:
+        found = [_words(*_single(t or ""))[0] for t in texts]
+        there = [k for k, w in enumerate(found) if len(w)]
+        return cls(ids.take(pa.array(there, pa.int64())), [found[k] for k in there], size=size)._indexed(None)
 
     def _indexed(self, keep: list[np.ndarray] | None) -> Items:
         """Over all n-grams, or those places of each item that keep names."""
@@ -217,7 +216,7 @@ def passages(at: np.ndarray, start: np.ndarray, length: int, words: int) -> list
 def _find(items: Items, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids = b.column(0)
             for i, _, data, off in T.chunks(b.column(1)):
                 words, woff = _words(data, off)
                 places, found = [], []
@@ -246,7 +245,7 @@ def _find(items: Items, threshold: float):
     return run
 
 
-def _aligned(items: Items, jobs: list[tuple[int, int, int, np.ndarray, np.ndarray]], ids: np.ndarray, first: int, threshold: float) -> pa.RecordBatch:
+def _aligned(items: Items, jobs: list[tuple[int, int, int, np.ndarray, np.ndarray]], ids: pa.Array, first: int, threshold: float) -> pa.RecordBatch:
     found: dict[tuple[int, int], list[tuple]] = {}
     while jobs:
         jobs.sort(key=lambda j: (len(j[3]), len(items.words[j[1]])))
@@ -288,25 +287,24 @@ def _aligned(items: Items, jobs: list[tuple[int, int, int, np.ndarray, np.ndarra
                 taken.insert(at, row)
         keys += [key] * len(taken)
         rows += taken
-    columns = [[int(ids[first + d]) for d, _ in keys], [items.ids[k] for _, k in keys], [-x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], [x[3] for x in rows]]
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
-
-
-SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long"
+    columns = [[-x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], [x[3] for x in rows]]
+    kinds = [pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    named = [ids.take(pa.array([first + d for d, _ in keys], pa.int64())), items.ids.take(pa.array([k for _, k in keys], pa.int64()))]
+    return pa.RecordBatch.from_arrays([*named, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = GRAM, slice_items: int = SLICE_ITEMS) -> DataFrame:
     """doc_id, item_id, score (up to 1), start_word, end_word, n_seeds of every passage that copies a benchmark item; score below the threshold: a verbatim run of LEAST_RUN words or more."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    texts = rows(docs).where("doc_id is not null")
+    tests = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     slices = max(1, -(-tests.count() // slice_items))
     out = None
     for k in range(slices):
         part = tests if slices == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        items = Items.of([tuple(r) for r in part.collect()], size)
-        counts = rows.select("text").mapInArrow(_count(items), "gram long, n_docs long").groupBy("gram").agg(F.sum("n_docs").alias("n")).collect()
-        found = rows.mapInArrow(_find(items.rarest({r["gram"]: r["n"] for r in counts}), threshold), SCHEMA)
+        got = part.orderBy("item_id", "text").toArrow().combine_chunks()
+        items = Items.of(pc.cast(got.column("item_id").combine_chunks(), arrow(benchmark.schema["item_id"].dataType)), got.column("text").to_pylist(), size)
+        counts = texts.select("text").mapInArrow(_count(items), "gram long, n_docs long").groupBy("gram").agg(F.sum("n_docs").alias("n")).collect()
+        found = texts.mapInArrow(_find(items.rarest({r["gram"]: r["n"] for r in counts}), threshold), f"doc_id {id_type(docs)}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, score double, start_word long, end_word long, n_seeds long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -314,4 +312,4 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
 def remove(docs: DataFrame, benchmark: DataFrame, **settings: float) -> DataFrame:
     """docs without the documents that copy a benchmark item."""
     leaks = contaminations(docs, benchmark, **settings).select(F.col("doc_id").alias("__leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["__leak_id"], "left_anti")
+    return docs.join(leaks, docs["doc_id"] == leaks["__leak_id"], "left_anti")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
-#: Up to so many edges one task joins them in memory (some 100 MB); beyond, label rounds run over the cluster.
-ONE_TASK_EDGES = 1_000_000
+#: Nodes that a task's forest holds before it passes them on (some 200 MB).
+HELD = 2_000_000
 
 
 class Forest:
@@ -47,23 +47,28 @@ class Forest:
         return np.array(a, np.int64), np.array([self.root(x) for x in a], np.int64)
 
 
-def _in_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars; at most so many at a time are held."""
     forest = Forest()
+
+    def stars() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest.edges()], names=["a", "b"])
+
     for b in batches:
         forest.unite(b.column(0).to_numpy(), b.column(1).to_numpy())
-    node, root = forest.edges()
-    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+        if len(forest.up) > HELD:
+            yield stars()
+            forest = Forest()
+    yield stars()
 
 
-def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root for each node that isn't the smallest of its component; edges: (a, b) of longs.
 
-    Beyond one_task_edges: alternating large-star and small-star rounds, each cut by a
-    checkpoint, until no edge changes.
+    Each partition's edges become stars; then alternating large-star and small-star
+    rounds, each cut by a checkpoint, until no edge changes.
     """
-    edges = cut(edges.toDF("a", "b").where("a is not null and b is not null and a <> b").distinct())
-    if edges.count() <= one_task_edges:
-        return edges.coalesce(1).mapInArrow(_in_memory, "node long, root long")
+    edges = cut(edges.toDF("a", "b").where("a is not null and b is not null and a <> b").mapInArrow(_local, "a long, b long").distinct())
     state = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -50,6 +50,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import id_type, rows
+
 #: For tests and checks; a production run passes a secret of its own.
 DEFAULT_KEY = b"weftline surrogate key"
 
@@ -417,8 +419,7 @@ def _entities(key: bytes):
 
 def surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """doc_id, text with surrogates, entities (kind, start, length in characters of the new text) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_entities(_key(key)), "doc_id long, text string, entities array<struct<kind: string, start: int, length: int>>")
+    return rows(docs).mapInArrow(_entities(_key(key)), f"doc_id {id_type(docs)}, text string, entities array<struct<kind: string, start: int, length: int>>")
 
 
 def _replaced(key: bytes, at: int):

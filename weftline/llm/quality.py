@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .labelled import labelled
+from .rows import id_type, rows
 
 FEATURES = ["log_words", "word_bytes", "upper", "symbols", "digits", "spaces", "line_words", "repeats", "distinct", "lone_symbols", "ends", "top_share"]
 #: Labelled documents that the model is fitted on, at most.
@@ -204,9 +205,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, **settings: float) -> Model:
     """A model of labels.quality fitted on at most train_rows labelled documents; their features alone come to the driver."""
-    rows = labelled(docs, labels, "quality", train_rows).mapInArrow(_features, f"doc_id long, y int, {', '.join(f'{c} double' for c in FEATURES)}").toPandas()
-    rows = rows.sort_values(["doc_id", *FEATURES], kind="stable")
-    return fit(rows[FEATURES].to_numpy(float), rows["y"].to_numpy(), **settings)
+    got = labelled(docs, labels, "quality", train_rows).mapInArrow(_features, f"doc_id {id_type(docs)}, y int, {', '.join(f'{c} double' for c in FEATURES)}").toPandas()
+    got = got.sort_values(["doc_id", *FEATURES], kind="stable")
+    return fit(got[FEATURES].to_numpy(float), got["y"].to_numpy(), **settings)
 
 
 def _score(model: Model, at: int):
@@ -221,8 +222,7 @@ def _score(model: Model, at: int):
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, quality_score (probability of good), keep, of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(model, 1), "doc_id long, quality_score double, keep boolean")
+    return rows(docs).mapInArrow(_score(model, 1), f"doc_id {id_type(docs)}, quality_score double, keep boolean")
 
 
 def _filter(model: Model, at: int):

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .rows import id_type, rows
 
 MARK = "▁"
 #: Bytes of text whose distinct words share one trie.
@@ -278,8 +279,7 @@ def _encode(path: str):
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(model or default_model()), "doc_id long, ids array<int>, n_tokens long")
+    return rows(docs).mapInArrow(_encode(model or default_model()), f"doc_id {id_type(docs)}, ids array<int>, n_tokens long")
 
 
 def _decode(path: str):
@@ -302,4 +302,4 @@ def _decode(path: str):
 
 def decode(coded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, text of every row of encode()'s kind."""
-    return coded.select("doc_id", "ids", "n_tokens").mapInArrow(_decode(model or default_model()), "doc_id long, ids array<int>, n_tokens long, text string")
+    return coded.select("doc_id", "ids", "n_tokens").mapInArrow(_decode(model or default_model()), f"doc_id {id_type(coded)}, ids array<int>, n_tokens long, text string")

@@ -2,16 +2,17 @@
 
 Each text gets a 256-bit SimHash of its distinct words (letters and digits,
 lower case) and its count of distinct words.  Two texts are near copies when
-the fingerprints differ in at most ``radius`` bits, their first 64 bits in at
-most ``prefix_radius``, and the smaller count is at least ``size_ratio`` of the
-larger.  Each of these three is a radius in a metric (Hamming distance, or the
-difference of log counts), so a vantage-point tree may split on any of them and
-the triangle inequality tells which shards a point's neighbours can be in.
+the fingerprints differ in at most ``radius`` bits and the smaller count is at
+least ``size_ratio`` of the larger.  Both are radii in a metric (Hamming distance,
+and the difference of log counts), so a vantage-point tree may split on either and
+the triangle inequality tells which shards a point's neighbours can be in.  No pair
+within both radii is lost.
 
 Results that are defined for odd input: a text without words (null, empty,
 punctuation only) has no fingerprint and is alone in its group; a null doc_id
 is left out of groups and is kept by ``deduplicate``; repeated rows are copies
-of each other; of equal candidates the smallest doc_id is kept.
+of each other; of equal candidates the smallest doc_id is kept; a doc_id may be of
+any type that has an order.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from . import text as T
 from .graph import Forest, components
+from .rows import id_type, rows as texts_of
 from .store import cut
 
 WORDS64 = 4
@@ -38,7 +40,6 @@ _SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * i + 1) % (1 << 64)) for i in range
 @dataclass(frozen=True)
 class Near:
     radius: int = 48
-    prefix_radius: int = 18
     size_ratio: float = 0.8
 
     @property
@@ -78,12 +79,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, size, f0..f3 of each row that has words and a doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(_fingerprints, f"doc_id long, size long, {', '.join(f'{c} long' for c in FP)}")
+    return texts_of(docs).where("doc_id is not null").mapInArrow(_fingerprints, f"doc_id {id_type(docs)}, size long, {', '.join(f'{c} long' for c in FP)}")
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    """Distances of (n, 4) fingerprints to others, or to one."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 # ---- the tree that routes points to shards ----
@@ -91,32 +92,36 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Node:
-    """A split at distance mu from the vantage point; shard: a leaf's number, blocks: into how many blocks its points are cut."""
+    """A split at distance mu from the vantage point; shard: the number of a leaf's first task, blocks: into how many blocks its points are cut, each pair of them a task."""
 
     kind: str = ""
-    vantage: int = 0
+    vantage: tuple[int, ...] = ()
     mu: float = 0.0
     inner: Node | None = None
     outer: Node | None = None
     shard: int = -1
     blocks: int = 1
 
-    def distance(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return size if self.kind == "size" else hamming(first, np.uint64(self.vantage))
+    def distance(self, prints: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return size if self.kind == "size" else hamming(prints, np.array(self.vantage, np.uint64))
 
+    def margin(self, near: Near) -> float:
+        return near.size_margin if self.kind == "size" else near.radius
 
-def build(first: np.ndarray, size: np.ndarray, near: Near, scale: float, leaf: int, block: int) -> Node:
+
+def build(prints: np.ndarray, size: np.ndarray, near: Near, scale: float, leaf: int, block: int) -> Node:
     """A tree over a sample; scale: points that each of the sample stands for.  size holds logarithms: distances from the vantage count of one word."""
-    count = iter(range(1 << 30))
+    tasks = 0
     rng = np.random.default_rng(7)
 
     def grow(rows: np.ndarray) -> Node:
+        nonlocal tasks
         points = len(rows) * scale
         if points > leaf and len(rows) >= 16:
-            best, f, s = None, first[rows], size[rows]
-            for kind, vantage in [("size", 0), *(("bits", int(x)) for x in f[rng.integers(0, len(f), 6)])]:
+            best, f, s = None, prints[rows], size[rows]
+            for kind, vantage in [("size", ()), *(("bits", tuple(map(int, x))) for x in f[rng.integers(0, len(f), 6)])]:
                 node = Node(kind, vantage)
-                d, margin = node.distance(f, s), near.size_margin if kind == "size" else near.prefix_radius
+                d, margin = node.distance(f, s), node.margin(near)
                 node.mu = float(np.median(d))
                 low, high = d <= node.mu + margin, d > node.mu - margin
                 home = d <= node.mu
@@ -127,32 +132,38 @@ def build(first: np.ndarray, size: np.ndarray, near: Near, scale: float, leaf: i
                 _, node, home = best
                 node.inner, node.outer = grow(rows[home]), grow(rows[~home])
                 return node
-        return Node(shard=next(count), blocks=max(1, math.ceil(points / block)))
+        leaf_ = Node(shard=tasks, blocks=max(1, math.ceil(points / block)))
+        tasks += leaf_.blocks * (leaf_.blocks + 1) // 2
+        return leaf_
 
-    return grow(np.arange(len(first)))
+    return grow(np.arange(len(prints)))
 
 
-def visits(root: Node, first: np.ndarray, size: np.ndarray, near: Near) -> Iterator[tuple[Node, np.ndarray, np.ndarray]]:
+def visits(root: Node, prints: np.ndarray, size: np.ndarray, near: Near) -> Iterator[tuple[Node, np.ndarray, np.ndarray]]:
     """(leaf, points at home there, points that may have a neighbour there and whose home is an earlier leaf)."""
-    stack = [(root, np.arange(len(first)), np.ones(len(first), bool))]
-    seen = np.zeros(len(first), bool)
+    stack = [(root, np.arange(len(prints)), np.ones(len(prints), bool))]
+    seen = np.zeros(len(prints), bool)
     while stack:
         node, rows, home = stack.pop()
         if node.shard >= 0:
             yield node, rows[home], rows[~home & seen[rows]]
             seen[rows[home]] = True
             continue
-        d, margin = node.distance(first[rows], size[rows]), near.size_margin if node.kind == "size" else near.prefix_radius
+        d, margin = node.distance(prints[rows], size[rows]), node.margin(near)
         inside = d <= node.mu
         low, high = d <= node.mu + margin, d > node.mu - margin
         stack.append((node.outer, rows[high], (home & ~inside)[high]))
         stack.append((node.inner, rows[low], (home & inside)[low]))
 
 
+def _prints(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([rows.column(c).to_numpy().view(np.uint64) for c in FP], axis=1)
+
+
 def _route(root: Node, near: Near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first = b.column("f0").to_numpy().view(np.uint64)
+            prints = _prints(b)
             size = np.log(b.column("size").to_numpy())
             tasks, homes, rows = [], [], []
 
@@ -161,13 +172,15 @@ def _route(root: Node, near: Near):
                 homes.append(np.full(len(at), home))
                 rows.append(at)
 
-            spread = T.mix(first.copy())
-            for leaf, own, guests in visits(root, first, size, near):
+            spread = T.mix(prints[:, 0].copy())
+            for leaf, own, guests in visits(root, prints, size, near):
                 of = (spread[own] % np.uint64(leaf.blocks)).astype(np.int64)
+                task = leaf.shard
                 for i in range(leaf.blocks):
+                    put(task, False, guests)
                     for j in range(i, leaf.blocks):
-                        put((leaf.shard << 32) + (i << 16) + j, True, own[(of == i) | (of == j)])
-                    put((leaf.shard << 32) + (i << 16) + i, False, guests)
+                        put(task, True, own[(of == i) | (of == j)])
+                        task += 1
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tasks)), pa.array(np.concatenate(homes)), *(b.column(c).take(at) for c in ["rep", "size", *FP])], names=["task", "home", "rep", "size", *FP])
 
@@ -188,34 +201,38 @@ def near_pairs(p: np.ndarray, p_size: np.ndarray, q: np.ndarray | None, q_size:
         """a: rows of p, b: rows of q."""
         if min(len(a), len(b)) > leaf:
             best = None
-            sample_a, sample_b = p[rng.choice(a, 256), 0], q[rng.choice(b, 256), 0]
-            for v in p[rng.choice(a, 4), 0]:
+            sample_a, sample_b = p[rng.choice(a, 256)], q[rng.choice(b, 256)]
+            for v in p[rng.choice(a, 4)]:
                 da, db = hamming(sample_a, v), hamming(sample_b, v)
                 mu = int(np.median(da))
-                work = (da <= mu).mean() * (db <= mu + near.prefix_radius).mean() + (da > mu).mean() * (db > mu - near.prefix_radius).mean()
+                work = (da <= mu).mean() * (db <= mu + near.radius).mean() + (da > mu).mean() * (db > mu - near.radius).mean()
                 if best is None or work < best[0]:
                     best = (work, v, mu)
             work, v, mu = best
             if work < 0.8:
-                da, db = hamming(p[a, 0], v), hamming(q[b, 0], v)
+                da, db = hamming(p[a], v), hamming(q[b], v)
                 inner, outer = da <= mu, da > mu
                 if inner.any() and outer.any():
-                    yield from search(a[inner], b[db <= mu + near.prefix_radius])
-                    yield from search(a[outer], b[db > mu - near.prefix_radius])
+                    yield from search(a[inner], b[db <= mu + near.radius])
+                    yield from search(a[outer], b[db > mu - near.radius])
                     return
         a, b = a[np.argsort(p_size[a], kind="stable")], b[np.argsort(q_size[b], kind="stable")]
-        fa, sa, fb, sb = np.ascontiguousarray(p[a, 0]), p_size[a], np.ascontiguousarray(q[b, 0]), q_size[b]
-        tile, wide = 64, 4096
-        xor, count, hit = np.empty((tile, wide), np.uint64), np.empty((tile, wide), np.uint8), np.empty((tile, wide), bool)
+        fa, sa, fb, sb = np.ascontiguousarray(p[a].T), p_size[a], np.ascontiguousarray(q[b].T), q_size[b]
+        tile, wide = 32, 2048
+        xor, count, more, hit = np.empty((tile, wide), np.uint64), np.empty((tile, wide), np.uint8), np.empty((tile, wide), np.uint8), np.empty((tile, wide), bool)
         for i in range(0, len(a), tile):
             rows = min(tile, len(a) - i)
             low, high = np.searchsorted(sb, [sa[i] - near.size_margin, sa[i + rows - 1] + near.size_margin], side="left")
             for j in range(low, high, wide):
                 cols = min(wide, high - j)
-                x, c, h = xor[:rows, :cols], count[:rows, :cols], hit[:rows, :cols]
-                np.bitwise_xor(fa[i : i + rows, None], fb[j : j + cols], out=x)
-                np.bitwise_count(x, out=c)
-                np.less_equal(c, near.prefix_radius, out=h)
+                x, c, m, h = xor[:rows, :cols], count[:rows, :cols], more[:rows, :cols], hit[:rows, :cols]
+                # The first three words can't differ in more bits than all four; of what they let through nearly all is near.
+                for word in range(WORDS64 - 1):
+                    np.bitwise_xor(fa[word, i : i + rows, None], fb[word, j : j + cols], out=x)
+                    np.bitwise_count(x, out=m if word else c)
+                    if word:
+                        np.add(c, m, out=c)
+                np.less_equal(c, near.radius, out=h)
                 at = np.flatnonzero(h)
                 if not len(at):
                     continue
@@ -226,7 +243,7 @@ def near_pairs(p: np.ndarray, p_size: np.ndarray, q: np.ndarray | None, q_size:
                     good &= u < w
                 u, w = u[good], w[good]
                 if len(u):
-                    good = hamming(p[u], q[w]).sum(axis=1) <= near.radius
+                    good = hamming(p[u], q[w]) <= near.radius
                     if good.any():
                         yield u[good], w[good]
 
@@ -235,8 +252,7 @@ def near_pairs(p: np.ndarray, p_size: np.ndarray, q: np.ndarray | None, q_size:
 
 
 def _columns(t: pa.Table, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    prints = np.stack([t.column(c).to_numpy()[at].view(np.uint64) for c in FP], axis=1) if len(at) else np.zeros((0, WORDS64), np.uint64)
-    return t.column("rep").to_numpy()[at], prints, np.log(t.column("size").to_numpy()[at])
+    return t.column("rep").to_numpy()[at], _prints(t)[at], np.log(t.column("size").to_numpy()[at])
 
 
 def _shard(near: Near):
@@ -262,21 +278,17 @@ def near_edges(points: DataFrame, near: Near = Near(), leaf: int = 16_384, block
     The sample places the vantage points alone; pairs are exact wherever they stand.
     """
     total = points.count()
-    some = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, total))) + 1)).select("f0", "size").toPandas()
-    if len(some) < 64:
-        root, shards = Node(shard=0, blocks=max(1, math.ceil(total / block))), 1
-    else:
-        root = build(some["f0"].to_numpy().view(np.uint64), np.log(some["size"].to_numpy()), near, total / len(some), leaf, block)
-        shards = 0
-    stack = [root]
+    some = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, total))) + 1)).select("size", *FP).toArrow()
+    root = build(_prints(some), np.log(np.maximum(some.column("size").to_numpy(), 1)), near, total / max(1, some.num_rows), leaf, block)
+    tasks, stack = 0, [root]
     while stack:
         node = stack.pop()
         if node.shard >= 0:
-            shards += node.blocks * (node.blocks + 1) // 2
+            tasks += node.blocks * (node.blocks + 1) // 2
         else:
             stack += [node.inner, node.outer]
     routed = points.select("rep", "size", *FP).mapInArrow(_route(root, near), f"task long, home boolean, rep long, size long, {', '.join(f'{c} long' for c in FP)}")
-    return routed.repartition(max(1, shards), "task").groupBy("task").applyInArrow(_shard(near), "a long, b long")
+    return routed.repartition(tasks, "task").groupBy("task").applyInArrow(_shard(near), "a long, b long")
 
 
 def near_groups(docs: DataFrame, near: Near = Near(), **plan: int) -> DataFrame:
@@ -287,18 +299,15 @@ def near_groups(docs: DataFrame, near: Near = Near(), **plan: int) -> DataFrame:
     keep marks the rows of one text of each group, under that doc_id.
     """
     prints = cut(fingerprints(docs))
-    points = cut(prints.groupBy("size", *FP).agg(F.min("doc_id").alias("rep")))
-    twins = not points.groupBy("rep").count().where("count > 1").isEmpty()
-    if twins:
-        # One id is the smallest of several fingerprints: these go by names of their own.
-        points = cut(points.select("size", *FP, F.col("rep").alias("doc"), F.xxhash64("size", *FP).alias("rep")))
-    groups = components(near_edges(points.select("size", *FP, "rep"), near, **plan))
-    named = points.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    if twins:
-        group = Window.partitionBy("root")
-        named = named.select("size", *FP, "root", F.min("doc").over(group).alias("group_id"), (F.row_number().over(group.orderBy("doc", "size", *FP)) == 1).alias("first"))
-    else:
-        named = named.select("size", *FP, "root", F.col("root").alias("group_id"), F.lit(True).alias("first"))
+    # The checkpoint fixes the numbers by which distinct fingerprints go.
+    points = cut(prints.groupBy("size", *FP).agg(F.min("doc_id").alias("doc")).withColumn("rep", F.monotonically_increasing_id()))
+    edges = components(near_edges(points, near, **plan))
+    members = edges.select(F.col("node").alias("rep"), "root").union(edges.select("root", "root").distinct())
+    members = cut(members.join(points.select("rep", "doc"), "rep"))
+    first = F.min(F.struct("doc", "rep"))
+    groups = members.groupBy("root").agg(first.alias("first"))
+    told = members.join(groups, "root").select("rep", "root", F.col("first.doc").alias("group_id"), (F.col("rep") == F.col("first.rep")).alias("first"))
+    named = points.join(told, "rep", "left").select("size", *FP, F.coalesce("root", "rep").alias("root"), F.coalesce("group_id", "doc").alias("group_id"), F.coalesce("first", F.lit(True)).alias("first"))
     out = prints.join(named, ["size", *FP])
     return out.select("doc_id", "size", *FP, "group_id", (F.col("first") & (F.col("doc_id") == F.col("group_id"))).alias("keep"), "root")
 
@@ -323,7 +332,7 @@ def _with_prints(at: int):
 def _by_row(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of docs to keep, by doc_id and fingerprint: one for each kept text of an id, and those without words."""
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
-    inner = inner.withColumn("__id", F.col(f"c{docs.columns.index('doc_id')}").cast("long")).withColumn("__text", F.col(f"c{docs.columns.index('text')}").cast("string"))
+    inner = inner.withColumn("__id", F.col(f"c{docs.columns.index('doc_id')}")).withColumn("__text", F.col(f"c{docs.columns.index('text')}").cast("string"))
     schema = StructType([*inner.schema.fields, *(StructField(f"__{c}", LongType()) for c in ["size", *FP])])
     rows = inner.mapInArrow(_with_prints(len(inner.columns) - 1), schema).withColumn("__print", F.when(F.col("__size") > 0, F.xxhash64("__size", *(f"__{c}" for c in FP))))
     kept = groups.where("keep").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.lit(True).alias("__keep")).distinct()
@@ -339,8 +348,8 @@ def deduplicate(docs: DataFrame, near: Near = Near(), **plan: int) -> DataFrame:
     several = cut(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__several_id")))
     drop = groups.where("not keep").select(F.col("doc_id").alias("__drop_id")).distinct()
     if several.isEmpty():
-        return docs.join(drop, docs["doc_id"].cast("long") == drop["__drop_id"], "left_anti")
-    once = docs.join(several, docs["doc_id"].cast("long") == several["__several_id"], "left_anti")
-    once = once.join(drop, once["doc_id"].cast("long") == drop["__drop_id"], "left_anti")
-    more = docs.join(several, docs["doc_id"].cast("long") == several["__several_id"], "left_semi")
+        return docs.join(drop, docs["doc_id"] == drop["__drop_id"], "left_anti")
+    once = docs.join(several, docs["doc_id"] == several["__several_id"], "left_anti")
+    once = once.join(drop, once["doc_id"] == drop["__drop_id"], "left_anti")
+    more = docs.join(several, docs["doc_id"] == several["__several_id"], "left_semi")
     return once.unionByName(_by_row(more, groups))

@@ -13,8 +13,8 @@ thing broadcast (a bit per cell); with far more text than cells it filters less
 and the exact grouping takes more, in proportion to the text.
 
 Results for odd input: null, empty and shorter texts have no windows; rows
-without doc_id are left out; rows that share a doc_id are one document, so
-copies within it aren't repeats; positions count words of the row's own text.
+without doc_id are left out; a doc_id may be of any type; rows that share one are
+one document, so copies within it aren't repeats; positions count words of the row's own text.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .rows import id_type, rows
 
 WINDOW = 50
 #: The sketch has two rows of 2**WIDTH_BITS cells.
@@ -71,7 +72,8 @@ def _sketch(window: int, bits: int, block_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
         for b in batches:
-            ids = b.column(0).to_numpy()
+            # Within the batch a document is the number of its id.
+            ids = b.column(0).dictionary_encode().indices.to_numpy()
             for i, _, data, off in T.chunks(b.column(1)):
                 hashes, woff = _words(data, off)
                 at, doc = _starts(woff, window)
@@ -177,7 +179,7 @@ def _flagged(window: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch: Flags = shared.value
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids = b.column(0)
             for i, _, data, off in T.chunks(b.column(1)):
                 hashes, woff = _words(data, off)
                 at, doc = _starts(woff, window)
@@ -190,7 +192,7 @@ def _flagged(window: int, shared):
                 at, doc = at[take], doc[take]
                 if len(at):
                     h1, h2 = T.windows(hashes, window)[at].view(np.int64), T.windows(hashes, window, 0x6A09E667F3BCC909)[at].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids[i + doc]), pa.array((at - woff[doc]).astype(np.int32))], names=["h1", "h2", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids.take(pa.array(i + doc)), pa.array((at - woff[doc]).astype(np.int32))], names=["h1", "h2", "doc_id", "pos"])
 
     return run
 
@@ -201,10 +203,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows are judged as they pass: only those of a window's first document are held
     until a second one comes, so a passage that any number of documents share takes no memory.
     """
-    held = [np.zeros(0, np.int64)] * 4
+    held = None
     known = None  # the window at the last batch's end, if it is a repeated one
     for b in batches:
-        h1, h2, doc, pos = (np.concatenate([x, c.to_numpy().astype(np.int64)]) for x, c in zip(held, b.columns))
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        h1, h2, doc, pos = columns if held is None else (np.concatenate(x) for x in zip(held, columns))
         if not len(h1):
             continue
         first = np.ones(len(h1), bool)
@@ -218,13 +221,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = begin[-1] if not good[-1] else len(h1)
         held = [x[last:] for x in (h1, h2, doc, pos)]
         take = np.repeat(good, end - begin)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(pos[take].astype(np.int32))], names=["doc_id", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[take], b.column(2).type), pa.array(pos[take].astype(np.int32))], names=["doc_id", "pos"])
 
 
 def _runs(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lists = b.column(0).to_numpy(), b.column(1)
+            ids, lists = b.column(0), b.column(1)
             doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
             pos = lists.flatten().to_numpy().astype(np.int64)
             order = np.lexsort((pos, doc))
@@ -235,16 +238,16 @@ def _runs(window: int):
             begin = np.flatnonzero(first)
             end = np.append(begin[1:], len(pos)) - 1
             start, stop = pos[begin], pos[end] + window
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[begin]]), pa.array(start), pa.array(stop), pa.array(stop - start)], names=["doc_id", "start_word", "end_word", "n_words"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[begin])), pa.array(start), pa.array(stop), pa.array(stop - start)], names=["doc_id", "start_word", "end_word", "n_words"])
 
     return run
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, bits: int = WIDTH_BITS, block_bits: int = BLOCK_BITS) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words: the longest runs of windows at neighbouring places that each stand in two or more documents."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(flags(rows, window, bits, block_bits))
-    found = rows.mapInArrow(_flagged(window, shared), "h1 long, h2 long, doc_id long, pos int")
+    kind, texts = id_type(docs), rows(docs).where("doc_id is not null")
+    shared = docs.sparkSession.sparkContext.broadcast(flags(texts, window, bits, block_bits))
+    found = texts.mapInArrow(_flagged(window, shared), f"h1 long, h2 long, doc_id {kind}, pos int")
     windows = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id")
-    places = windows.mapInArrow(_repeated, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
-    return places.mapInArrow(_runs(window), "doc_id long, start_word long, end_word long, n_words long")
+    places = windows.mapInArrow(_repeated, f"doc_id {kind}, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
+    return places.mapInArrow(_runs(window), f"doc_id {kind}, start_word long, end_word long, n_words long")

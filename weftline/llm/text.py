@@ -2,12 +2,17 @@
 
 Texts are handled as UTF-8 bytes: words are byte runs between separators and
 are hashed with a positional polynomial (one cumulative sum per chunk), so no
-Python string is made per word.  A null text counts as an empty one.
+Python string is made per word.  A null text counts as an empty one.  Lower case
+is Unicode's simple one where it takes as many bytes (all of Latin-1, Greek and
+Cyrillic), and words of letters end at what is no letter, mark or number in
+Unicode; what lies beyond the first two planes counts as a letter.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that belong to a word when words end at ASCII white space.
 NON_SPACE = ~SPACE
-#: Bytes that belong to a word when words are letters, digits and all beyond ASCII.
+#: Bytes that belong to a word when words are letters and digits; beyond ASCII the character decides.
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 LETTERS = ALNUM.copy()
@@ -58,12 +63,49 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+@lru_cache(1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of the characters of the first two planes: which belong to words, and their lower case."""
+    word, low = np.zeros(1 << 17, bool), np.arange(1 << 17, dtype=np.uint32)
+    size = lambda c: (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+    for c in range(128, 1 << 17):
+        x = chr(c)
+        word[c] = unicodedata.category(x)[0] in "LMN"
+        y = x.lower()
+        if len(y) == 1 and size(ord(y)) == size(c):
+            low[c] = ord(y)
+    return word, low
+
+
+def _beyond_ascii(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths in bytes and codes of the characters beyond ASCII."""
+    at = np.flatnonzero(data >= 0xC0)
+    b = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32) if len(at) else data
+    lead = data[at]
+    size = 2 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+    if not len(at):
+        return at, size, np.zeros(0, np.uint32)
+    tail = [b[at + k] & 0x3F for k in (1, 2, 3)]
+    two, three = (b[at] & 0x1F) << 6 | tail[0], (b[at] & 0x0F) << 12 | tail[0] << 6 | tail[1]
+    four = (b[at] & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
+    return at, size, np.where(size == 2, two, np.where(size == 3, three, four))
+
+
 def lower(data: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and of the Latin-1 letters of UTF-8 bytes; the length stays."""
+    """Lower case of UTF-8 bytes; the length stays."""
     out = _LOWER[data]
-    if len(out) > 1:
-        tail = out[1:]
-        tail[(out[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] += 0x20
+    at, size, code = _beyond_ascii(data)
+    if len(at):
+        _, table = _characters()
+        low = np.where(code < len(table), table[np.minimum(code, len(table) - 1)], code)
+        changed = np.flatnonzero(low != code)
+        at, size, low = at[changed], size[changed], low[changed]
+        for n, first in ((2, 0xC0), (3, 0xE0), (4, 0xF0)):
+            mine = size == n
+            p, c = at[mine], low[mine]
+            out[p] = first | c >> (6 * (n - 1))
+            for k in range(1, n):
+                out[p + k] = 0x80 | (c >> (6 * (n - 1 - k)) & 0x3F)
     return out
 
 
@@ -94,6 +136,14 @@ def split(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.nda
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(off), np.int64)
     word = inside[data]
+    if not inside[33]:
+        # Words of letters: characters beyond ASCII that are none end them.
+        at, size, code = _beyond_ascii(data)
+        if len(at):
+            table, _ = _characters()
+            no = np.flatnonzero((code < len(table)) & ~table[np.minimum(code, len(table) - 1)])
+            for k in range(4):
+                word[at[no][size[no] > k] + k] = False
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     begin, end = word.copy(), word.copy()

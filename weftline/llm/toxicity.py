@@ -9,10 +9,11 @@ sigmoid(w.x - threshold_k), thresholds in order, and the result is the expected
 grade, sum over k of P(grade >= k).
 
 Labels may hold grades themselves.  Labels of 0 and 1 alone tell no degrees, so
-positives are then graded 1 to 3 by how much of the text the evidence fills: a
-first fit with one threshold gives the features that count as evidence, positives
-with evidence are cut at the terciles of their share of it, and those without
-have grade 1.
+positives are then graded 1 to 3 by how much of the text the evidence fills.  What
+counts as evidence is found on the other half of the labelled texts, by a fit with
+one threshold, so that no text's grade rests on its own label; positives with
+evidence are cut at the terciles of their share of it, and those without have
+grade 1.
 
 Results for odd input: a null or empty text has no features and gets the grade of
 the thresholds alone, which is lowest; without labels of two grades every
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .labelled import labelled
+from .rows import id_type, rows
 from .store import cut
 
 BITS = 20
@@ -132,13 +134,20 @@ def fit_ordinal(flat: np.ndarray, off: np.ndarray, grade: np.ndarray, n_features
 
 @dataclass
 class Evidence:
-    """What of labelled texts a fit needs: label, each text's chosen features (number * LEVELS + level), and how often each chosen number stands there."""
+    """What of labelled texts a fit needs: label, each text's chosen features (number * LEVELS + level), which half it is of, and the share of its words that some chosen numbers fill."""
 
     label: np.ndarray
     chosen: np.ndarray
     small: np.ndarray
     off: np.ndarray
     share: Callable[[np.ndarray], np.ndarray]
+    half: np.ndarray
+
+
+def _rows(flat: np.ndarray, off: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept rows of lists given by offsets."""
+    length = np.diff(off)
+    return flat[np.repeat(keep, length)], np.concatenate([[0], np.cumsum(length[keep])])
 
 
 def fit(e: Evidence, grades: int = 3) -> Model:
@@ -148,8 +157,12 @@ def fit(e: Evidence, grades: int = 3) -> Model:
         return Model(np.zeros(0, np.int64), np.zeros((0, LEVELS)), np.zeros(0))
     grade = label
     if label.max() == 1 and len(chosen):
-        w, _ = fit_ordinal(e.small, e.off, label, len(chosen))
-        share, positive = e.share(np.unique(chosen[w > 0.1] // LEVELS)), label > 0
+        share, positive = np.zeros(len(label)), label > 0
+        for side in (0, 1):
+            mine, other = e.half == side, e.half != side
+            if mine.any() and label[other].any():
+                w, _ = fit_ordinal(*_rows(e.small, e.off, other), label[other], len(chosen))
+                share[mine] = e.share(np.unique(chosen[w > 0.1] // LEVELS))[mine]
         known = positive & (share > 0)
         cuts = np.quantile(share[known], [i / grades for i in range(1, grades)]) if known.any() else np.ones(grades - 1)
         grade = np.where(positive, 1 + np.searchsorted(cuts, share, "right"), 0)
@@ -190,8 +203,8 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([int(found[0])]), pa.array([int(found[1])])], names=["feature", "n", "n1"])
 
 
-def choose(tally: DataFrame, z: float = 4.5, least: int = 3, most: int = 20_000) -> np.ndarray:
-    """Features whose share of positive texts is above that of others by a two-sample z score of z; most: the strongest so many.
+def choose(tally: DataFrame, z: float = 4.5, least: int = 3) -> np.ndarray:
+    """Features of at least so many texts whose share of positive texts is above that of others by a two-sample z score of z.
 
     Weights are evidence for toxicity and not below 0, so that a long text can't outweigh it with harmless words.
     """
@@ -202,7 +215,7 @@ def choose(tally: DataFrame, z: float = 4.5, least: int = 3, most: int = 20_000)
         return np.zeros(0, np.int64)
     p = (F.col("n") + 0.5) / (n + 1)
     score = (F.col("n1") / n1 - (F.col("n") - F.col("n1")) / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
-    rows = sums.where((F.col("feature") >= 0) & (F.col("n") >= least)).withColumn("z", score).where(F.col("z") >= z).orderBy(F.desc("z"), "feature").limit(most)
+    rows = sums.where((F.col("feature") >= 0) & (F.col("n") >= least)).withColumn("z", score).where(F.col("z") >= z)
     return np.array(sorted(r["feature"] for r in rows.select("feature").collect()), np.int64)
 
 
@@ -244,7 +257,8 @@ def gather(rows: pa.Table, chosen: np.ndarray) -> Evidence:
         sums = np.concatenate([[0], np.cumsum(np.where(np.isin(ids[number] if len(ids) else number, evidence), count, 0))])
         return (sums[at[1:]] - sums[at[:-1]]) / words
 
-    return Evidence(rows.column("y").to_numpy(), chosen, small, off, share)
+    half = T.mix(np.arange(len(words), dtype=np.uint64) + np.uint64(1)) & np.uint64(1)
+    return Evidence(rows.column("y").to_numpy(), chosen, small, off, share, half)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -252,9 +266,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
     Features are counted and chosen over the cluster; of each text only its chosen ones come to the driver.
     """
-    rows = cut(labelled(docs, labels, "toxic", train_rows))
-    chosen = choose(rows.mapInArrow(_tally, "feature long, n long, n1 long"))
-    found = rows.mapInArrow(_chosen(chosen), "doc_id long, y int, words long, small array<int>, number array<int>, count array<int>").toArrow()
+    some = cut(labelled(docs, labels, "toxic", train_rows))
+    chosen = choose(some.mapInArrow(_tally, "feature long, n long, n1 long"))
+    found = some.mapInArrow(_chosen(chosen), f"doc_id {id_type(docs)}, y int, words long, small array<int>, number array<int>, count array<int>").toArrow()
     return fit(gather(found.sort_by("doc_id"), chosen))
 
 
@@ -270,5 +284,4 @@ def _score(model: Model):
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, severity (expected grade), grade (thresholds passed with a probability of a half or more), toxic (grade of 1 or more)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, severity double, grade int, toxic boolean")
+    return rows(docs).mapInArrow(_score(model), f"doc_id {id_type(docs)}, severity double, grade int, toxic boolean")

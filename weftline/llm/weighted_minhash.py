@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .rows import id_type, rows
 
 SAMPLES = 64
 _BLOCK = 8192
@@ -93,8 +94,7 @@ def _run(samples: int):
 
 def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_terms, signature (samples longs, or none) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_run(samples), "doc_id long, n_terms long, signature array<long>")
+    return rows(docs).mapInArrow(_run(samples), f"doc_id {id_type(docs)}, n_terms long, signature array<long>")
 
 
 def similarity(a: Column, b: Column) -> Column:
