@@ -60,6 +60,32 @@ def test_unigram_scores_are_the_best_of_all_paths():
         assert "".join(pieces[i] for i in ids) == w and sum(c.scores[i] for i in ids) == pytest.approx(best(w))
 
 
+def test_runs_of_spaces_of_any_length(library):
+    import time
+
+    import pyarrow as pa
+
+    c = S.codec(S.default_model())
+    assert c.runs is not None and len(c.runs) == 17
+    ends = ["", "the", "日本", "é", "🙂x", "1", "\tq", "."]
+    texts = [" " * n + e + " " * (n % 5) for n in range(70) for e in ends] + ["a" + " " * 1000 + "b" + " " * 77]
+    long = [" " * 100_000, " " * 99_999 + "the end", "q" * 100_000, "  " + "xy" * 50_000]
+    began = time.process_time()
+    off, ids = c.encode_batch(pa.array(long[:2]))
+    assert time.process_time() - began < 1
+    for t, k in zip(long, range(2)):
+        assert ids[off[k] : off[k + 1]].tolist() == library.encode(t)
+    off, ids = c.encode_batch(pa.array(texts + long))
+    for i, t in enumerate(texts + long):
+        assert ids[off[i] : off[i + 1]].tolist() == library.encode(t), repr(t[:80])
+    # Where the closed form doesn't hold, words are merged by a queue, in the same order.
+    other = S.Codec.load(S.default_model())
+    other.runs = None
+    off, ids = other.encode_batch(pa.array(texts + long[:2]))
+    for i, t in enumerate(texts + long[:2]):
+        assert ids[off[i] : off[i + 1]].tolist() == library.encode(t), repr(t[:80])
+
+
 def test_odd_rows_of_the_codec(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "a b"), (3, "word " * 100_000)], DOC).withColumn("ids", F.lit("x")).withColumn("n_tokens", F.lit(0))
     got = S.decode(S.encode(docs)).collect()

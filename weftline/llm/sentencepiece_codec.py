@@ -12,6 +12,10 @@ may follow another if merging would leave just these two apart.  That is a
 forward pass of Viterbi's form with a yes/no score, and gives the library's ids
 exactly.  For models of the unigram kind the table holds the best sum of scores.
 
+A run of spaces before a word takes no place in the trie: where pieces of marks alone
+are merged last and from the left, as in the public model, the run is cut into the
+longest such pieces and a rest that is looked up, whatever its length.
+
 Results for odd input: null and empty texts give no ids; characters outside the
 vocabulary become byte pieces (the unknown piece if the model has none);
 decoding ids gives back the text, with U+2581 read as a space.
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +71,7 @@ class Codec:
                     self.parts[i] = (last[0], last[1])
                     self.made[last[0], last[1]] = i
             self.follows: dict[tuple[int, int], bool] = {}
+            self.runs = self._runs()
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -81,18 +87,67 @@ class Codec:
 
     def merge(self, word: str, without: int = -1) -> list[int]:
         """The ids by merging, best score first and leftmost among equals; -1 - code for a character without a piece. without: a piece left out."""
-        parts = list(word)
-        ids, pieces, scores = self.ids, self.pieces, self.scores
-        while True:
-            best = None
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and i != without and (best is None or scores[i] > best[0]):
-                    best = (scores[i], k, i)
-            if best is None:
-                return [ids.get(p, -1 - ord(p[0])) for p in parts]
-            _, k, i = best
-            parts[k : k + 2] = [pieces[i]]
+        ids, scores, n = self.ids, self.scores, len(word)
+        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int]] = []  # (-score, start, end) of pairs of neighbours that make a piece
+
+        def pair(k: int) -> tuple[float, int, int] | None:
+            if k < 0 or after[k] >= n:
+                return None
+            stop = end[after[k]]
+            i = ids.get(word[k:stop])
+            return None if i is None or i == without else (-scores[i], k, stop)
+
+        heap = [p for p in map(pair, range(n)) if p]
+        heapify(heap)
+        while heap:
+            _, k, stop = heappop(heap)
+            # A pair whose parts were merged otherwise since then is gone.
+            if end[k] < 0 or (right := after[k]) >= n or end[right] != stop:
+                continue
+            end[k], after[k], end[right] = stop, after[right], -1
+            if after[k] < n:
+                before[after[k]] = k
+            for p in (pair(before[k]), pair(k)):
+                if p:
+                    heappush(heap, p)
+        out, k = [], 0
+        while k < n:
+            out.append(ids.get(word[k : end[k]], -1 - ord(word[k])))
+            k = after[k]
+        return out
+
+    def _runs(self) -> list[list[int]] | None:
+        """The ids of 0, 1, ... marks up to the longest piece of marks, whose own ids are one; None if runs of marks aren't merged last, and from the left."""
+        marks = {len(p): i for p, i in self.ids.items() if set(p) == {MARK}}
+        longest = max(marks, default=0)
+        if not longest or any(p[:2] == MARK * 2 and len(p) not in marks for p in self.ids):
+            return None
+        long = [self.scores[i] for n, i in marks.items() if n > 1]
+        others = min((self.scores[i] for p, i in self.ids.items() if len(p) > 1 and p[:2] != MARK * 2), default=0.0)
+        if long and (min(long) != max(long) or max(long) >= others) or self.merge(MARK * longest) != [marks[longest]]:
+            return None
+        return [self.merge(MARK * n) for n in range(longest + 1)]
+
+    def _after_marks(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of words that begin with two marks or more."""
+        whole = lambda found: [i for x in found for i in ([x] if x >= 0 else self._bytes(chr(-1 - x)))]
+        if self.runs is None:
+            return {w: whole(self.merge(w)) for w in words}
+        bases = sorted({b for w in words if (b := w.lstrip(MARK))})
+        found = dict(zip(bases, self._bpe([MARK + b for b in bases])))
+        mark, longest, out = self.ids.get(MARK), len(self.runs) - 1, {}
+        for w in words:
+            base = w.lstrip(MARK)
+            ids = found.get(base, [])
+            n = len(w) - len(base)
+            # The last mark is part of the word's first piece, or stands alone and then belongs to the run.
+            if ids and ids[0] == mark:
+                ids = ids[1:]
+            elif ids:
+                n -= 1
+            out[w] = self.runs[longest] * (n // longest) + self.runs[n % longest] + ids
+        return out
 
     def apart(self, a: int, b: int) -> bool:
         """Whether merging leaves the pieces a and b apart when they stand together."""
@@ -123,13 +178,13 @@ class Codec:
 
     def _bpe(self, words: list[str]) -> list[list[int]]:
         ids, longest, follows, parts, pieces = self.ids, self.longest, self.follows, self.parts, self.pieces
+        marked = self._after_marks(runs) if (runs := [w for w in words if w[:2] == MARK * 2]) else {}
         last: list[int] = [-1]  # of each prefix: its last piece, or -1 - code
         before = ""
         out = []
         for w in words:
             if w[:2] == MARK * 2:
-                # Pieces of marks alone have equal scores; such words are few and are merged as they stand.
-                out.append([i for x in self.merge(w) for i in ([x] if x >= 0 else self._bytes(chr(-1 - x)))])
+                out.append(marked[w])
                 continue
             n, k = min(len(w), len(before)), 0
             while k < n and w[k] == before[k]:
