@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontam, pii, quality, sentencepiece_codec, simhash
-from weftline.llm.store import new_path
+from weftline.sources.shared import new_path, remove
 from weftline.plans.ship import ship
 
 ROOT = str(Path(__file__).resolve().parent)
@@ -70,12 +70,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages the rows are written to the shared folder and read again."""
-    docs = _read(spark, sf_dir, "documents")
+    """All stages over documents; between stages the rows are written to the shared folder and read again, and the stage before is removed: what the last one reads stays with its result."""
+    docs, last = _read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = new_path(spark, "stage")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if last:
+                remove(spark, last)
+            last = path
     return docs
