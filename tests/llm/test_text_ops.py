@@ -189,6 +189,12 @@ def test_files(spark, tmp_path, sf_dir):
     rows = [bytes(r[0]) for r in warc.write_records(pages).collect()]
     (tmp_path / "a.warc").write_bytes(b"".join(rows[:9]))
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(rows[9:])))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in rows[:5]) + b"\0" * 9)
+    (tmp_path / "d.warc").write_bytes(b"no record at all")
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(rows[0])[:-20])
+    (tmp_path / "f.warc").write_bytes(b"")
+    assert sorted(bytes(r[0]) for r in warc.read_warc(spark, f"file://{tmp_path}/[ac].warc*").collect()) == sorted(rows[:9] + rows[:5])
+    (tmp_path / "c.warc.gz").unlink()
     back = warc.reassemble(warc.read_warc(spark, f"file://{tmp_path}/*.warc*"))
     assert back.where("status = 'ok'").count() == pages.count()
 

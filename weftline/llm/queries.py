@@ -31,13 +31,21 @@ def op3_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .store import new_path
-    from .token_rollup import Rollup, inserts
+    from ..sources.shared import cut, new_path
+    from .token_rollup import Rollup, inserts, revised
 
+    counted = cut(inserts(_read(spark, sf_dir, "documents")))
     rollup = Rollup(spark, new_path(spark, "rollup"))
-    changes = inserts(_read(spark, sf_dir, "documents"))
-    rollup.apply("documents-0001", changes)
-    rollup.apply("documents-0001", changes)  # a repeated delivery: committed already, nothing is counted twice
+    # A first estimate of four characters a token, then the counts; another version that is taken back.
+    estimate = counted.withColumn("tokens", F.floor(F.col("chars") / 4))
+    rollup.apply("estimates", estimate)
+    rollup.apply("counts", revised(counted, F.floor(F.col("chars") / 4), F.col("chars")))
+    other = estimate.withColumn("tokenizer_version", F.lit("estimate"))
+    rollup.apply("trial", other)
+    rollup.apply("trial-withdrawn", other.withColumn("op", F.lit("delete")))
+    for again, batch in (("estimates", estimate), ("trial-withdrawn", other.withColumn("op", F.lit("delete")))):
+        rollup.apply(again, batch)  # a repeated delivery: committed already, nothing is counted twice
+    rollup.compact()
     return rollup.totals()
 
 

@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "tokenizer_version"]
@@ -59,9 +59,17 @@ class Rollup:
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
         base = self._base()
-        held = [r[0] for r in self.spark.read.parquet(f"{self.path}/held/seq={base}").collect()] if base else []
+        held = [r[0] for r in self._held(base).collect()] if base else []
         return sorted({*held, *self._committed("delta")})
 
+    def _held(self, base: str) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/held/seq={base}")
+
+    def committed(self, batch_id: str) -> bool:
+        """Whether a batch is: by its own marker, or among those that the base holds."""
+        base = self._base()
+        return self._exists(f"{self.path}/delta/batch={batch_id}/_SUCCESS") or (base is not None and not self._held(base).where(F.col("batch") == batch_id).isEmpty())
+
     def _base(self) -> str | None:
         both = sorted(set(self._committed("base")) & set(self._committed("held")))
         return both[-1] if both else None
@@ -70,7 +78,7 @@ class Rollup:
         """Commits a batch; False if it was committed before."""
         if not batch_id or set(batch_id) & set("/=\\:"):
             raise ValueError("a batch id is a plain folder name")
-        if batch_id in self.batches():
+        if self.committed(batch_id):
             return False
         n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
         sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0)
@@ -83,8 +91,10 @@ class Rollup:
     def totals(self) -> DataFrame:
         """The totals after all committed batches."""
         base = self._base()
-        held = {r[0] for r in self.spark.read.parquet(f"{self.path}/held/seq={base}").collect()} if base else set()
-        paths = [f"{self.path}/delta/batch={b}" for b in self._committed("delta") if b not in held]
+        deltas = self._committed("delta")
+        # Of the base's batches only those whose deltas are still there matter.
+        held = {r[0] for r in self._held(base).where(F.col("batch").isin(deltas)).collect()} if base and deltas else set()
+        paths = [f"{self.path}/delta/batch={b}" for b in deltas if b not in held]
         if base:
             paths.append(f"{self.path}/base/seq={base}")
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
@@ -136,3 +146,8 @@ def inserts(docs: DataFrame, version: str = "byte_bpe_50k", ranks: str | None =
     counted = rows.mapInArrow(_count(ranks or default_ranks()), "source string, lang string, tokens long, chars long")
     none = F.lit(None).cast("long")
     return counted.select(F.lit("insert").alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), "tokens", "chars", none.alias("old_tokens"), none.alias("old_chars"))
+
+
+def revised(changes: DataFrame, old_tokens: Column, old_chars: Column) -> DataFrame:
+    """Inserts as revisions of documents that were counted before with other numbers."""
+    return changes.withColumns({"op": F.lit("revise"), "old_tokens": old_tokens.cast("long"), "old_chars": old_chars.cast("long")})

@@ -19,7 +19,9 @@ response and continuation are passed over unless they are segmented.
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -214,24 +216,86 @@ def reassemble(records: DataFrame) -> DataFrame:
     return whole.unionByName(cut).mapInArrow(_assemble, _OUT)
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Bytes read from a file at a time.
+READ = 1 << 20
+
+
+def _plain(file: BinaryIO) -> Iterator[bytes]:
+    """The bytes of a file, plain or of any number of gzip members, some at a time; a member that breaks off ends them."""
+    data = file.read(READ)
+    if data[:2] != b"\x1f\x8b":
+        while data:
+            yield data
+            data = file.read(READ)
+        return
+    member = zlib.decompressobj(31)
+    while data:
+        try:
+            out = member.decompress(data, READ)
+        except zlib.error:
+            return
+        if out:
+            yield out
+        if member.eof:
+            data, member = member.unused_data.lstrip(b"\0") or file.read(READ), zlib.decompressobj(31)
+        else:
+            data = member.unconsumed_tail or file.read(READ)
+
+
+def split(file: BinaryIO) -> Iterator[bytes]:
+    """The records of a file one after the other, by their Content-Length; what holds no head is a record of its own."""
+    data, parts = b"", _plain(file)
+
+    def fill(n: int) -> None:
+        nonlocal data
+        more, size = [data], len(data)
+        while size < n and (x := next(parts, b"")):
+            more.append(x)
+            size += len(x)
+        data = b"".join(more)
+
+    while True:
+        end = data.find(b"\r\n\r\n")
+        while end < 0:
+            before = len(data)
+            fill(before + READ)
+            if len(data) == before:
+                break
+            end = data.find(b"\r\n\r\n", max(0, before - 3))
+        if end < 0:
+            if data:
+                yield data
+            return
+        size = next((int(v) for n, _, v in (x.partition(b":") for x in data[:end].split(b"\r\n")) if n.strip().lower() == b"content-length" and v.strip().isdigit()), 0)
+        stop = end + 4 + size + 4
+        fill(stop)
+        yield data[:stop]
+        data = data[stop:]
+
+
+def _open(path: str) -> BinaryIO:
+    """A file of any file system that pyarrow knows, for reading from its beginning on."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    return system.open_input_stream(inner, compression=None, buffer_size=READ)
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for content in b.column(0):
-            data, at, out = content.as_buffer().to_pybytes(), 0, []
-            if data[:2] == b"\x1f\x8b":
-                data = gzip.decompress(data)
-            while at < len(data):
-                end = data.find(b"\r\n\r\n", at)
-                size = next((int(v) for n, _, v in (x.partition(b":") for x in data[at:end].split(b"\r\n")) if n.strip().lower() == b"content-length"), 0) if end >= 0 else 0
-                stop = len(data) if end < 0 else end + 4 + size + 4
-                out.append(data[at:stop])
-                at = stop
-                if len(out) == 200:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-                    out = []
+        for path in b.column(0).to_pylist():
+            out, size = [], 0
+            with _open(path) as file:
+                for record in split(file):
+                    out.append(record)
+                    size += len(record)
+                    if size >= 8 * READ:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                        out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record (binary) of WARC files, plain or gzipped, each file (at most 2 GB) by one task."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_split, "record binary")
+    """record (binary) of WARC files, plain or gzipped, each file by one task, which holds a record at a time whatever the file's size."""
+    names = spark.read.format("binaryFile").load(path).select("path")
+    return names.repartition(max(1, names.count()), "path").mapInArrow(_files, "record binary")
