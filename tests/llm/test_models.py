@@ -74,7 +74,8 @@ def test_odd_rows_of_models(spark):
         out = toxicity.severity(docs, m)
         assert out.count() == 6 and out.where("severity is null").count() == 0 and toxicity.severity(docs.where("false"), m).count() == 0
     assert {r["label_id"]: r["y"] for r in labelled.sample(labels, "quality", 10).collect()} == {1: 1, 3: 0, 99: 1}
-    assert labelled.sample(labels, "quality", 2).count() == 2
+    many = labels.sparkSession.range(6000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert 700 < labelled.sample(many, "quality", 1000).count() <= 1000 and labelled.sample(many, "quality", 6000).count() == 6000
 
 
 def test_queries_cover_all_documents(spark, sf_dir):

@@ -12,14 +12,14 @@ def sample(labels: DataFrame, column: str, rows: int) -> DataFrame:
     """(label_id, y): at most rows labelled ids, the same for the same table: those whose hash is below a threshold.
 
     Of more ids than rows as many fewer are aimed at as six times the deviation of their
-    number, so that no sort or limit is needed.  Rows with a null id or label are left
+    number (half of rows at most), so that no sort or limit is needed.  Rows with a null id or label are left
     out; of repeated ids the largest label counts.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(column).cast("int").alias("y")).where("label_id is not null and y is not null").groupBy("label_id").agg(F.max("y").alias("y"))
     total = known.count()
     if total <= rows:
         return known
-    return known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 40)) < F.lit(int(max(0.0, rows - 6 * rows**0.5) / total * (1 << 40))))
+    return known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 40)) < F.lit(int(max(rows / 2, rows - 6 * rows**0.5) / total * (1 << 40))))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
