@@ -3,7 +3,8 @@
 Words are letters and digits in lower case.  A first pass over the documents
 counts, for each n-gram of the benchmark, the documents that hold it.  Each item
 then keeps the rarest four fifths of its own n-grams as seeds (a rank within the item,
-so a leak into many documents can't use its seeds up).  A second pass finds the
+so a leak into many documents can't use its seeds up), and of the rest the rarest of
+every SEED_RUN words, so that each run of so many words taken over verbatim holds one.  A second pass finds the
 seeds in every text and aligns the passage around the hits with the item, word
 by word; the score is that of the best local alignment as a share of the item's
 score with itself.  A passage of a lower share counts too if it holds so many of the
@@ -42,6 +43,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Words in a row, taken over verbatim, that count as a copy of an item however long it is.
 LEAST_RUN = 13
+#: Words in a row of which at least one n-gram is a seed.
+SEED_RUN = 6
 RARE_SHARE = 0.8
 LEAST_SEEDS = 8
 SLICE_ITEMS = 20_000
@@ -83,14 +86,14 @@ class Items:
         return Items(self.ids, self.words, grams, np.append(first, len(gram)), item, place, self.size)
 
     def rarest(self, count: dict[int, int], share: float = RARE_SHARE, least: int = LEAST_SEEDS) -> Items:
-        """With each item's rarest n-grams alone, by count of documents (ties: by hash), and the rarest of every run of LEAST_RUN words."""
+        """With each item's rarest n-grams alone, by count of documents (ties: by hash), and the rarest of every run of SEED_RUN words."""
         keep = []
         for w in self.words:
             g = seeds(w, self.size)
             n = np.array([count.get(int(x), 0) for x in g.view(np.int64)])
             order = np.lexsort((g, n))
             keep.append(order[: max(least, int(np.ceil(len(g) * share)))])
-            span = LEAST_RUN - self.size + 1
+            span = max(1, SEED_RUN - self.size + 1)
             if 0 < span <= len(g):
                 rank = np.empty(len(g), np.int64)
                 rank[order] = np.arange(len(g))
