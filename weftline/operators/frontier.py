@@ -9,21 +9,21 @@ from ..functions import url as U
 
 REQUEST = {
     "url": "string", "method": "string", "session_id": "string", "callback": "string", "priority": "int", "dont_filter": "boolean",
-    "headers": "map<string,string>", "body": "string", "meta": "map<string,string>", "retry_count": "int", "round": "int", "parent_pos": "long", "pos": "int",
+    "headers": "map<string,string>", "body": "string", "json_body": "string", "meta": "map<string,string>", "retry_count": "int", "round": "int", "parent_pos": "long", "pos": "int",
 }
 _DEFAULTS = {"method": "GET", "session_id": "", "priority": 0, "dont_filter": False, "retry_count": 0, "round": 0, "parent_pos": 0, "pos": 0}
 SCHEMA = ", ".join(f"{k} {v}" for k, v in REQUEST.items())
 
 
 def requests(df: DataFrame, keep_fragment: bool = False, include_headers: bool = False, include_meta: bool = False, **columns: Column) -> DataFrame:
-    """Rows of all request columns with fp: columns that df lacks get their defaults; nulls too."""
+    """Rows of all request columns with fp: columns that df lacks get their defaults; nulls too. json_body wins over body."""
     def of(name: str) -> Column:
         c = columns.get(name, F.col(name) if name in df.columns else F.lit(None))
         c = c.cast(REQUEST[name])
         return (F.coalesce(c, F.lit(_DEFAULTS[name]).cast(REQUEST[name])) if name in _DEFAULTS else c).alias(name)
 
     rows = df.select(*map(of, REQUEST)).where("url is not null")
-    fp = U.fingerprint(F.col("url"), F.col("method"), F.col("session_id"), F.col("body"), F.col("headers") if include_headers else None, F.col("meta") if include_meta else None, keep_fragment)
+    fp = U.fingerprint(F.col("url"), F.col("method"), F.col("session_id"), F.coalesce("json_body", "body"), F.col("headers") if include_headers else None, F.col("meta") if include_meta else None, keep_fragment)
     return rows.withColumn("fp", fp)
 
 
@@ -33,6 +33,20 @@ def first_wins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1 or dont_filter").drop("__n")
 
 
+#: Folders over which fingerprints and cached pages are spread, so that a small round reads few of them.
+BUCKETS = 256
+
+
+def bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def touched(rows: DataFrame, key: Column, table: DataFrame) -> DataFrame:
+    """The table (partitioned by bucket) narrowed to the buckets of the rows' keys: at most BUCKETS numbers come to the driver."""
+    some = [r[0] for r in rows.select(bucket(key).alias("b")).distinct().collect()]
+    return table.where(F.col("bucket").isin(some)) if len(some) < BUCKETS else table
+
+
 def unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """Rows whose fp isn't in seen (fp); rows of dont_filter pass."""
     s = seen.select(F.col("fp").alias("__fp")).distinct()
@@ -55,6 +69,21 @@ def dequeue(rows: DataFrame, n: int) -> DataFrame:
     return ordered(rows).limit(n)
 
 
+def without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """What stays in the queue when the taken rows (seq) leave it."""
+    return rows.join(taken.select("seq"), "seq", "left_anti")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """pending, empty: the queue's length, and whether there is none."""
+    return rows.agg(F.count("*").alias("pending")).withColumn("empty", F.col("pending") == 0)
+
+
+def restored(seen: DataFrame, more: DataFrame) -> DataFrame:
+    """The seen table (fp) with further fingerprints, each once."""
+    return seen.select("fp").unionByName(more.select("fp")).distinct()
+
+
 def retries(blocked: DataFrame, most: int) -> DataFrame:
     """Blocked requests that are tried again, marked so that they pass the filter."""
     return blocked.where(F.col("retry_count") < most).withColumn("retry_count", F.col("retry_count") + 1).withColumn("dont_filter", F.lit(True))

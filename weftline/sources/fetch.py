@@ -24,16 +24,21 @@ def _row(asked: str, r: Response) -> tuple:
     return (asked, r.url, None if failed else r.status, r.content_type, None if failed else r.body, list(r.headers.items()), r.latency_s, r.error_kind)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(_KINDS), _KINDS)], names=_NAMES)
+def _batch(rows: list[tuple], keyed: bool = False) -> pa.RecordBatch:
+    kinds, names = (_KINDS + [pa.string(), pa.int64()], [*_NAMES, "fp", "seq"]) if keyed else (_KINDS, _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
 
-def fetch_requests(requests: DataFrame, config: FetchConfig = FetchConfig(), sessions: dict[str, FetchConfig] | None = None, delay: float = 0.0, throttle: K.Throttle | None = None, lanes: int | None = None, batch: int = 32) -> DataFrame:
-    """Responses of requests (url; method, session_id, headers, body if there).
+def fetch_requests(requests: DataFrame, config: FetchConfig = FetchConfig(), sessions: dict[str, FetchConfig] | None = None, delay: float = 0.0, throttle: K.Throttle | None = None, lanes: int | None = None, batch: int = 32, per_domain: int = 1) -> DataFrame:
+    """Responses of requests (url; method, session_id, headers, body, json_body, priority if there).
 
-    A domain's requests come to one task, one after the other: delay seconds apart, or by an adaptive delay that is never below it. lanes: tasks that fetch at a time.
+    json_body wins over body.  Columns fp and seq, if there, come back with each response,
+    so that requests to one URL are told apart.  A domain's requests come to one task, by
+    priority and then fp, both descending, one after the other: delay seconds apart, or by
+    an adaptive delay that is never below it.  per_domain: without delays, tasks that may
+    ask one domain at a time.  lanes: tasks that fetch at a time.
     """
-    known = {"url": "string", "method": "string", "session_id": "string", "headers": "map<string,string>", "body": "string"}
+    known = {"url": "string", "method": "string", "session_id": "string", "headers": "map<string,string>", "body": "string", "json_body": "string", "fp": "string", "seq": "long", "priority": "int"}
     rows = requests.select(*((F.col(c) if c in requests.columns else F.lit(None)).cast(k).alias(c) for c, k in known.items()))
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
@@ -43,20 +48,25 @@ def fetch_requests(requests: DataFrame, config: FetchConfig = FetchConfig(), ses
         slots: dict[str, K.Slot] = {}
         named = Sessions({"default": config} | (sessions or {}))
         for b in batches:
-            for url, method, session, headers, body in zip(*(c.to_pylist() for c in b.columns)):
+            for url, method, session, headers, body, json_body, fp, seq, _, _ in zip(*(c.to_pylist() for c in b.columns)):
                 now = time.monotonic()
                 slot = slots.setdefault(U.host(url) or "", K.slot(pace, delay, now))
                 time.sleep(K.reserve(pace, slot, delay, now))
-                r = named.fetch(session, url, method=method or "GET", body=body, headers=dict(headers or []), proxies=rotating)
+                r = named.fetch(session, url, method=method or "GET", body=body, json_body=json_body, headers=dict(headers or []), proxies=rotating)
                 if throttle is not None and r.error_kind is None:
                     K.record(pace, slot, r.latency_s, r.status, K.retry_after(r.headers.get("retry-after")), delay, time.monotonic())
-                out.append(_row(url, r))
+                out.append((*_row(url, r), fp, seq))
                 if len(out) == batch:
-                    yield _batch(out)
+                    yield _batch(out, True)
                     out = []
-        yield _batch(out)
-
-    return (rows.repartition(lanes, host) if lanes else rows.repartition(host)).mapInArrow(run, RESPONSE)
+        yield _batch(out, True)
+
+    paced = throttle is not None or delay > 0
+    lane = F.lit(0) if paced or per_domain <= 1 else F.pmod(F.xxhash64("url", "fp", "seq"), F.lit(per_domain))
+    rows = rows.withColumn("__host", F.concat_ws("|", host, lane.cast("string")))
+    spread = rows.repartition(lanes, "__host") if lanes else rows.repartition("__host")
+    got = spread.sortWithinPartitions("__host", F.desc("priority"), F.desc("fp")).mapInArrow(run, f"{RESPONSE}, fp string, seq long")
+    return got.drop(*(c for c in ("fp", "seq") if c not in requests.columns))
 
 
 class _Urls(InputPartition):

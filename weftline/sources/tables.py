@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 
 from ..functions.url import cache_key, storage_key
 from ..kernel.fetching import BLOCKED
+from ..operators.frontier import bucket, touched
 
 _CACHE = "url string, status int, content_type string, body string, headers map<string,string>, saved_at timestamp"
 
@@ -30,11 +31,16 @@ class ResponseCache:
     def put(self, responses: DataFrame) -> None:
         kept = responses.where(~F.col("status").isin(*BLOCKED))
         names = [c.split()[0] for c in _CACHE.split(", ")[:-1]]
-        kept.select(*((F.col(c) if c in responses.columns else F.lit(None).cast("map<string,string>" if c == "headers" else "string")).alias(c) for c in names), F.current_timestamp().alias("saved_at")).write.mode("append").parquet(self.path)
+        rows = kept.select(*((F.col(c) if c in responses.columns else F.lit(None).cast("map<string,string>" if c == "headers" else "string")).alias(c) for c in names), F.current_timestamp().alias("saved_at"))
+        rows.withColumn("bucket", bucket(F.col("url"))).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
 
-    def read(self) -> DataFrame:
+    def read(self, asked: DataFrame | None = None) -> DataFrame:
+        """The latest response of each URL; asked (url): of the buckets alone in which these are."""
         rows = _read(self.spark, self.path)
-        rows = rows if rows is not None else self.spark.createDataFrame([], _CACHE)
+        rows = rows if rows is not None else self.spark.createDataFrame([], f"{_CACHE}, bucket int")
+        if asked is not None:
+            rows = touched(asked, F.col("url"), rows)
+        rows = rows.drop("bucket")
         w = Window.partitionBy(cache_key(F.col("url"))).orderBy(F.desc("saved_at"), F.xxhash64("body"))
         return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
