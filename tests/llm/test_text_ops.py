@@ -56,7 +56,10 @@ def test_unigram_scores_are_the_best_of_all_paths():
         return max((c.scores[c.ids[w[:k]]] + best(w[k:]) for k in range(1, len(w) + 1) if w[:k] in c.ids), default=-1e9)
 
     words = sorted({S.MARK + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))) for _ in range(60)})
-    for w, ids in zip(words, c.encode_sorted(words)):
+    flat, sizes = c.encode_sorted(words)
+    assert len(sizes) == len(words)
+    for w, n in zip(words, sizes):
+        ids, flat = flat[:n], flat[n:]
         assert "".join(pieces[i] for i in ids) == w and sum(c.scores[i] for i in ids) == pytest.approx(best(w))
 
 

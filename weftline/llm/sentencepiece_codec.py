@@ -23,6 +23,7 @@ decoding ids gives back the text, with U+2581 read as a space.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -39,9 +40,13 @@ from .rows import id_type, rows
 MARK = "▁"
 #: Bytes of text whose distinct words share one trie.
 TRIE_BYTES = 8 << 20
+#: Rows whose texts are encoded at a time, if they are shorter than TRIE_BYTES.
+ROWS = 1500
+#: Words that are Python strings at a time.
+WORDS = 50_000
 #: Ids decoded at a time, and remembered pairs of pieces: bounds on memory alone.
 DECODE_IDS = 200_000
-MAX_PAIRS = 400_000
+MAX_PAIRS = 200_000
 
 
 def default_model() -> str:
@@ -129,25 +134,18 @@ class Codec:
             return None
         return [self.merge(MARK * n) for n in range(longest + 1)]
 
-    def _after_marks(self, words: list[str]) -> dict[str, list[int]]:
-        """The ids of words that begin with two marks or more."""
-        whole = lambda found: [i for x in found for i in ([x] if x >= 0 else self._bytes(chr(-1 - x)))]
+    def _after_marks(self, word: str) -> list[int]:
+        """The ids of a word that begins with two marks or more."""
         if self.runs is None:
-            return {w: whole(self.merge(w)) for w in words}
-        bases = sorted({b for w in words if (b := w.lstrip(MARK))})
-        found = dict(zip(bases, self._bpe([MARK + b for b in bases])))
-        mark, longest, out = self.ids.get(MARK), len(self.runs) - 1, {}
-        for w in words:
-            base = w.lstrip(MARK)
-            ids = found.get(base, [])
-            n = len(w) - len(base)
-            # The last mark is part of the word's first piece, or stands alone and then belongs to the run.
-            if ids and ids[0] == mark:
-                ids = ids[1:]
-            elif ids:
-                n -= 1
-            out[w] = self.runs[longest] * (n // longest) + self.runs[n % longest] + ids
-        return out
+            return [i for x in self.merge(word) for i in ([x] if x >= 0 else self._bytes(chr(-1 - x)))]
+        base = word.lstrip(MARK)
+        ids, n, longest = list(self._bpe([MARK + base])[0]) if base else [], len(word) - len(base), len(self.runs) - 1
+        # The last mark is part of the word's first piece, or stands alone and then belongs to the run.
+        if ids and ids[0] == self.ids.get(MARK):
+            ids = ids[1:]
+        elif ids:
+            n -= 1
+        return self.runs[longest] * (n // longest) + self.runs[n % longest] + ids
 
     def apart(self, a: int, b: int) -> bool:
         """Whether merging leaves the pieces a and b apart when they stand together."""
@@ -169,22 +167,23 @@ class Codec:
             else:
                 return True
 
-    def encode_sorted(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct marked words in sorted order."""
+    def encode_sorted(self, words: Iterable[str]) -> tuple[array, array]:
+        """Ids of distinct marked words in sorted order, one after the other, and how many each has."""
         return self._bpe(words) if self.kind == "bpe" else self._unigram(words)
 
     def _bytes(self, char: str) -> list[int]:
         return [self.unknown] if self.bytes_from is None else [self.bytes_from + b for b in char.encode("utf-8", "surrogatepass")]
 
-    def _bpe(self, words: list[str]) -> list[list[int]]:
+    def _bpe(self, words: Iterable[str]) -> tuple[array, array]:
         ids, longest, follows, parts, pieces = self.ids, self.longest, self.follows, self.parts, self.pieces
-        marked = self._after_marks(runs) if (runs := [w for w in words if w[:2] == MARK * 2]) else {}
         last: list[int] = [-1]  # of each prefix: its last piece, or -1 - code
         before = ""
-        out = []
+        out, sizes = array("i"), array("i")
         for w in words:
             if w[:2] == MARK * 2:
-                out.append(marked[w])
+                back = self._after_marks(w)
+                out.extend(back)
+                sizes.append(len(back))
                 continue
             n, k = min(len(w), len(before)), 0
             while k < n and w[k] == before[k]:
@@ -218,15 +217,16 @@ class Codec:
                     back.append(i)
                     end -= len(pieces[i])
             back.reverse()
-            out.append(back)
-        return out
+            out.extend(back)
+            sizes.append(len(back))
+        return out, sizes
 
-    def _unigram(self, words: list[str]) -> list[list[int]]:
+    def _unigram(self, words: Iterable[str]) -> tuple[array, array]:
         """Best sums of scores; of equal sums the one whose last piece is longest."""
         ids, scores, longest = self.ids, self.scores, self.longest
         unknown = min(scores, default=0.0) - 10
         best: list[tuple[float, int, int]] = [(0.0, 0, -1)]
-        before, out = "", []
+        before, out, sizes = "", array("i"), array("i")
         for w in words:
             n, k = min(len(w), len(before)), 0
             while k < n and w[k] == before[k]:
@@ -248,8 +248,9 @@ class Codec:
                 back += [i] if i >= 0 else reversed(self._bytes(w[start:end]))
                 end = start
             back.reverse()
-            out.append(back)
-        return out
+            out.extend(back)
+            sizes.append(len(back))
+        return out, sizes
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """n + 1 offsets, and the ids of all texts."""
@@ -273,14 +274,12 @@ class Codec:
             bounds = np.append(starts, len(data))
             words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data))
             coded = words.dictionary_encode()
-            distinct = [w.replace(" ", MARK) for w in coded.dictionary.to_pylist()]
-            order = sorted(range(len(distinct)), key=distinct.__getitem__)
-            found = self.encode_sorted([distinct[i] for i in order])
-            length = np.zeros(len(distinct), np.int64)
-            length[order] = [len(x) for x in found]
-            flat = np.fromiter((i for x in found for i in x), np.int32, int(length.sum()))
-            begin = np.zeros(len(distinct), np.int64)
-            begin[order] = np.cumsum(length[order]) - length[order]
+            distinct = pc.replace_substring(coded.dictionary, " ", MARK)
+            order = pc.sort_indices(distinct)
+            ids, sizes = self.encode_sorted(w for k in range(0, len(order), WORDS) for w in distinct.take(order.slice(k, WORDS)).to_pylist())
+            order, flat, size = order.to_numpy(), np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
+            length, begin = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            length[order], begin[order] = size, np.cumsum(size) - size
             index = coded.indices.to_numpy()
             parts.append(gather(flat, begin[index], length[index]))
             ends = np.concatenate([[0], np.cumsum(length[index])])
@@ -323,8 +322,10 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
+            # Memory that an earlier stage or batch left unused goes back first.
+            pa.default_memory_pool().release_unused()
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
                 off, ids = c.encode_batch(part.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(off), pa.int64())], names=["doc_id", "ids", "n_tokens"])
