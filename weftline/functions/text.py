@@ -76,6 +76,12 @@ def re_first(c: Column, pattern: str, **flags: bool) -> Column:
     return F.get(re_all(c, pattern, **flags), F.lit(0))
 
 
+def xpath_literal(c: Column) -> Column:
+    """The text as an XPath string: in quotes that it doesn't hold, or put together from parts."""
+    parts = F.concat(F.lit("concat('"), F.replace(c, F.lit("'"), F.lit("', \"'\", '")), F.lit("')"))
+    return F.when(~c.contains("'"), F.concat(F.lit("'"), c, F.lit("'"))).when(~c.contains('"'), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(parts)
+
+
 title_case = batched(lambda t: None if t is None else K.title_case(t), "string")
 
 

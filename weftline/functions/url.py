@@ -135,6 +135,42 @@ def decode_body(body: Column, content_type: Column, limit: int | None = None) ->
     return batched(lambda b, t: None if b is None else decode(b, t, limit), "string")(body, content_type)
 
 
+def gunzip(body: Column, limit: int | None = None) -> Column:
+    """The bytes of all gzip members; null if there are none, or more than limit."""
+    from ..kernel.fetching import gunzip as whole
+
+    return batched(lambda b: None if b is None else whole(b, limit), "binary")(body)
+
+
+def request_headers(url: Column, config: object = None) -> Column:
+    """The headers, as a map, that a request for the URL would have."""
+    from ..kernel.fetching import FetchConfig, build_headers
+
+    settings = config or FetchConfig()
+    return batched(lambda u: None if u is None else list(build_headers(settings, u).items()), "map<string,string>")(url)
+
+
+def is_success(status: Column) -> Column:
+    return F.coalesce(status.between(200, 299), F.lit(False))
+
+
+def is_blocked(status: Column) -> Column:
+    from ..kernel.fetching import BLOCKED
+
+    return F.coalesce(status.isin(*sorted(BLOCKED)), F.lit(False))
+
+
+def search_blocked(status: Column, url: Column, body: Column) -> Column:
+    """Whether a search engine answered with its homepage in place of results."""
+    name = host(url)
+    return F.coalesce(((name == "duckduckgo.com") | name.endswith(".duckduckgo.com")) & ((status == 202) | (is_success(status) & ~F.coalesce(body, F.lit("")).contains("result__a"))), F.lit(False))
+
+
+def is_robots(url: Column) -> Column:
+    """Whether a URL is that of a robots.txt."""
+    return F.coalesce(url_parts(url)["path"].endswith("/robots.txt"), F.lit(False))
+
+
 def charset(content_type: Column) -> Column:
     return F.nullif(F.regexp_extract(content_type, r"""(?i)(?:^|;)\s*charset\s*=\s*["']?([\w-]+)""", 1), F.lit(""))
 

@@ -50,6 +50,6 @@ def shop(df: DataFrame, target: str, url: str = "url", body: str = "body") -> Da
 def first_variants(items: DataFrame, item: str = "item", order: tuple[str, ...] = ("url", "pos")) -> DataFrame:
     """Items without those whose identifier came before in this order; items without one all stay."""
     identifier = F.get_json_object(item, "$.identifier")
-    w = Window.partitionBy("__id").orderBy(*order)
-    known = items.withColumn("__id", identifier).where("__id is not null").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__id")
-    return known.unionByName(items.where(identifier.isNull()))
+    # Rows without an identifier are spread by their place and all stay.
+    w = Window.partitionBy("__id", F.when(F.col("__id").isNull(), F.xxhash64(*order))).orderBy(*order)
+    return items.withColumn("__id", identifier).withColumn("__n", F.row_number().over(w)).where("__n = 1 or __id is null").drop("__n", "__id")

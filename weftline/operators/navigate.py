@@ -28,6 +28,28 @@ def attrs_map() -> Column:
     return F.map_from_entries("attrs")
 
 
+def attrs_keys() -> Column:
+    return F.transform("attrs", lambda a: a["name"])
+
+
+def attrs_values() -> Column:
+    return F.transform("attrs", lambda a: a["value"])
+
+
+def attrs_json() -> Column:
+    """The attributes as compact JSON, in their order."""
+    return F.to_json(attrs_map())
+
+
+def has_attribute(name: str) -> Column:
+    return F.exists("attrs", lambda a: a["name"] == name)
+
+
+def json_text() -> Column:
+    """The element's own text as a VARIANT; null if it isn't JSON."""
+    return F.try_parse_json("text")
+
+
 def children(nodes: DataFrame, page: str = "page_id") -> DataFrame:
     """page, node_id, child_id of the element children."""
     return elements(nodes).select(page, F.col("parent_id").alias("node_id"), F.col("node_id").alias("child_id"))
@@ -45,10 +67,11 @@ def siblings(nodes: DataFrame, page: str = "page_id") -> DataFrame:
     return rows.select(page, "node_id", F.explode(F.filter("__row", lambda x: x != F.col("node_id"))).alias("sibling_id"))
 
 
-def neighbours(nodes: DataFrame, page: str = "page_id") -> DataFrame:
-    """nodes of elements with previous_id and next_id, the element siblings beside each."""
+def neighbours(nodes: DataFrame, page: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """nodes of elements with previous_id and next_id, the element siblings beside each; of the columns in carry also previous_ and next_."""
     w = Window.partitionBy(page, "parent_id").orderBy("node_id")
-    return elements(nodes).withColumn("previous_id", F.lag("node_id").over(w)).withColumn("next_id", F.lead("node_id").over(w))
+    names = {"id": "node_id"} | {c: c for c in carry}
+    return elements(nodes).withColumns({f"{side}_{n}": step(c).over(w) for n, c in names.items() for side, step in (("previous", F.lag), ("next", F.lead))})
 
 
 def nth_of_type(nodes: DataFrame, page: str = "page_id") -> DataFrame:

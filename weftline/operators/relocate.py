@@ -6,6 +6,8 @@ shuffled is one snapshot and one page for each key and never their product.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..kernel import dom, similarity
 from ..kernel.dom import Page
 from .extract import ELEMENT, _element
 
+LOG = logging.getLogger("weftline.relocate")
 _HIT = f"array<struct<node_id: int, html: string, score: double, element: {ELEMENT}>>"
 
 
@@ -34,7 +37,9 @@ def _relocate(threshold: float):
         nodes = _candidates(p)
         data = [dom.element_data(x) for x in nodes]
         original = _dict(element)
-        return [{"node_id": nodes[i].pre, "html": dom.outer_html(nodes[i]), "score": similarity.score(original, data[i]), "element": _element(nodes[i])} for i in similarity.relocate(original, data, threshold)]
+        places = similarity.relocate(original, data, threshold)
+        LOG.debug("%d of %d elements are as like a saved %s as any", len(places), len(nodes), original["tag"])
+        return [{"node_id": nodes[i].pre, "html": dom.outer_html(nodes[i]), "score": similarity.score(original, data[i]), "element": _element(nodes[i])} for i in places]
 
     return run
 

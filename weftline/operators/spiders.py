@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 from ..kernel import feeds
 from ..kernel.dom import Page
 from ..kernel.links import LinkRules
+from .crawl import CrawlConfig, CrawlResult, Parser, crawl
 
+LOG = logging.getLogger("weftline.spiders")
 ParseItem = Callable[[Page, dict], list[object]]
 
 
@@ -59,6 +64,8 @@ def sitemap_spider(rules: list[CrawlRule] = [], parse_item: ParseItem | None = N
         if not feeds.looks_like_sitemap(body):
             return (parse_item(page, row) if parse_item else []), []
         urls, children = feeds.sitemap(body, alternates)
+        if not urls and not children:
+            LOG.warning("no entries in the sitemap %s", page.url)
         children = [u for c in children if (u := feeds.absolute(page.url, c)) and (follow_sitemaps is None or follow_sitemaps.matches(u))]
         pages = [r for x in urls if (u := feeds.absolute(page.url, x)) and (r := dispatch(rules, u, row)) is not None]
         return [], [*children, *pages]
@@ -90,3 +97,38 @@ def shop_spider(target: str):
         return shop.parse(page.url, row["body"])
 
     return parse, [shop.collections_url()]
+
+
+@dataclass(frozen=True)
+class Spider:
+    """Start URLs, a parser and settings: all that a crawl takes but its sources."""
+
+    start_urls: tuple[str, ...]
+    parser: Parser = field(compare=False)
+    config: CrawlConfig = CrawlConfig()
+
+    def run(self, spark: SparkSession, path: str, **sources: object) -> CrawlResult:
+        """sources: cache, fetch and robots_docs of crawl()."""
+        return crawl(spark, spark.createDataFrame([(u,) for u in self.start_urls], "url string"), self.parser, path, self.config, **sources)
+
+
+def crawl_template(start_urls: list[str], rules: list[CrawlRule], parse_item: ParseItem | None = None, **settings: object) -> Spider:
+    """settings: of CrawlConfig, here and below."""
+    return Spider(tuple(start_urls), crawl_spider(rules, parse_item), CrawlConfig(**settings))
+
+
+def sitemap_template(sitemap_urls: list[str], rules: list[CrawlRule] = [], parse_item: ParseItem | None = None, follow_sitemaps: LinkRules | None = None, alternates: bool = False, **settings: object) -> Spider:
+    return Spider(tuple(sitemap_urls), sitemap_spider(rules, parse_item, follow_sitemaps, alternates), CrawlConfig(**settings))
+
+
+def xml_feed_template(feed_urls: list[str], iterate: str = "item", parse_node: Callable[[dict, dict], list[object]] | None = None, **settings: object) -> Spider:
+    return Spider(tuple(feed_urls), xml_feed_spider(iterate, parse_node), CrawlConfig(**settings))
+
+
+def csv_feed_template(feed_urls: list[str], delimiter: str = ",", headers: list[str] | None = None, parse_row: Callable[[dict, dict], list[object]] | None = None, **settings: object) -> Spider:
+    return Spider(tuple(feed_urls), csv_feed_spider(delimiter, headers, parse_row), CrawlConfig(**settings))
+
+
+def shop_template(target: str, **settings: object) -> Spider:
+    parser, urls = shop_spider(target)
+    return Spider(tuple(urls), parser, CrawlConfig(**settings))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pages, tables
+from . import pages, surface, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pages.query.queries, **tables.query.queries}
-ORACLE_SQL: dict[str, str] = {**pages.query.sql, **tables.query.sql}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pages.query.queries, **tables.query.queries, **surface.query.queries}
+ORACLE_SQL: dict[str, str] = {**pages.query.sql, **tables.query.sql, **surface.query.sql}

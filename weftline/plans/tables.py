@@ -222,10 +222,11 @@ def constant_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- feeds ----
 
 
-def _joined(rows: DataFrame, key: str, order: str, line: Column, head: str, foot: str) -> DataFrame:
-    """A document for each key, from its rows' lines in order."""
+def _joined(rows: DataFrame, key: str, order: str, line: Column, head: str, foot: str, size: int | None = None) -> DataFrame:
+    """A document for each key, from its rows' lines in order; size: a document (page) for about so many rows, by ranges of the order."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda s: s["line"])
-    return rows.groupBy(key).agg(lines.alias("__l")).select(key, F.concat(F.lit(head), F.array_join("__l", ""), F.lit(foot)).alias("body"))
+    page = F.floor(F.col(order) / (size or 1)) if size else F.lit(0)
+    return rows.groupBy(key, page.alias("page")).agg(lines.alias("__l")).select(key, *(["page"] if size else []), F.concat(F.lit(head), F.array_join("__l", ""), F.lit(foot)).alias("body"))
 
 
 @query("SELECT c_nationkey AS nation, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS pos, CAST(c_custkey AS VARCHAR) AS id, c_name || ', \"' || c_mktsegment || '\"' AS name, '' AS missing FROM customer")
@@ -265,8 +266,9 @@ def shop_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     variant = F.struct(F.col("p_partkey").alias("id"), F.col("p_type").alias("title"), F.col("p_size").cast("string").alias("price"), (F.col("p_size") <= 25).alias("available"), F.lit("0.00").alias("compare_at_price"))
     product = F.to_json(F.struct(F.col("p_name").alias("title"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("handle"), F.col("p_brand").alias("vendor"), F.lit("<p>A &amp; b<br> c </p>").alias("body_html"), F.array(variant, variant).alias("variants")))
-    docs = _joined(p, "p_brand", "p_partkey", F.concat(product, F.lit(",")), '{"products": [', '{"variants": []}]}')
-    docs = docs.select(F.lit("https://shop.example/collections/brand-2in1/products.json?page=1&limit=250").alias("url"), "body")
+    # A brand's products go in pages of a bounded range of keys, as a store shows them: no document grows with the table.
+    docs = _joined(p, "p_brand", "p_partkey", F.concat(product, F.lit(",")), '{"products": [', '{"variants": []}]}', 25 * 250)
+    docs = docs.select(F.concat(F.lit("https://shop.example/collections/brand-2in1/products.json?page="), F.col("page") + 1, F.lit("&limit=250")).alias("url"), "body")
     items = feeds.shop(docs, "shop.example").where("kind = 'item'").withColumnRenamed("value", "item")
     j = lambda k: F.get_json_object("item", f"$.{k}")
     return feeds.first_variants(items).select(j("identifier").cast("long").alias("identifier"), j("name").alias("name"), j("category").alias("category"), j("brand").alias("brand"), j("price").alias("price"), j("url").alias("url"), j("description").alias("description"), j("stock").cast("int").alias("stock"))

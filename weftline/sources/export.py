@@ -44,6 +44,11 @@ def jsonl_lines(items: DataFrame) -> DataFrame:
     return items.select(F.col("seq").cast("long").alias("seq"), F.col("item").alias("line"))
 
 
+def json_texts(items: DataFrame, indent: int = 0) -> DataFrame:
+    """seq, text: each item as JSON of its own, indented."""
+    return items.select(F.col("seq").cast("long").alias("seq"), batched(lambda t: json.dumps(json.loads(t), ensure_ascii=False, indent=indent or None), "string")(F.col("item")).alias("text"))
+
+
 def write_jsonl(items: DataFrame, path: str) -> None:
     items.select("item").write.text(path)
 
