@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from operator import attrgetter
 
 from .html import TEXT, Node, number_last
 
@@ -339,35 +339,45 @@ class Index:
         self.order = order
         self.all = [x for x in order if x.tag[0] != "#"]
         self._by: dict[str, dict[str, list[Node]]] = {}
+        self._places: dict[tuple[str, str], list[int]] = {}
         self._bounded = False
 
     def _named(self, kind: str) -> dict[str, list[Node]]:
-        if kind not in self._by:
-            out = self._by[kind] = {}
-            for x in self.all:
-                if kind == "tag":
-                    names = (x.tag,)
-                elif kind in x.attrs:
-                    names = dict.fromkeys(x.attrs[kind].split()) if kind == "class" else (x.attrs[kind],)
-                else:
-                    continue
-                for name in names:
-                    out.setdefault(name, []).append(x)
-        return self._by[kind]
+        out = self._by.get(kind)
+        if out is None:
+            out = self._by[kind] = defaultdict(list)
+            if kind == "tag":
+                for x in self.all:
+                    out[x.tag].append(x)
+            elif kind == "id":
+                for x in self.all:
+                    if (v := x.attrs.get("id")) is not None:
+                        out[v].append(x)
+            else:
+                names: dict[str, list[str]] = {}
+                for x in self.all:
+                    if v := x.attrs.get("class"):
+                        of = names.get(v)
+                        if of is None:
+                            of = names[v] = list(dict.fromkeys(v.split()))
+                        for name in of:
+                            out[name].append(x)
+        return out
 
     def candidates(self, c: Compound, scope: Node | None = None) -> list[Node]:
         """Elements below scope that the compound may match."""
-        found = self._named("id").get(c.id, []) if c.id else self._named("class").get(c.cls, []) if c.cls else self._named("tag").get(c.tag, []) if c.tag else self.all
+        kind, name = ("id", c.id) if c.id else ("class", c.cls) if c.cls else ("tag", c.tag)
+        found = self._named(kind).get(name, []) if name else self.all
         if scope is None or scope.parent is None:
             return found
         if not self._bounded:
             number_last(self.order)
             self._bounded = True
-        low = bisect_right(found, scope.pre, key=_pre)
-        return found[low : bisect_right(found, scope.last, low, key=_pre)]
-
-
-_pre = attrgetter("pre")
+        places = self._places.get((kind, name))
+        if places is None:
+            places = self._places[kind, name] = [x.pre for x in found]
+        low = bisect_right(places, scope.pre)
+        return found[low : bisect_right(places, scope.last, low)]
 
 
 _SUFFIX = re.compile(r"::(?:(text)|attr\(([^()]*)\))\s*$")

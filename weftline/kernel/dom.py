@@ -40,7 +40,7 @@ class Page:
     def values(self, query: str | Query, scope: Node | None = None) -> list[str]:
         """The text, attribute or outer HTML of each match; empty texts and missing attributes are left out."""
         q = compile_query(query) if isinstance(query, str) else query
-        found = self.select(q, scope)
+        found = q.select(self.index, scope)
         if q.want == "text":
             return [t for t in (all_text(x).rstrip(WHITE) for x in found) if t]
         if q.want == "attr":

@@ -20,10 +20,11 @@ DOCUMENT, TEXT, COMMENT, DOCTYPE, PI = "#document", "#text", "#comment", "#docty
 class Node:
     """tag: lower-case name, or one of the kinds above; attrs: in document order; data: of text and comments."""
 
-    __slots__ = ("tag", "attrs", "parent", "kids", "data", "foreign", "pre", "post", "last")
+    __slots__ = ("tag", "attrs", "parent", "kids", "data", "foreign", "pre", "post", "last", "clear")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, data: str = "", foreign: str = "") -> None:
-        # pre, post and last are set when the tree is numbered.
+        # pre, post and last are set when the tree is numbered; until then post is the place
+        # on the stack at which a node was opened. clear: no p is open in button scope from here.
         self.tag = tag
         self.attrs = {} if attrs is None else attrs
         self.data = data
@@ -65,8 +66,8 @@ _POINTS = _set("foreignobject desc title mi mo mn ms mtext annotation-xml")
 #: Tags with rules of their own in the body; any other is inserted as it comes.
 _RULED = _BLOCKS | FORMATTING | HEADINGS | _IN_HEAD | VOID | RAW | RCDATA | _MARKED | _TABLE_PARTS | _set("li dd dt image body html head pre listing form plaintext button table select optgroup option rb rtc rp rt math svg frameset")
 
-_ATTR = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
-_TOKEN = re.compile(rf"<(?:(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[\s/]*+{_ATTR})*+)[\s/]*+>|/(?P<end>[A-Za-z][^\s/>]*+)[^>]*+>|!--(?P<comment>(?s:.*?))(?:--!?>|\Z)|!(?P<declaration>[^>]*+)>?|(?P<bogus>[?/][^>]*+)>?|(?P<odd>[A-Za-z]))")
+ATTR = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
+_TOKEN = re.compile(rf"<(?:(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[\s/]*+{ATTR})*+)[\s/]*+>|/(?P<end>[A-Za-z][^\s/>]*+)[^>]*+>|!--(?P<comment>(?s:.*?))(?:--!?>|\Z)|!(?P<declaration>[^>]*+)>?|(?P<bogus>[?/][^>]*+)>?|(?P<odd>[A-Za-z]))")
 _ATTRS = re.compile(r"""[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 _ODD_ATTRS = re.compile(r"""[\s/]*+(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _BLANK = re.compile(r"[\t\n\f\r ]*")
@@ -89,7 +90,7 @@ def _value(text: str) -> str:
     return _REFERENCE.sub(_attribute_reference, text) if "&" in text else text
 
 
-def _attributes(text: str, pattern: re.Pattern[str] = _ATTRS) -> dict[str, str]:
+def attributes(text: str, pattern: re.Pattern[str] = _ATTRS) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, double, single, bare in pattern.findall(text):
         if not name:
@@ -109,7 +110,7 @@ def _odd_tag(html: str, at: int) -> tuple[str, dict[str, str], int] | None:
     while at < len(html) and html[at] != ">":
         m = _ODD_ATTRS.match(html, at)
         at = m.end() if m.end() > at else at + 1
-    return (name, _attributes(html[begin:at], _ODD_ATTRS), at + 1) if at < len(html) else None
+    return (name, attributes(html[begin:at], _ODD_ATTRS), at + 1) if at < len(html) else None
 
 
 class Builder:
@@ -123,6 +124,8 @@ class Builder:
         self.foster = False
         self.quirks = True
         self.skip_newline = False
+        # Whether nodes on the stack may stand elsewhere than they were opened.
+        self.shifted = False
 
     # ---- insertion ----
 
@@ -161,9 +164,24 @@ class Builder:
             parent = self.open[-1]
             node.parent = parent
             parent.kids.append(node)
-        self.open.append(node)
+        self.push(node)
         return node
 
+    def push(self, node: Node) -> None:
+        opened = self.open
+        node.post = len(opened)
+        node.clear = self._clear(node, opened[-1] if opened else None)
+        opened.append(node)
+
+    @staticmethod
+    def _clear(node: Node, below: Node | None) -> bool:
+        if not node.foreign:
+            if node.tag == "p":
+                return False
+            if node.tag in _BUTTON_SCOPE:
+                return True
+        return below is None or below.clear
+
     def text(self, data: str) -> None:
         parent = self.open[-1]
         if self.foster and parent.tag in ("table", "tbody", "tfoot", "thead", "tr"):
@@ -191,7 +209,8 @@ class Builder:
         return False
 
     def pop_until(self, *tags: str) -> None:
-        while self.open:
+        # The root stays, whatever is asked for.
+        while len(self.open) > 1:
             node = self.open.pop()
             if node.tag in tags and not node.foreign:
                 return
@@ -201,7 +220,7 @@ class Builder:
             self.open.pop()
 
     def close_p(self) -> None:
-        if self.in_scope("p", _BUTTON_SCOPE):
+        if self.open and not self.open[-1].clear:
             self.imply("p")
             self.pop_until("p")
 
@@ -235,13 +254,18 @@ class Builder:
             active[k] = self.insert(active[k].tag, dict(active[k].attrs))
 
     def _opened(self, node: Node) -> bool:
-        return any(x is node for x in reversed(self.open))
+        opened = self.open
+        if node.post < len(opened) and opened[node.post] is node:
+            return True
+        return self.shifted and any(x is node for x in reversed(opened))
 
     def clear_active(self) -> None:
         while self.active and self.active.pop() is not None:
             pass
 
     def _drop(self, items: list, node: Node | None) -> None:
+        if self is not None and items is self.open:
+            self.shifted = True
         for k in range(len(items) - 1, -1, -1):
             if items[k] is node:
                 del items[k]
@@ -278,6 +302,7 @@ class Builder:
                 del self.open[at:]
                 self._drop(self.active, element)
                 return
+            self.shifted = True
             furthest, ancestor = self.open[block], self.open[at - 1]
             mark = self._find(self.active, element)
             last, k, inner = furthest, block, 0
@@ -297,6 +322,7 @@ class Builder:
                     del self.open[k]
                     continue
                 new = Node(node.tag, dict(node.attrs))
+                new.post, new.clear = k, self.open[k - 1].clear
                 self.active[where] = self.open[k] = new
                 if last is furthest:
                     mark = where + 1
@@ -321,7 +347,9 @@ class Builder:
             self._drop(self.active, element)
             self.active.insert(mark, new)
             self._drop(self.open, element)
-            self.open.insert(self._find(self.open, furthest) + 1, new)
+            where = self._find(self.open, furthest) + 1
+            new.post, new.clear = where, furthest.clear
+            self.open.insert(where, new)
 
     def _in_scope_node(self, target: Node) -> bool:
         for node in reversed(self.open):
@@ -418,7 +446,7 @@ class Builder:
             self.html = Node("html")
             self.html.parent = self.root
             self.root.kids.append(self.html)
-            self.open.append(self.html)
+            self.push(self.html)
         self.mode = "before head"
 
     def _to_head(self) -> None:
@@ -476,7 +504,7 @@ class Builder:
             if tag == "head":
                 return ""
             if tag in _IN_HEAD:
-                self.open.append(self.head)
+                self.push(self.head)
                 out = self._in_head(tag, attrs)
                 self._drop(self.open, self.head)
                 return out
@@ -814,7 +842,7 @@ class Builder:
             self._table_end(tag)
 
     def _end_template(self) -> None:
-        if any(x.tag == "template" for x in self.open):
+        if any(x.tag == "template" and not x.foreign for x in self.open):
             self.imply()
             self.pop_until("template")
             self.clear_active()
@@ -833,7 +861,7 @@ class Builder:
                 self.open.pop()
                 return
         if tag == "p":
-            if not self.in_scope("p", _BUTTON_SCOPE):
+            if top.clear:
                 self.insert("p", {})
             self.imply("p")
             self.pop_until("p")
@@ -971,13 +999,9 @@ def _raw_end(tag: str) -> re.Pattern[str]:
     return _RAW_END[tag]
 
 
-def parse(html: str | None) -> Node:
-    """The document node of a tree that isn't numbered yet (see number)."""
-    html = html or ""
-    if "\r" in html:
-        html = html.replace("\r\n", "\n").replace("\r", "\n")
-    b = Builder()
-    at, n, search, opened = 0, len(html), _TOKEN.search, b.open
+def _go_on(b: Builder, html: str, at: int) -> None:
+    """Builds from a place on, token by token."""
+    n, search, opened = len(html), _TOKEN.search, b.open
     while at < n:
         m = search(html, at)
         begin = m.start() if m else n
@@ -992,7 +1016,7 @@ def parse(html: str | None) -> Node:
             name, attrs = m.group(1, 2)
             if not name.islower():
                 name = name.lower()
-            values = _attributes(attrs) if attrs else {}
+            values = attributes(attrs) if attrs else {}
             if b.mode == "body" and not opened[-1].foreign and (name in _BLOCKS or name not in _RULED):
                 # The most frequent rules, without the calls.
                 if name in _BLOCKS:
@@ -1000,10 +1024,7 @@ def parse(html: str | None) -> Node:
                 elif b.active:
                     b.reopen()
                 b.skip_newline = False
-                node = Node(name, values)
-                node.parent = parent = opened[-1]
-                parent.kids.append(node)
-                opened.append(node)
+                b.insert(name, values)
                 continue
             follow = b.start(name, values, html[at - 2] == "/" and not attrs.endswith("/"))
         elif kind == 3:
@@ -1047,6 +1068,150 @@ def parse(html: str | None) -> Node:
             if data:
                 b.text(unescape(data) if follow in RCDATA and "&" in data else data)
             b.open.pop()
+
+
+#: A text cut at all of its tokens: text, token, name and attributes of a start tag, name of an end tag, text and so on.
+_CUTS = re.compile(rf"(<(?:([A-Za-z][^\s/>]*+)((?:[\s/]*+{ATTR})*+)[\s/]*+>|/([A-Za-z][^\s/>]*+)[^>]*+>|!--(?s:.*?)(?:--!?>|\Z)|![^>]*+>?|[?/][^>]*+>?|[A-Za-z]))")
+#: How frequent start tags are handled in the body: 1 closes p, 2 is inserted as it comes, 3 is a heading, 4 is formatting.
+_START = dict.fromkeys(_BLOCKS, 1) | dict.fromkeys(HEADINGS, 3) | dict.fromkeys(FORMATTING - {"nobr"}, 4)
+_START |= dict.fromkeys(_RULED - set(_START), 0) | dict.fromkeys("abbr bdi bdo cite data del dfn figcaption ins kbd label map mark output picture progress q ruby samp slot span sub sup time var video".split(), 2) | dict.fromkeys(_BLOCKS, 1)
+#: End tags that, when they name the innermost element, close it alone: 1, or with its entry among the active ones: 2.
+_END = dict.fromkeys(_CLOSES | HEADINGS | {"p", "li"}, 1) | dict.fromkeys(FORMATTING, 2) | {k: 1 for k, v in _START.items() if v == 2}
+
+
+def parse(html: str | None) -> Node:
+    """The document node of a tree that isn't numbered yet (see number).
+
+    The text is cut at its tokens at once, and the frequent ones are handled here; what
+    makes the cuts wrong (raw text that a token runs out of, and the like) is left to _go_on.
+    """
+    html = html or ""
+    if "\r" in html:
+        html = html.replace("\r\n", "\n").replace("\r", "\n")
+    b = Builder()
+    parts = _CUTS.split(html)
+    opened, active, last = b.open, b.active, len(parts) - 1
+    known: dict[str, dict[str, str]] = {"": {}}
+    start, end, new = _START.get, _END.get, Node.__new__
+    i = base = begin = 0  # begin: where parts[base] begins
+    while True:
+        data = parts[i]
+        if data:
+            if b.mode != "body" or b.skip_newline or "\0" in data:
+                b.characters(unescape(data) if "&" in data else data)
+            else:
+                if "&" in data:
+                    data = unescape(data)
+                    if "\0" in data:
+                        data = data.replace("\0", "")
+                if active:
+                    b.reopen()
+                parent = opened[-1]
+                kids = parent.kids
+                if kids and kids[-1].tag == TEXT:
+                    kids[-1].data += data
+                else:
+                    node = new(Node)
+                    node.tag, node.attrs, node.data, node.foreign, node.parent, node.kids = TEXT, {}, data, "", parent, []
+                    kids.append(node)
+        if i == last:
+            break
+        name = parts[i + 2]
+        if name is not None:
+            text = parts[i + 3]
+            attrs = known.get(text)
+            if attrs is None:
+                attrs = attributes(text)
+                if len(known) < 1000:
+                    known[text] = attrs
+            kind = start(name)
+            if kind is None:
+                name = name.lower()
+                kind = start(name, 2)
+            if kind and b.mode == "body" and not (parent := opened[-1]).foreign and (kind < 4 or not active):
+                if kind == 2:
+                    if active:
+                        b.reopen()
+                        parent = opened[-1]
+                elif kind < 4:
+                    if not parent.clear:
+                        b.close_p()
+                        parent = opened[-1]
+                    if kind == 3 and parent.tag in HEADINGS:
+                        opened.pop()
+                        parent = opened[-1]
+                b.skip_newline = False
+                node = new(Node)
+                node.tag, node.attrs, node.data, node.foreign, node.parent, node.kids = name, attrs, "", "", parent, []
+                node.clear = parent.clear and name != "p"
+                parent.kids.append(node)
+                if kind == 4:
+                    node.post = len(opened)
+                    active.append(node)
+                opened.append(node)
+                i += 5
+                continue
+            token = parts[i + 1]
+            follow = b.start(name, dict(attrs), token[-2] == "/" and not text.endswith("/"))
+            if follow:
+                at = begin + sum(map(len, parts[base : i + 1 : 5])) + sum(map(len, parts[base + 1 : i + 2 : 5]))
+                if follow == "plaintext":
+                    b.text(html[at:])
+                    break
+                stop = _raw_end(follow).search(html, at)
+                data = html[at : stop.start() if stop else len(html)]
+                if b.skip_newline:
+                    b.skip_newline = False
+                    data = data.removeprefix("\n")
+                if data:
+                    b.text(unescape(data) if follow in RCDATA and "&" in data else data)
+                b.open.pop()
+                to = stop.end() if stop else len(html)
+                # Tokens within the raw text are passed over.
+                i += 5
+                while to > at + len(parts[i]) and i < last:
+                    at += len(parts[i]) + len(parts[i + 1])
+                    i += 5
+                if at > to:
+                    _go_on(b, html, to)
+                    break
+                parts[i] = parts[i][to - at :]
+                base, begin = i, to
+                continue
+            i += 5
+            continue
+        name = parts[i + 4]
+        if name is not None:
+            top = opened[-1] if opened else None
+            if top is not None and top.tag == name and b.mode == "body" and not top.foreign and len(opened) > 2:
+                kind = end(name)
+                if kind == 1:
+                    b.skip_newline = False
+                    opened.pop()
+                    i += 5
+                    continue
+                if kind == 2 and active and active[-1] is top:
+                    b.skip_newline = False
+                    opened.pop()
+                    active.pop()
+                    i += 5
+                    continue
+            b.end(name if name.islower() else name.lower())
+            i += 5
+            continue
+        token = parts[i + 1]
+        if token.startswith("<!--"):
+            b.comment(_TOKEN.match(token).group(4), b.html if b.mode == "after body" else None)
+            i += 5
+            continue
+        # Declarations, and what is no tag after all.
+        at = begin + sum(map(len, parts[base : i + 1 : 5])) + sum(map(len, parts[base + 1 : i + 1 : 5]))
+        if token[:9].lower() == "<!doctype":
+            b.doctype(_TOKEN.match(token).group(5))
+            i += 5
+            continue
+        _go_on(b, html, at)
+        break
     b._to_body()
     return b.root
 
@@ -1054,14 +1219,18 @@ def parse(html: str | None) -> Node:
 def number(root: Node) -> list[Node]:
     """Numbers the nodes in document order (pre) and returns them so."""
     order: list[Node] = []
-    put, stack = order.append, [root]
-    pop, push = stack.pop, stack.extend
+    put, stack, n = order.append, [root], 0
+    pop, push = stack.pop, stack.append
     while stack:
         node = pop()
-        node.pre = len(order)
+        node.pre = n
+        n += 1
         put(node)
-        if node.kids:
-            push(reversed(node.kids))
+        if kids := node.kids:
+            if len(kids) == 1:
+                push(kids[0])
+            else:
+                stack += kids[::-1]
     return order
 
 

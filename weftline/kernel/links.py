@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from . import url as U
 from .css import compile_query
 from .dom import WHITE, Page
+from .html import ATTR, RAW, RCDATA, attributes
 
 SCHEMES = frozenset({"http", "https", "file"})
 #: Extensions dropped unless told otherwise, by kind.
@@ -40,6 +41,12 @@ def _domains(names: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(n.lower() for n in names)
 
 
+#: Where one of these stands, the tree decides what and where the links are.
+_TREE = re.compile(r"(?i)<(?:table|select|svg|math|template|frameset|plaintext)")
+#: Comments, raw text and tags, one after the other; groups: a raw text's element, name and attributes of a start tag, what is an odd tag.
+_TAGS = re.compile(rf"<!--(?s:.*?)(?:--!?>|\Z)|(?i:<(?P<raw>{'|'.join(sorted(RAW | RCDATA))})(?=[\s/>])(?:[\s/]*+{ATTR})*+[\s/]*+>(?s:.*?)(?:</(?P=raw)(?=[\s/>])[^>]*+>?|\Z))|<([A-Za-z][^\s/>]*+)((?:[\s/]*+{ATTR})*+)[\s/]*+>|</[A-Za-z][^>]*+>|<[!?/][^>]*+>?|(<[A-Za-z])")
+
+
 @dataclass(frozen=True)
 class LinkRules:
     """Patterns are searched anywhere in the URL; a bad pattern is an error here. Domains match themselves and their subdomains; deny goes before allow."""
@@ -81,31 +88,45 @@ class LinkRules:
         return self.passes(U.canonicalize(url, self.keep_fragment) if self.canonicalize else url)
 
     def extract(self, page: Page) -> list[str]:
+        """The kept URLs of a page in document order, each once."""
         scopes = [s for css in self.restrict_css for s in page.select(css)] if self.restrict_css else [None]
         query = compile_query(", ".join(self.tags))
-        base = U.parsed(page.url)
+        return self._kept((node.attrs for scope in scopes for node in page.select(query, scope)), page.url)
+
+    def extract_text(self, html: str | None, url: str = "") -> list[str]:
+        """The same of a page's text; without restrict_css no tree is built where the tags alone tell."""
+        html = html or ""
+        if not self.restrict_css and set(self.tags) <= {"a", "area"} and not _TREE.search(html):
+            if "\r" in html:
+                html = html.replace("\r\n", "\n").replace("\r", "\n")
+            found = _TAGS.findall(html)
+            if not any(odd for *_, odd in found):
+                return self._kept((attributes(attrs) for _, name, attrs, _ in found if name and name.lower() in self.tags), url)
+        return self.extract(Page(html, url))
+
+    def _kept(self, found: Iterable[dict[str, str]], url: str) -> list[str]:
+        base = U.parsed(url)
         out: dict[str, None] = {}
-        for scope in scopes:
-            for node in page.select(query, scope):
-                for attr in self.attrs:
-                    href = node.attrs.get(attr)
+        for attrs in found:
+            for attr in self.attrs:
+                href = attrs.get(attr)
+                if href is None:
+                    continue
+                if self.strip:
+                    href = href.strip(WHITE)
+                    if not href:
+                        continue
+                if base is not None:
+                    try:
+                        href = str(U.parse(href, base))
+                    except ValueError:
+                        continue
+                if self.process is not None:
+                    href = self.process(href)
                     if href is None:
                         continue
-                    if self.strip:
-                        href = href.strip(WHITE)
-                        if not href:
-                            continue
-                    if base is not None:
-                        try:
-                            href = str(U.parse(href, base))
-                        except ValueError:
-                            continue
-                    if self.process is not None:
-                        href = self.process(href)
-                        if href is None:
-                            continue
-                    if self.canonicalize:
-                        href = U.canonicalize(href, self.keep_fragment)
-                    if self.passes(href):
-                        out.setdefault(href)
+                if self.canonicalize:
+                    href = U.canonicalize(href, self.keep_fragment)
+                if self.passes(href):
+                    out.setdefault(href)
         return list(out)

@@ -152,7 +152,7 @@ def nodes(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -
 def links(pages: DataFrame, rules: LinkRules = LinkRules(), html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """keep, pos, link: the kept URLs of each page in document order, each once a page."""
     carried = keep if keep is not None else [c for c in pages.columns if c != html]
-    got = page_udf(rules.extract, "array<string>")(F.col(html), F.col(url))
+    got = batched(lambda h, u: rules.extract_text(h, u or ""), "array<string>")(F.col(html), F.col(url))
     return spread(pages).select(*carried, F.posexplode(got).alias("pos", "link"))
 
 

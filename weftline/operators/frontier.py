@@ -34,7 +34,7 @@ def first_wins(rows: DataFrame) -> DataFrame:
 
 
 #: Folders over which fingerprints and cached pages are spread, so that a small round reads few of them.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def bucket(key: Column) -> Column:
