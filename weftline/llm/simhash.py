@@ -156,6 +156,10 @@ def visits(root: Node, prints: np.ndarray, size: np.ndarray, near: Near) -> Iter
         stack.append((node.inner, rows[low], (home & inside)[low]))
 
 
+#: What a point is to a task: met with the others of its kind and with guests, with guests alone, or a guest.
+HOME, LEFT, GUEST = 0, 1, 2
+
+
 def _prints(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
     return np.stack([rows.column(c).to_numpy().view(np.uint64) for c in FP], axis=1)
 
@@ -165,11 +169,11 @@ def _route(root: Node, near: Near):
         for b in batches:
             prints = _prints(b)
             size = np.log(b.column("size").to_numpy())
-            tasks, homes, rows = [], [], []
+            tasks, sides, rows = [], [], []
 
-            def put(task: int, home: bool, at: np.ndarray) -> None:
+            def put(task: int, side: int, at: np.ndarray) -> None:
                 tasks.append(np.full(len(at), task, np.int64))
-                homes.append(np.full(len(at), home))
+                sides.append(np.full(len(at), side, np.int8))
                 rows.append(at)
 
             spread = T.mix(prints[:, 0].copy())
@@ -177,12 +181,15 @@ def _route(root: Node, near: Near):
                 of = (spread[own] % np.uint64(leaf.blocks)).astype(np.int64)
                 task = leaf.shard
                 for i in range(leaf.blocks):
-                    put(task, False, guests)
-                    for j in range(i, leaf.blocks):
-                        put(task, True, own[(of == i) | (of == j)])
-                        task += 1
+                    # A block meets itself and the guests in one task, and each later block in another.
+                    put(task, HOME, own[of == i])
+                    put(task, GUEST, guests)
+                    for j in range(i + 1, leaf.blocks):
+                        put(task + j - i, LEFT, own[of == i])
+                        put(task + j - i, GUEST, own[of == j])
+                    task += leaf.blocks - i
             at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tasks)), pa.array(np.concatenate(homes)), *(b.column(c).take(at) for c in ["rep", "size", *FP])], names=["task", "home", "rep", "size", *FP])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tasks)), pa.array(np.concatenate(sides)), *(b.column(c).take(at) for c in ["rep", "size", *FP])], names=["task", "side", "rep", "size", *FP])
 
     return run
 
@@ -257,12 +264,13 @@ def _columns(t: pa.Table, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _shard(near: Near):
     def run(t: pa.Table) -> pa.Table:
-        home = t.column("home").to_numpy(zero_copy_only=False)
-        ids, p, size = _columns(t, np.flatnonzero(home))
-        guests, q, q_size = _columns(t, np.flatnonzero(~home))
+        side = t.column("side").to_numpy()
+        ids, p, size = _columns(t, np.flatnonzero(side != GUEST))
+        guests, q, q_size = _columns(t, np.flatnonzero(side == GUEST))
         forest = Forest()
-        for u, w in near_pairs(p, size, None, None, near):
-            forest.unite(ids[u], ids[w])
+        if (side == HOME).any():
+            for u, w in near_pairs(p, size, None, None, near):
+                forest.unite(ids[u], ids[w])
         if len(guests) and len(ids):
             for u, w in near_pairs(p, size, q, q_size, near):
                 forest.unite(ids[u], guests[w])
@@ -272,7 +280,7 @@ def _shard(near: Near):
     return run
 
 
-def near_edges(points: DataFrame, near: Near = Near(), leaf: int = 16_384, block: int = 50_000, sample: int = 4096) -> DataFrame:
+def near_edges(points: DataFrame, near: Near = Near(), leaf: int = 16_384, block: int = 16_384, sample: int = 4096) -> DataFrame:
     """a, b: edges that connect what the near pairs of points (rep, size, f0..f3; distinct) connect.
 
     The sample places the vantage points alone; pairs are exact wherever they stand.
@@ -287,7 +295,7 @@ def near_edges(points: DataFrame, near: Near = Near(), leaf: int = 16_384, block
             tasks += node.blocks * (node.blocks + 1) // 2
         else:
             stack += [node.inner, node.outer]
-    routed = points.select("rep", "size", *FP).mapInArrow(_route(root, near), f"task long, home boolean, rep long, size long, {', '.join(f'{c} long' for c in FP)}")
+    routed = points.select("rep", "size", *FP).mapInArrow(_route(root, near), f"task long, side tinyint, rep long, size long, {', '.join(f'{c} long' for c in FP)}")
     return routed.repartition(tasks, "task").groupBy("task").applyInArrow(_shard(near), "a long, b long")
 
 
