@@ -1,10 +1,16 @@
 """Tree construction and serialisation."""
 
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftline.kernel import dom
+from weftline.kernel import html as H
+from weftline.kernel.dom import Page
+from weftline.kernel.links import LinkRules
 from weftline.kernel.html import Node, number, number_last, number_post, parse
 
 
@@ -96,3 +102,54 @@ def test_any_tag_soup_gives_a_sound_tree(parts):
 def test_long_and_deep():
     assert len(dom.Page("<div>" * 3000 + "x").select("div")) == 3000
     assert dom.all_text(parse("<p>" + "a b " * 200000)) == "a b " * 200000
+
+
+TAGS = "a b i p div span li ul ol table tr td th tbody h1 h2 form select option button svg title textarea script style pre template br img math nobr em strong body html head dd dt dl applet object caption col noscript frameset plaintext label font center mi foreignObject DIV P x-y input hr ruby rt iframe".split()
+PIECES = ["text", "&amp;", "&lt", "\0", "\n", " ", "<!-- c -->", "<!-->", "<!doctype html>", "<!DOCTYPE>", "<?x y?>", "</>", "</ x>", "<![CDATA[ab]]>", "a<b", "<", "<x", "&notit;", "\r\n", "</p", "<a b='", "\"", "'>"]
+ATTRS = ["", "", " class=x", ' id="a b"', " href=/u&amp;v", " /", " a=1 a=2", " color=red", ' HREF="/q"']
+
+
+def odd_pages(seed, n, tags=TAGS):
+    rng = random.Random(seed)
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.randrange(1, 40)):
+            r = rng.random()
+            parts.append(f"<{rng.choice(tags)}{rng.choice(ATTRS)}{rng.choice(['>', '>', '>', '/>'])}" if r < 0.5 else f"</{rng.choice(tags)}>" if r < 0.8 else rng.choice(PIECES))
+        yield "".join(parts)
+
+
+def dumped(root):
+    out, stack = [], [(root, 0)]
+    while stack:
+        x, depth = stack.pop()
+        out.append((depth, x.tag, tuple(x.attrs.items()), x.data, x.foreign))
+        assert all(k.parent is x for k in x.kids)
+        stack += [(k, depth + 1) for k in reversed(x.kids)]
+    return out
+
+
+def test_cut_text_gives_the_tree_of_one_token_after_another():
+    for page in odd_pages(3, 4000):
+        b, whole = H.Builder(), page.replace("\r\n", "\n")
+        H._go_on(b, whole, 0)
+        b._to_body()
+        assert dumped(H.parse(page)) == dumped(b.root), page
+
+
+def test_links_of_a_text_are_those_of_its_tree():
+    rules = LinkRules(deny_extensions=frozenset())
+    for page in [*odd_pages(4, 3000), *odd_pages(5, 3000, [t for t in TAGS if t not in "table select svg math template frameset plaintext".split()] + ["a"] * 9)]:
+        assert rules.extract_text(page, "http://a.test/") == rules.extract(Page(page, "http://a.test/")), page
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000, "<p><b>" + "<div>x" * 20_000, "<li>" + "<div>" * 20_000 + "<li>" * 3, "<span>" * 20_000 + "</span>" * 20_000, "<div><p>x" * 20_000], ids=["divs", "formatting", "items", "spans", "paragraphs"])
+def test_time_is_linear_in_depth(page):
+    began = time.process_time()
+    H.parse(page)
+    assert time.process_time() - began < 1.5
+
+
+def test_a_foreign_template_takes_nothing_with_it():
+    root = H.parse("<ul><math><template></template></math><p>x")
+    assert any(n.tag == "p" for n in H.number(root))

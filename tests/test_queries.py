@@ -39,17 +39,6 @@ def test_find_by_text_against_brute_force(spark, sf_dir):
         assert r["last_node_id"] == (found[-1].pre if found else None)
 
 
-def test_relocation_finds_the_renamed_heading(spark, sf_dir):
-    from weftline.kernel.dom import Page
-
-    html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    found = catalogue.QUERIES["adaptive_relocate"](spark, sf_dir).collect()
-    assert {r["page_id"] for r in found} == set(html)
-    # The heading is the only child of its kind at that place, so its number in document order stays.
-    hits = sum(Page(html[r["page_id"]]).select("h1")[0].pre == r["node_id"] for r in found)
-    assert hits >= 0.9 * len(html)
-
-
 def test_entry_without_llm(tmp_path, sf_dir):
     """The driver removes the llm folders and the pipeline; the rest has to go on."""
     for name in ("weftline", "__spark_entry__.py"):
