@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import arrow_type, batched, spread
+from ..functions.arrow import arrow_type, batched
 from ..kernel import dom
 from ..kernel.css import compile_query
 from ..kernel.dom import Page
@@ -78,14 +78,14 @@ def extract(pages: DataFrame, fields: Mapping[str, str | Field], html: str = "ht
             return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind.field(k).type) for k in range(len(names))], fields=[kind.field(k) for k in range(len(names))])
 
         got = F.arrow_udf(run, row)(F.col(html))
-        return spread(pages).withColumn("__got", got).select(*carried, *(F.col("__got")[n].alias(n) for n in names))
+        return pages.withColumn("__got", got).select(*carried, *(F.col("__got")[n].alias(n) for n in names))
     scopes = compile_query(each)
 
     def below(p: Page) -> list[dict]:
         return [{n: f.of(p, x) for n, f in wanted.items()} for x in p.select(scopes)]
 
     got = page_udf(below, f"array<{row}>")(F.col(html), F.lit(""))
-    return spread(pages).select(*carried, F.posexplode(got).alias("pos", "__got")).select(*carried, "pos", *(F.col("__got")[n].alias(n) for n in names))
+    return pages.select(*carried, F.posexplode(got).alias("pos", "__got")).select(*carried, "pos", *(F.col("__got")[n].alias(n) for n in names))
 
 
 def values(pages: DataFrame, query: str, name: str = "value", html: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def values(pages: DataFrame, query: str, name: str = "value", html: str = "html"
     carried = keep if keep is not None else [c for c in pages.columns if c != html]
     q = compile_query(query)
     got = page_udf(lambda p: p.values(q), "array<string>")(F.col(html), F.lit(""))
-    return spread(pages).select(*carried, F.posexplode(got).alias("pos", name))
+    return pages.select(*carried, F.posexplode(got).alias("pos", name))
 
 
 def value_array(html: Column, query: str) -> Column:
@@ -112,7 +112,7 @@ def chained(pages: DataFrame, queries: list[str], html: str = "html", keep: list
             scopes = [x for s in scopes for x in p.select(q, s)]
         return [v for s in scopes for v in p.values(compiled[-1], s)]
 
-    return spread(pages).select(*carried, F.posexplode(page_udf(run, "array<string>")(F.col(html), F.lit(""))).alias("pos", "value"))
+    return pages.select(*carried, F.posexplode(page_udf(run, "array<string>")(F.col(html), F.lit(""))).alias("pos", "value"))
 
 
 def all_text(html: Column, query: str = "html", separator: str = "", strip: bool = False, ignore: tuple[str, ...] = (), valid: Callable[[str], bool] | None = None) -> Column:
@@ -146,14 +146,14 @@ def nodes(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -
     """
     carried = keep if keep is not None else [c for c in pages.columns if c not in (html, "url")]
     got = page_udf(_nodes, f"array<{NODE}>")(F.col(html), F.lit(""))
-    return spread(pages).select(*carried, F.explode(got).alias("__n")).select(*carried, "__n.*")
+    return pages.select(*carried, F.explode(got).alias("__n")).select(*carried, "__n.*")
 
 
 def links(pages: DataFrame, rules: LinkRules = LinkRules(), html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """keep, pos, link: the kept URLs of each page in document order, each once a page."""
     carried = keep if keep is not None else [c for c in pages.columns if c != html]
     got = batched(lambda h, u: rules.extract_text(h, u or ""), "array<string>")(F.col(html), F.col(url))
-    return spread(pages).select(*carried, F.posexplode(got).alias("pos", "link"))
+    return pages.select(*carried, F.posexplode(got).alias("pos", "link"))
 
 
 _FOUND = "struct<node_id: int, tag: string, text: string>"
@@ -180,7 +180,7 @@ def paths(pages: DataFrame, query: str, full: bool = False, html: str = "html",
     carried = keep if keep is not None else [c for c in pages.columns if c != html]
     q = compile_query(query)
     got = page_udf(lambda p: [{"css_path": dom.css_path(x, full), "xpath_path": dom.xpath_path(x, full)} for x in p.select(q)], "array<struct<css_path: string, xpath_path: string>>")(F.col(html), F.lit(""))
-    return spread(pages).select(*carried, F.posexplode(got).alias("pos", "__p")).select(*carried, "pos", "__p.*")
+    return pages.select(*carried, F.posexplode(got).alias("pos", "__p")).select(*carried, "pos", "__p.*")
 
 
 def _element(n: Node) -> dict:
@@ -193,4 +193,4 @@ def fingerprints(pages: DataFrame, query: str = "*", html: str = "html", keep: l
     carried = keep if keep is not None else [c for c in pages.columns if c != html]
     q = compile_query(query)
     got = page_udf(lambda p: [{"node_id": x.pre, "element": _element(x)} for x in p.select(q)], f"array<struct<node_id: int, element: {ELEMENT}>>")(F.col(html), F.lit(""))
-    return spread(pages).select(*carried, F.posexplode(got).alias("pos", "__e")).select(*carried, "pos", "__e.*")
+    return pages.select(*carried, F.posexplode(got).alias("pos", "__e")).select(*carried, "pos", "__e.*")

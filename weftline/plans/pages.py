@@ -11,13 +11,13 @@ from ..kernel.links import LinkRules
 from ..operators import extract as E
 from ..operators import navigate as N
 from ..operators import robots as R
-from .register import Registry, table
+from .register import Registry, spread, table
 
 query = Registry()
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def _decoded(x: str) -> str:

@@ -21,7 +21,7 @@ from ..sources.fetch import fetch_requests
 from ..sources.shared import new_path
 from ..sources.tables import ResponseCache
 from .pages import _LI, _LINKS, ROBOTS, _RULE_ROWS, pages
-from .register import Registry, table
+from .register import Registry, spread, table
 
 query = Registry()
 
@@ -46,7 +46,7 @@ def decode_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unknown charset": (coded("UTF-8"), "text/html; charset=none-such"),
     }
     bodies = F.array(*(F.struct(F.lit(k).alias("kind"), b.alias("body"), F.lit(t).alias("type")) for k, (b, t) in kinds.items()))
-    rows = E.spread(pages(spark, sf_dir)).select("page_id", F.explode(bodies).alias("b"))
+    rows = pages(spark, sf_dir).select("page_id", F.explode(bodies).alias("b"))
     return rows.select("page_id", "b.kind", U.decode_body(F.col("b.body"), F.col("b.type")).alias("text"))
 
 
@@ -54,7 +54,7 @@ def decode_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gunzip_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two members a body; a limit on what comes out; what is no gzip, and what breaks off."""
     raw = F.encode("html", "UTF-8")
-    rows = E.spread(pages(spark, sf_dir)).select("page_id", raw.alias("raw"), _zip(raw).alias("z"))
+    rows = pages(spark, sf_dir).select("page_id", raw.alias("raw"), _zip(raw).alias("z"))
     return rows.select("page_id", F.decode(U.gunzip(F.col("z")), "UTF-8").alias("whole"), U.gunzip(F.col("z"), 3000).isNotNull().alias("within"), U.gunzip(F.col("raw")).isNull().alias("plain"), U.gunzip(F.expr("substring(z, 1, octet_length(z) - 4)")).isNull().alias("broken"))
 
 
@@ -148,7 +148,7 @@ def attribute_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, count(*) FILTER (WHERE length(v) > 6) AS n_long, first(v ORDER BY pos) FILTER (WHERE length(v) > 6) AS first_long, last(v ORDER BY pos) AS last_any, CAST(count(*) AS BIGINT) AS n FROM t WHERE v NOT LIKE '%&%' GROUP BY page_id""")
 def filter_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicates over a selection: all that match, the first that does, the last of all."""
-    items = E.spread(pages(spark, sf_dir)).select("page_id", E.value_array(F.col("html"), "nav li::text").alias("v")).withColumn("v", F.filter("v", lambda x: ~x.contains("&"))).where("size(v) > 0")
+    items = pages(spark, sf_dir).select("page_id", E.value_array(F.col("html"), "nav li::text").alias("v")).withColumn("v", F.filter("v", lambda x: ~x.contains("&"))).where("size(v) > 0")
     long = F.filter("v", lambda x: F.length(x) > 6)
     return items.select("page_id", F.size(long).cast("long").alias("n_long"), F.get(long, F.lit(0)).alias("first_long"), F.element_at("v", -1).alias("last_any"), F.size("v").cast("long").alias("n"))
 
@@ -159,7 +159,7 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches by text and pattern in a list of which one item differs; nodes are told by their place in document order."""
     h = F.col("html")
     html = F.format_string("<ul><li>click</li><li>%s</li><li>View <b>%s</b></li></ul>", "event_type", "event_type")
-    rows = E.spread(table(spark, sf_dir, "events").select("event_id", html.alias("html")))
+    rows = spread(table(spark, sf_dir, "events").select("event_id", html.alias("html")))
     got = rows.select("event_id", E.find_by_text(h, "click").alias("a"), E.find_by_text(h, "click", first=False).alias("b"), E.find_all_by_text(h, "CLICK", partial=True, case_sensitive=False).alias("c"), E.find_by_regex(h, "^View(purchase|click)$").alias("d"), E.find_by_regex(h, "(?i)CLICK").alias("e"), E.find_by_regex(h, "^View", first=False).alias("f"))
     return got.select("event_id", F.col("a.node_id").alias("first_exact"), F.col("b.node_id").alias("last_exact"), F.size("c").cast("long").alias("n_any_case"), F.col("d.node_id").alias("by_regex"), F.col("e.node_id").alias("container"), F.replace(F.col("f.text"), F.lit("View"), F.lit("View ")).alias("last_text"))
 

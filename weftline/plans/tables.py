@@ -16,13 +16,13 @@ from ..sources import export
 from ..sources.shared import cut, new_path
 from ..sources.tables import ResponseCache, Snapshots
 from .pages import _HOST, _LINKS, pages
-from .register import Registry, table
+from .register import Registry, spread, table
 
 query = Registry()
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 # ---- text functions ----
@@ -158,12 +158,12 @@ def _rule_requests(all_rules: bool):
 
 @query(f"WITH l AS ({_LINKS}) SELECT page_id, link, CASE WHEN regexp_matches(link, '/[A-Z]') THEN 5 WHEN link LIKE '%th%' THEN 3 ELSE 1 END AS priority FROM l WHERE regexp_matches(link, '/[A-Z]') OR link LIKE '%th%' OR link NOT LIKE '%e%'")
 def rule_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.spread(pages(spark, sf_dir)).select("page_id", F.explode(_rule_requests(False)).alias("r")).select("page_id", F.col("r.url").alias("link"), "r.priority")
+    return pages(spark, sf_dir).select("page_id", F.explode(_rule_requests(False)).alias("r")).select("page_id", F.col("r.url").alias("link"), "r.priority")
 
 
 @query(f"WITH l AS ({_LINKS}) SELECT page_id, link, 5 AS priority FROM l WHERE regexp_matches(link, '/[A-Z]') UNION ALL SELECT page_id, link, 3 FROM l WHERE link LIKE '%th%' UNION ALL SELECT page_id, link, 1 FROM l WHERE link NOT LIKE '%e%'")
 def rule_all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.spread(pages(spark, sf_dir)).select("page_id", F.explode(_rule_requests(True)).alias("r")).select("page_id", F.col("r.url").alias("link"), "r.priority")
+    return pages(spark, sf_dir).select("page_id", F.explode(_rule_requests(True)).alias("r")).select("page_id", F.col("r.url").alias("link"), "r.priority")
 
 
 _EDGES = "e AS (SELECT DISTINCT host AS src, w AS dst FROM (SELECT {h} AS host, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS w FROM pages)), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
@@ -229,27 +229,31 @@ def _joined(rows: DataFrame, key: str, order: str, line: Column, head: str, foot
     return rows.groupBy(key, page.alias("page")).agg(lines.alias("__l")).select(key, *(["page"] if size else []), F.concat(F.lit(head), F.array_join("__l", ""), F.lit(foot)).alias("body"))
 
 
-@query("SELECT c_nationkey AS nation, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS pos, CAST(c_custkey AS VARCHAR) AS id, c_name || ', \"' || c_mktsegment || '\"' AS name, '' AS missing FROM customer")
+#: Keys that a document's rows span at most, so that none grows with its table.
+_SPAN = 5_000
+
+
+@query(f"SELECT c_nationkey AS nation, CAST(c_custkey // {_SPAN} AS BIGINT) AS page, CAST(row_number() OVER (PARTITION BY c_nationkey, c_custkey // {_SPAN} ORDER BY c_custkey) - 1 AS BIGINT) AS pos, CAST(c_custkey AS VARCHAR) AS id, c_name || ', \"' || c_mktsegment || '\"' AS name, '' AS missing FROM customer")
 def feed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('"""\r\n\r\n'))
-    docs = _joined(c, "c_nationkey", "c_custkey", line, "id,name,missing\r\n", "")
-    return feeds.csv_items(docs).select(F.col("c_nationkey").alias("nation"), F.col("pos").cast("long").alias("pos"), *(F.get_json_object("item", f"$.{k}").alias(k) for k in ("id", "name", "missing")))
+    docs = _joined(c, "c_nationkey", "c_custkey", line, "id,name,missing\r\n", "", _SPAN)
+    return feeds.csv_items(docs).select(F.col("c_nationkey").alias("nation"), F.col("page").cast("long").alias("page"), F.col("pos").cast("long").alias("pos"), *(F.get_json_object("item", f"$.{k}").alias(k) for k in ("id", "name", "missing")))
 
 
-@query("SELECT s_nationkey AS nation, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS BIGINT) AS pos, s_name AS title, 'https://shop.example/' || s_suppkey AS link, 'a < b & c' AS description FROM supplier")
+@query(f"SELECT s_nationkey AS nation, CAST(s_suppkey // {_SPAN} AS BIGINT) AS page, CAST(row_number() OVER (PARTITION BY s_nationkey, s_suppkey // {_SPAN} ORDER BY s_suppkey) - 1 AS BIGINT) AS pos, s_name AS title, 'https://shop.example/' || s_suppkey AS link, 'a < b & c' AS description FROM supplier")
 def feed_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     line = F.concat(F.lit("<item><title> "), "s_name", F.lit("</title><link>https://shop.example/"), F.col("s_suppkey").cast("string"), F.lit('</link><description>a &lt; b &amp; c</description><meta name="x"/></item>'))
-    docs = _joined(s, "s_nationkey", "s_suppkey", line, '<?xml version="1.0"?><rss><channel><title>all</title>', "</channel></rss>")
-    return feeds.xml_items(docs).select(F.col("s_nationkey").alias("nation"), F.col("pos").cast("long").alias("pos"), *(F.get_json_object("item", f"$.{k}").alias(k) for k in ("title", "link", "description")))
+    docs = _joined(s, "s_nationkey", "s_suppkey", line, '<?xml version="1.0"?><rss><channel><title>all</title>', "</channel></rss>", _SPAN)
+    return feeds.xml_items(docs).select(F.col("s_nationkey").alias("nation"), F.col("page").cast("long").alias("page"), F.col("pos").cast("long").alias("pos"), *(F.get_json_object("item", f"$.{k}").alias(k) for k in ("title", "link", "description")))
 
 
-@query("SELECT s_nationkey AS nation, 'page' AS kind, 'https://shop.example/' || s_suppkey AS url FROM supplier UNION ALL SELECT DISTINCT s_nationkey, 'page', 'https://shop.example/alt' FROM supplier")
+@query(f"SELECT s_nationkey AS nation, 'page' AS kind, 'https://shop.example/' || s_suppkey AS url FROM supplier UNION ALL SELECT s_nationkey, 'page', 'https://shop.example/alt' FROM (SELECT DISTINCT s_nationkey, s_suppkey // {_SPAN} FROM supplier)")
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     line = F.concat(F.lit("<url><loc> https://shop.example/"), F.col("s_suppkey").cast("string"), F.lit(' </loc><xhtml:link rel="alternate" href="https://shop.example/alt"/></url>'))
-    docs = _joined(s, "s_nationkey", "s_suppkey", line, '<?xml version="1.0"?><!-- map --><urlset>', "</urlset>")
+    docs = _joined(s, "s_nationkey", "s_suppkey", line, '<?xml version="1.0"?><!-- map --><urlset>', "</urlset>", _SPAN)
     return feeds.sitemap(docs.where(U.looks_like_sitemap(F.col("body"))), alternates=True).select(F.col("s_nationkey").alias("nation"), "kind", "url")
 
 
@@ -267,7 +271,7 @@ def shop_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     variant = F.struct(F.col("p_partkey").alias("id"), F.col("p_type").alias("title"), F.col("p_size").cast("string").alias("price"), (F.col("p_size") <= 25).alias("available"), F.lit("0.00").alias("compare_at_price"))
     product = F.to_json(F.struct(F.col("p_name").alias("title"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("handle"), F.col("p_brand").alias("vendor"), F.lit("<p>A &amp; b<br> c </p>").alias("body_html"), F.array(variant, variant).alias("variants")))
     # A brand's products go in pages of a bounded range of keys, as a store shows them: no document grows with the table.
-    docs = _joined(p, "p_brand", "p_partkey", F.concat(product, F.lit(",")), '{"products": [', '{"variants": []}]}', 25 * 250)
+    docs = _joined(p, "p_brand", "p_partkey", F.concat(product, F.lit(",")), '{"products": [', '{"variants": []}]}', _SPAN)
     docs = docs.select(F.concat(F.lit("https://shop.example/collections/brand-2in1/products.json?page="), F.col("page") + 1, F.lit("&limit=250")).alias("url"), "body")
     items = feeds.shop(docs, "shop.example").where("kind = 'item'").withColumnRenamed("value", "item")
     j = lambda k: F.get_json_object("item", f"$.{k}")
