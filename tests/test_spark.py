@@ -211,3 +211,26 @@ def test_extraction_of_odd_pages(spark):
     assert got == {1: (None, []), 2: (None, []), 3: ("x", ["x"])}
     assert E.links(pages).count() == 0 and E.nodes(pages).where("page_id = 1").count() == 4
     assert E.extract(pages.where("false"), {"t": "p::text"}).count() == 0
+
+
+def test_plain_urls_in_the_jvm_are_read_as_the_kernel_reads_them(spark):
+    import random
+
+    from weftline.kernel import url as K
+
+    rng = random.Random(11)
+    hosts = ["a.test", "A.test", "x-y.b.c", "1.2.3.4", "a.1", "a.0x1", "0x7f.1", "xn--a.b", "é.test", "a..b", "-a.b", "a.b.", "a_b.c", "[::1]", "u:p@a.test", "a.test:80", "a.test:8080", "", "localhost"]
+    bits = ["/", "/a", "/b.c", "/.", "/..", "/.a", "/%2e", "/%2E%2e", "/é", "/a b", "\\\\", "/'", "/|", "/^", "/{", "/~!$&()*+,;=:@[]", "/`", '/"', "/%zz", "//"]
+    queries = ["", "?", "?b=2&a=1", "?&&", "?q='", "?é", "?a b", "?x=`{}^|", "?a?b", "?b&a&", "?<", "?\\\\"]
+    fragments = ["", "#", "#top", "#a#b", "#é", "#a b", "#`", "#<", "#{}?x"]
+    urls = ["".join([rng.choice(["http://", "https://", "https://", "HTTP://", "ftp://", "file://", "//", "", "http:/", "mailto:"]), rng.choice(hosts), *rng.choices(bits, k=rng.randrange(4)), rng.choice(queries), rng.choice(fragments), rng.choice(["", "", "", "\n", " "])]) for _ in range(4000)]
+    urls += ["".join([rng.choice(["http://", "https://"]), rng.choice(["a.test", "x-y.b.c", "localhost"]), *rng.choices(["/", "/a", "/b.c", "/'", "/~!$&()*+,;=:@[]", "/%zz", "/é", "/."], k=rng.randrange(1, 4)), rng.choice(queries), rng.choice(fragments)]) for _ in range(3000)]
+    p = U.url_parts(F.col("u"))
+    df = spark.createDataFrame([(u,) for u in urls] + [(None,)], "u string")
+    got = df.select("u", p.alias("p"), U.host(F.col("u")).alias("h"), U.origin(F.col("u")).alias("o"), U.normalize(F.col("u")).alias("n"), U.normalize(F.col("u"), True).alias("nf"), U.canonicalize(F.col("u")).alias("c"), U.canonicalize(F.col("u"), True).alias("cf"), F.col("u").rlike(U.PLAIN).alias("plain")).collect()
+    for r in got[:-1]:
+        u, k = r["u"], U._parts(r["u"])
+        assert (r["p"].asDict() if r["p"] is not None else None) == k, u
+        assert (r["h"], r["o"]) == (K.host(u), K.origin(u)), u
+        assert (r["n"], r["nf"], r["c"], r["cf"]) == (K.without_fragment(u), K.without_fragment(u, True), K.canonicalize(u), K.canonicalize(u, True)), u
+    assert 200 < sum(r["plain"] for r in got[:-1]) and got[-1]["p"] is None and got[-1]["n"] is None

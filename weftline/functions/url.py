@@ -20,11 +20,35 @@ def _parts(text: str | None) -> dict | None:
     return {"scheme": u.scheme, "host": u.host or None, "port": u.port, "path": u.path, "query": u.query, "fragment": u.fragment, "origin": u.origin, "target": u.path + (f"?{u.query}" if u.query is not None else "")}
 
 
-#: The parts of a URL; null if it isn't one.
-url_parts = batched(_parts, PARTS)
+_parsed = batched(_parts, PARTS)
 _join = batched(lambda base, href: None if href is None else U.join(base or "", href), "string")
 _canonical = {keep: batched(lambda t, keep=keep: None if t is None else U.canonicalize(t, keep), "string") for keep in (False, True)}
 _normal = {keep: batched(lambda t, keep=keep: None if t is None else U.without_fragment(t, keep), "string") for keep in (False, True)}
+#: URLs whose parts stand as they are: lower-case ASCII hosts without a port, and paths, queries and fragments without anything to encode or resolve.
+PLAIN = r"^(https?)://((?:[a-z0-9-]+\.)*[a-z][a-z0-9-]*)((?:/(?!\.|%2[eE])[!$-.0-;=@-\[\]_a-z|~]*)+)(?:\?([!$-&(-;=?-~]*))?(?:#([!#-;=?-_a-~]*))?\z"
+
+
+def _plain(c: Column) -> Column:
+    return F.coalesce(c.rlike(PLAIN), F.lit(False))
+
+
+def _else(plain: Column, fast: Column, slow: Callable[[Column], Column], c: Column) -> Column:
+    """fast for plain URLs, in the JVM; the others alone go through a Python UDF."""
+    return F.when(plain, fast).otherwise(slow(F.when(~plain, c)))
+
+
+def _part(c: Column, k: int, mark: str = "") -> Column:
+    found = F.regexp_extract(c, PLAIN, k)
+    return F.when(F.regexp_extract(c, "^[^#]*", 0).contains("?") if mark == "?" else c.contains("#"), found) if mark else found
+
+
+def url_parts(c: Column) -> Column:
+    """The parts of a URL; null if it isn't one."""
+    query = _part(c, 4, "?")
+    parts = {"scheme": _part(c, 1), "host": _part(c, 2), "port": F.lit(None).cast("int"), "path": _part(c, 3), "query": query, "fragment": _part(c, 5, "#"), "origin": F.regexp_extract(c, "^https?://[^/]*", 0), "target": F.concat(_part(c, 3), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))}
+    return _else(_plain(c), F.struct(*(v.alias(k) for k, v in parts.items())), _parsed, c)
+
+
 #: The destination of a search engine's redirect link.
 search_target = batched(lambda t: None if t is None else U.search_target(t), "string")
 
@@ -34,19 +58,23 @@ def url_join(base: Column, href: Column) -> Column:
 
 
 def canonicalize(c: Column, keep_fragment: bool = False) -> Column:
-    return _canonical[keep_fragment](c)
+    """Normalised, the query's segments sorted, without empty ones; without the fragment, unless it is kept."""
+    segments = F.array_join(F.array_sort(F.filter(F.split(_part(c, 4), "&"), lambda x: x != "")), "&")
+    fast = F.concat(F.regexp_extract(c, "^[^?#]*", 0), F.when(segments != "", F.concat(F.lit("?"), segments)).otherwise(""), F.regexp_extract(c, "(?s)#.*", 0) if keep_fragment else F.lit(""))
+    return _else(_plain(c), fast, _canonical[keep_fragment], c)
 
 
 def normalize(c: Column, keep_fragment: bool = False) -> Column:
-    return _normal[keep_fragment](c)
+    """Normalised, the query as it stands."""
+    return _else(_plain(c), c if keep_fragment else F.regexp_extract(c, "^[^#]*", 0), _normal[keep_fragment], c)
 
 
 def host(c: Column) -> Column:
-    return url_parts(c)["host"]
+    return _else(_plain(c), _part(c, 2), lambda x: _parsed(x)["host"], c)
 
 
 def origin(c: Column) -> Column:
-    return url_parts(c)["origin"]
+    return _else(_plain(c), F.regexp_extract(c, "^https?://[^/]*", 0), lambda x: _parsed(x)["origin"], c)
 
 
 def _pairs(m: Column) -> Column:

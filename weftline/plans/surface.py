@@ -20,6 +20,7 @@ from ..sources import export
 from ..sources.fetch import fetch_requests
 from ..sources.shared import new_path
 from ..sources.tables import ResponseCache
+from .echo import base
 from .pages import _LI, _LINKS, ROBOTS, _RULE_ROWS, pages
 from .register import Registry, spread, table
 
@@ -90,6 +91,43 @@ def fetch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("seq").alias("page_id"), F.col("error_kind").alias("kind"))
 
 
+def _asked(spark: SparkSession, sf_dir: str, paths: Column) -> DataFrame:
+    """A request for each page and struct (method, path, body) of paths, which get the page's number."""
+    n = F.col("page_id").cast("string")
+    rows = pages(spark, sf_dir).select("page_id", F.explode(paths).alias("a"))
+    return rows.select(F.concat(F.lit(base(spark)), "a.path", n).alias("url"), "a.method", F.concat("a.body", n).alias("body"), F.col("page_id").alias("seq"))
+
+
+def _paths(*rows: tuple[str, str, str | None]) -> Column:
+    return F.array(*(F.struct(F.lit(m).alias("method"), F.lit(p).alias("path"), F.lit(b).alias("body")) for m, p, b in rows))
+
+
+@query("SELECT page_id, m AS method, 200 AS status, m || ' /echo/' || page_id || CASE WHEN m IN ('POST', 'PUT') THEN ' b' || page_id ELSE '' END AS body FROM pages, (VALUES ('GET'), ('POST'), ('PUT'), ('DELETE')) t(m)")
+def fetch_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, sf_dir, _paths(("GET", "/echo/", None), ("POST", "/echo/", "b"), ("PUT", "/echo/", "b"), ("DELETE", "/echo/", None)))
+    got = fetch_requests(asked, FetchConfig(retries=0), per_domain=8)
+    return got.select(F.col("seq").alias("page_id"), F.regexp_extract("body", "^[A-Z]+", 0).alias("method"), "status", "body")
+
+
+@query("""SELECT page_id, kind, status, error, '/' || path || '/' || page_id AS final FROM pages, (VALUES ('flaky', 200, NULL, 'flaky'), ('moved', 200, NULL, 'ok'), ('big', NULL, 'too_large', 'big'), ('status/503', 503, NULL, 'status/503'), ('echo', 200, NULL, 'echo')) t(kind, status, error, path)""")
+def fetch_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lost connections are tried again, redirects followed, long bodies refused; a status of any kind is an answer."""
+    asked = _asked(spark, sf_dir, _paths(*(("GET", f"/{k}/", None) for k in ("flaky", "moved", "big", "status/503", "echo"))))
+    got = fetch_requests(asked, FetchConfig(retries=1, retry_delay=0.0, max_body_bytes=1000), per_domain=8)
+    return got.select(F.col("seq").alias("page_id"), F.regexp_extract("request_url", r"^http://[^/]+/(.*)/\d+$", 1).alias("kind"), "status", F.col("error_kind").alias("error"), F.regexp_extract("url", "^http://[^/]+(/.*)$", 1).alias("final"))
+
+
+@query("SELECT page_id, 'quiet' AS session, 'x-one=1|x-two=own|user-agent=weft/1|sec-fetch-mode=None' AS body, 302 AS moved FROM pages UNION ALL SELECT page_id, 'default', 'x-one=None|x-two=own|user-agent=weft/2|sec-fetch-mode=navigate', 200 FROM pages")
+def fetch_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two named settings: headers, agent, what a browser sends, and redirects; a request's own headers go first."""
+    sessions = {"quiet": FetchConfig(retries=0, headers=(("X-One", "1"), ("X-Two", "2")), user_agent="weft/1", stealth=False, follow_redirects=False), "default": FetchConfig(retries=0, user_agent="weft/2")}
+    asked = _asked(spark, sf_dir, _paths(("GET", "/headers/", None), ("GET", "/moved/", None)))
+    rows = asked.select("*", F.explode(F.array(F.lit("quiet"), F.lit("default"))).alias("session_id"), F.create_map(F.lit("X-Two"), F.lit("own")).alias("headers"))
+    got = fetch_requests(rows.withColumn("fp", F.col("session_id")), sessions["default"], sessions, per_domain=8)
+    told = F.col("request_url").contains("/headers/")
+    return got.groupBy(F.col("seq").alias("page_id"), F.col("fp").alias("session")).agg(F.max(F.when(told, F.col("body"))).alias("body"), F.max(F.when(~told, F.col("status"))).alias("moved"))
+
+
 @query("""WITH a AS (SELECT page_id, list_sum(list_transform(string_split(url, ''), lambda c: ord(c))) % 5 AS k FROM pages)
 SELECT page_id, CASE WHEN k < 3 THEN list_value('"Windows"', '"macOS"', '"Linux"')[CAST(k AS INT) + 1] END AS platform, CASE WHEN k < 3 THEN '?0' END AS mobile, 'document' AS dest, 'weft' AS custom, CAST(CASE WHEN k < 3 THEN 12 ELSE 9 END AS BIGINT) AS n FROM a""")
 def request_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
