@@ -40,6 +40,8 @@ BITS = 20
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
+#: Twice the logarithm of the likelihood ratio from which a feature counts as evidence.
+EVIDENCE = 20.0
 #: Levels of a feature: occurrences, then shares of the words.
 COUNTS, SHARES = np.array([1, 2, 4]), np.array([0.005, 0.01, 0.02, 0.04])
 LEVELS = len(COUNTS) + len(SHARES)
@@ -203,8 +205,11 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([int(found[0])]), pa.array([int(found[1])])], names=["feature", "n", "n1"])
 
 
-def choose(tally: DataFrame, z: float = 4.5, least: int = 3) -> np.ndarray:
-    """Features of at least so many texts whose share of positive texts is above that of others by a two-sample z score of z.
+def choose(tally: DataFrame, evidence: float = EVIDENCE) -> np.ndarray:
+    """Features in whose texts the share of positive ones is above that of all, by a likelihood ratio (twice its logarithm) of evidence.
+
+    A ratio, and no z score, so that rare features don't pass by chance: of features that stand
+    in positive texts alone it takes some five texts where every seventh is positive.
 
     Weights are evidence for toxicity and not below 0, so that a long text can't outweigh it with harmless words.
     """
@@ -213,9 +218,9 @@ def choose(tally: DataFrame, z: float = 4.5, least: int = 3) -> np.ndarray:
     n, n1 = (whole["n"], whole["n1"]) if whole else (0, 0)
     if not 0 < n1 < n:
         return np.zeros(0, np.int64)
-    p = (F.col("n") + 0.5) / (n + 1)
-    score = (F.col("n1") / n1 - (F.col("n") - F.col("n1")) / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
-    rows = sums.where((F.col("feature") >= 0) & (F.col("n") >= least)).withColumn("z", score).where(F.col("z") >= z)
+    k, m, p = F.col("n1"), F.col("n") - F.col("n1"), n1 / n
+    ratio = 2 * (k * F.log(k / (F.col("n") * p)) + F.when(m > 0, m * F.log(m / (F.col("n") * (1 - p)))).otherwise(0.0))
+    rows = sums.where((F.col("feature") >= 0) & (k > F.col("n") * p)).where(ratio >= evidence)
     return np.array(sorted(r["feature"] for r in rows.select("feature").collect()), np.int64)
 
 
