@@ -234,3 +234,21 @@ def test_plain_urls_in_the_jvm_are_read_as_the_kernel_reads_them(spark):
         assert (r["h"], r["o"]) == (K.host(u), K.origin(u)), u
         assert (r["n"], r["nf"], r["c"], r["cf"]) == (K.without_fragment(u), K.without_fragment(u, True), K.canonicalize(u), K.canonicalize(u, True)), u
     assert 200 < sum(r["plain"] for r in got[:-1]) and got[-1]["p"] is None and got[-1]["n"] is None
+
+
+def test_requests_to_one_domain_go_to_as_many_tasks_as_they_may(spark):
+    from weftline.kernel.fetching import FetchConfig
+    from weftline.sources.fetch import fetch_requests
+
+    asked = spark.range(200).select(F.concat(F.lit("http://a.test/"), F.col("id").cast("string")).alias("url"), F.lit("PATCH").alias("method"), F.col("id").alias("seq"))
+    for per_domain in (1, 8):
+        got = fetch_requests(asked, FetchConfig(retries=0), per_domain=per_domain).select("seq", "error_kind", F.spark_partition_id().alias("task")).collect()
+        assert sorted(r["seq"] for r in got) == list(range(200)) and {r["error_kind"] for r in got} == {"unsupported_method"}
+        assert len({r["task"] for r in got}) == per_domain
+
+
+def test_requests_of_the_same_settings_share_an_opener():
+    from weftline.kernel import fetching as K
+
+    assert K._opener(K.FetchConfig(), None) is K._opener(K.FetchConfig(), None)
+    assert K._opener(K.FetchConfig(), None) is not K._opener(K.FetchConfig(verify_ssl=False), None)

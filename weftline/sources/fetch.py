@@ -36,7 +36,8 @@ def fetch_requests(requests: DataFrame, config: FetchConfig = FetchConfig(), ses
     so that requests to one URL are told apart.  A domain's requests come to one task, by
     priority and then fp, both descending, one after the other: delay seconds apart, or by
     an adaptive delay that is never below it.  per_domain: without delays, tasks that may
-    ask one domain at a time.  lanes: tasks that fetch at a time.
+    ask one domain at a time.  lanes: tasks that fetch at a time; by default as many as a
+    shuffle has, and never less than per_domain.
     """
     known = {"url": "string", "method": "string", "session_id": "string", "headers": "map<string,string>", "body": "string", "json_body": "string", "fp": "string", "seq": "long", "priority": "int"}
     rows = requests.select(*((F.col(c) if c in requests.columns else F.lit(None)).cast(k).alias(c) for c, k in known.items()))
@@ -63,8 +64,10 @@ def fetch_requests(requests: DataFrame, config: FetchConfig = FetchConfig(), ses
 
     paced = throttle is not None or delay > 0
     lane = F.lit(0) if paced or per_domain <= 1 else F.pmod(F.xxhash64("url", "fp", "seq"), F.lit(per_domain))
-    rows = rows.withColumn("__host", F.concat_ws("|", host, lane.cast("string")))
-    spread = rows.repartition(lanes, "__host") if lanes else rows.repartition("__host")
+    tasks = lanes or max(per_domain, int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # By number, so that lanes of one domain never meet in a task, and requests of few bytes aren't taken together in one.
+    rows = rows.withColumn("__host", F.concat_ws("|", host, lane.cast("string"))).withColumn("__task", F.pmod(F.xxhash64(host) + lane, F.lit(tasks)).cast("int"))
+    spread = rows.repartitionById(tasks, F.col("__task")).drop("__task")
     got = spread.sortWithinPartitions("__host", F.desc("priority"), F.desc("fp")).mapInArrow(run, f"{RESPONSE}, fp string, seq long")
     return got.drop(*(c for c in ("fp", "seq") if c not in requests.columns))
 
