@@ -252,3 +252,16 @@ def test_requests_of_the_same_settings_share_an_opener():
 
     assert K._opener(K.FetchConfig(), None) is K._opener(K.FetchConfig(), None)
     assert K._opener(K.FetchConfig(), None) is not K._opener(K.FetchConfig(verify_ssl=False), None)
+
+
+def test_pages_of_one_url_are_cached_and_found_again_each_by_itself(spark, tmp_path):
+    from weftline.plans import catalogue
+
+    html = "<html><body><nav></nav><article><h1>{}</h1>\n<p>x</p></article></body></html>"
+    rows = [(0, "http://a.test/x", html.format("one")), (1, "http://a.test/x", html.format("other")), (4, "http://a.test/x", html.format("three"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.QUERIES["cache_lookup"](spark, str(tmp_path)).collect()
+    # The status of page 4 is 403, which isn't kept.
+    assert sorted(tuple(r) for r in got if r["hit"]) == [(k, True, len(h)) for k, _, h in rows[:2]] and [r["page_id"] for r in got if not r["hit"]] == [4]
+    found = catalogue.QUERIES["adaptive_relocate"](spark, str(tmp_path)).select("page_id", "html").collect()
+    assert sorted(map(tuple, found)) == [(k, f'<div class="t">{t}</div>') for k, t in ((0, "one"), (1, "other"), (4, "three"))]

@@ -20,6 +20,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
 
+def numbered(p: DataFrame) -> DataFrame:
+    """Pages with addresses of their own, as several pages may have one URL: keyed stores hold one entry an address."""
+    return p.withColumn("url", F.concat("url", F.lit("#"), F.col("page_id").cast("string")))
+
+
 def _decoded(x: str) -> str:
     for name, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         x = f"replace({x}, '{name}', '{char}')"
@@ -308,7 +313,7 @@ CASE WHEN regexp_matches(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)'
 def adaptive_relocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import relocate
 
-    p = pages(spark, sf_dir)
+    p = numbered(pages(spark, sf_dir))
     saved = E.fingerprints(p, "h1", keep=["url"]).select("url", F.lit("heading").alias("identifier"), "element")
     # The redesign: headings become divs with a class, and articles sections.
     new = p.select("page_id", "url", F.replace(F.replace(F.replace("html", F.lit("<h1>"), F.lit('<div class="t">')), F.lit("</h1>"), F.lit("</div>")), F.lit("article>"), F.lit("section>")).alias("html"))
