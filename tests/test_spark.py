@@ -265,3 +265,39 @@ def test_pages_of_one_url_are_cached_and_found_again_each_by_itself(spark, tmp_p
     assert sorted(tuple(r) for r in got if r["hit"]) == [(k, True, len(h)) for k, _, h in rows[:2]] and [r["page_id"] for r in got if not r["hit"]] == [4]
     found = catalogue.QUERIES["adaptive_relocate"](spark, str(tmp_path)).select("page_id", "html").collect()
     assert sorted(map(tuple, found)) == [(k, f'<div class="t">{t}</div>') for k, t in ((0, "one"), (1, "other"), (4, "three"))]
+
+
+class Counted(list):
+    alive = most = 0
+
+    def __init__(self, v):
+        super().__init__(v)
+        Counted.alive += 1
+        Counted.most = max(Counted.most, Counted.alive)
+
+    def __del__(self):
+        Counted.alive -= 1
+
+
+def counted(x):
+    out = Counted([x])
+    out.append(Counted.most)
+    return out
+
+
+def test_few_results_are_python_objects_at_a_time(spark):
+    from weftline.functions.arrow import PIECE_ROWS, batched, streamed
+
+    rows = spark.range(0, 8000, 1, 1).coalesce(1)
+    for made in (batched(counted, "array<long>"), streamed(counted, "array<long>")):
+        got = [r[0] for r in rows.select(made(F.col("id"))).collect()]
+        assert [r[0] for r in got] == list(range(8000))
+        assert max(r[1] for r in got) <= 2 * PIECE_ROWS
+
+
+def test_equal_arguments_of_a_piece_are_worked_out_once(spark):
+    from weftline.functions.arrow import batched
+
+    rows = spark.range(0, 500, 1, 1).select((F.col("id") % 5).alias("k"))
+    got = [r[0] for r in rows.select(batched(lambda k: [k], "array<long>", distinct=True)("k")).collect()]
+    assert got == [[k % 5] for k in range(500)]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import arrow_type, batched
+from ..functions.arrow import arrow_type, batched, streamed
 from ..kernel import dom
 from ..kernel.css import compile_query
 from ..kernel.dom import Page
@@ -57,8 +57,8 @@ def _field(f: str | Field) -> Field:
     return f if isinstance(f, Field) else Field(f)
 
 
-def page_udf(fn: Callable[[Page], object], ddl: str) -> Callable[[Column, Column], Column]:
-    return batched(lambda html, url: fn(Page(html, url or "")), ddl)
+def page_udf(fn: Callable[[Page], object], ddl: str, distinct: bool = False) -> Callable[[Column, Column], Column]:
+    return batched(lambda html, url: fn(Page(html, url or "")), ddl, distinct)
 
 
 def extract(pages: DataFrame, fields: Mapping[str, str | Field], html: str = "html", each: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -145,7 +145,7 @@ def nodes(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -
     A node is below another of the same page if its node_id is larger and its post smaller.
     """
     carried = keep if keep is not None else [c for c in pages.columns if c not in (html, "url")]
-    got = page_udf(_nodes, f"array<{NODE}>")(F.col(html), F.lit(""))
+    got = streamed(lambda h: _nodes(Page(h)), f"array<{NODE}>")(F.col(html))
     return pages.select(*carried, F.explode(got).alias("__n")).select(*carried, "__n.*")
 
 
@@ -175,6 +175,34 @@ def find_by_regex(html: Column, pattern: str, first: bool = True, case_sensitive
     return page_udf(lambda p: _found(dom.find_by_regex(p.posted(), pattern, first, case_sensitive)), _FOUND)(html, F.lit(""))
 
 
+@dataclass(frozen=True)
+class Search:
+    """One of several searches of a page: by text or pattern, for the first element, the last or (many) all by text."""
+
+    wanted: str
+    regex: bool = False
+    first: bool = True
+    many: bool = False
+    partial: bool = False
+    case_sensitive: bool = True
+
+    def ddl(self) -> str:
+        return f"array<{_FOUND}>" if self.many else _FOUND
+
+    def of(self, page: Page) -> object:
+        if self.many:
+            return [_found(x) for x in dom.find_all_by_text(page.posted(), self.wanted, self.partial, self.case_sensitive)]
+        if self.regex:
+            return _found(dom.find_by_regex(page.posted(), self.wanted, self.first, self.case_sensitive))
+        return _found(dom.find_by_text(page.posted(), self.wanted, self.first, self.partial, self.case_sensitive))
+
+
+def searches(html: Column, asked: Mapping[str, Search]) -> Column:
+    """A struct with a field for each search; one parse a page, however many."""
+    row = f"struct<{', '.join(f'`{n}`: {s.ddl()}' for n, s in asked.items())}>"
+    return page_udf(lambda p: {n: s.of(p) for n, s in asked.items()}, row, distinct=True)(html, F.lit(""))
+
+
 def paths(pages: DataFrame, query: str, full: bool = False, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """keep, pos, css_path, xpath_path of every match."""
     carried = keep if keep is not None else [c for c in pages.columns if c != html]
