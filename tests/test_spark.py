@@ -3,6 +3,7 @@
 import http.server
 import json
 import threading
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -301,3 +302,27 @@ def test_equal_arguments_of_a_piece_are_worked_out_once(spark):
     rows = spark.range(0, 500, 1, 1).select((F.col("id") % 5).alias("k"))
     got = [r[0] for r in rows.select(batched(lambda k: [k], "array<long>", distinct=True)("k")).collect()]
     assert got == [[k % 5] for k in range(500)]
+
+
+def test_short_rows_are_spread_by_their_size_and_several_searches_take_one_parse(spark, tmp_path, monkeypatch):
+    from weftline.plans.register import spread
+
+    path = f"{tmp_path}/t.parquet"
+    spark.range(300_000).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert spread(rows, 0.05).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    asked = {"a": E.Search("x"), "b": E.Search("x", first=False), "c": E.Search("X", many=True, case_sensitive=False), "d": E.Search("^(?:x|y)$", regex=True)}
+    html = F.lit("<p>x</p><p>y</p><p>x</p>")
+    got = spark.range(3).select(E.searches(html, asked).alias("s"), E.find_by_text(html, "x").alias("a"), E.find_by_text(html, "x", first=False).alias("b"), E.find_all_by_text(html, "X", case_sensitive=False).alias("c"), E.find_by_regex(html, "^(?:x|y)$").alias("d")).collect()
+    assert len(got) == 3 and all(r["s"][k] == r[k] for r in got for k in asked)
+
+
+def test_similarity_within_a_page_is_that_of_its_fingerprints(spark):
+    from weftline.kernel import similarity as K
+
+    pages = spark.createDataFrame([(1, '<ul><li class="a">aaa</li><li class="b">aa</li></ul>'), (2, "<ul><li>x</ul>"), (3, "<p>")], "id long, html string")
+    li = E.fingerprints(pages, "li", keep=["id"]).groupBy("id").agg(F.min_by("element", "pos").alias("a"), F.max_by("element", "pos").alias("b"))
+    want = {r["id"]: r["s"] for r in li.select("id", relocate.similarity_score(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert {r["id"]: r["s"] for r in pages.select("id", relocate.similarity_within(F.col("html"), "li").alias("s")).collect()} == want | {3: None}
+    for a, b in (("aab", "ab"), ("", ""), ("", "a"), (["a"], ["a"]), (["a"], ["b"]), ("ab" * 150, "ab" * 150), ("ab" * 150, "ba" * 150)):
+        assert K.ratio(a, b) == SequenceMatcher(None, a, b).ratio()

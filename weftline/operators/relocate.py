@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.arrow import batched
 from ..functions.url import storage_key
 from ..kernel import dom, similarity
+from ..kernel.css import compile_query
 from ..kernel.dom import Page
-from .extract import ELEMENT, _element
+from .extract import ELEMENT, _element, page_udf
 
 LOG = logging.getLogger("weftline.relocate")
 _HIT = f"array<struct<node_id: int, html: string, score: double, element: {ELEMENT}>>"
@@ -49,6 +50,17 @@ def similarity_score(original: Column, candidate: Column) -> Column:
     return batched(lambda a, b: None if a is None or b is None else similarity.score(_dict(a), _dict(b)), "double")(original, candidate)
 
 
+def similarity_within(html: Column, query: str) -> Column:
+    """similarity_score of a page's last match of the query for its first; null if there is none."""
+    q = compile_query(query)
+
+    def run(p: Page) -> float | None:
+        found = p.select(q)
+        return similarity.score(dom.element_data(found[0]), dom.element_data(found[-1])) if found else None
+
+    return page_udf(run, "double", distinct=True)(html, F.lit(""))
+
+
 def relocate(pages: DataFrame, snapshots: DataFrame, threshold: float = similarity.THRESHOLD) -> DataFrame:
     """pages' columns but html, identifier, node_id, html, score: all elements of the best score that reaches the threshold.
 
@@ -65,8 +77,6 @@ def css_adaptive(pages: DataFrame, query: str, snapshots: DataFrame, identifier:
 
     Rows of pos 0 are what is to be saved as the new snapshot.
     """
-    from ..kernel.css import compile_query
-
     q, name = compile_query(query), identifier or query
     again = _relocate(threshold)
     row = f"array<struct<node_id: int, html: string, element: {ELEMENT}, relocated: boolean>>"

@@ -26,6 +26,9 @@ from .register import Registry, spread, table
 
 query = Registry()
 
+#: MB a task of events, of which each is a small page.
+_SHORT = 1.0
+
 # ---- bodies ----
 
 _zip = batched(lambda b: None if b is None else gzip.compress(b[: len(b) // 2], 1) + gzip.compress(b[len(b) // 2 :], 1), "binary")
@@ -197,8 +200,9 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches by text and pattern in a list of which one item differs; nodes are told by their place in document order."""
     h = F.col("html")
     html = F.format_string("<ul><li>click</li><li>%s</li><li>View <b>%s</b></li></ul>", "event_type", "event_type")
-    rows = spread(table(spark, sf_dir, "events").select("event_id", html.alias("html")))
-    got = rows.select("event_id", E.find_by_text(h, "click").alias("a"), E.find_by_text(h, "click", first=False).alias("b"), E.find_all_by_text(h, "CLICK", partial=True, case_sensitive=False).alias("c"), E.find_by_regex(h, "^View(purchase|click)$").alias("d"), E.find_by_regex(h, "(?i)CLICK").alias("e"), E.find_by_regex(h, "^View", first=False).alias("f"))
+    rows = spread(table(spark, sf_dir, "events").select("event_id", "event_type"), _SHORT).select("event_id", html.alias("html"))
+    asked = {"a": E.Search("click"), "b": E.Search("click", first=False), "c": E.Search("CLICK", many=True, partial=True, case_sensitive=False), "d": E.Search("^View(purchase|click)$", regex=True), "e": E.Search("(?i)CLICK", regex=True), "f": E.Search("^View", regex=True, first=False)}
+    got = rows.select("event_id", E.searches(h, asked).alias("s")).select("event_id", "s.*")
     return got.select("event_id", F.col("a.node_id").alias("first_exact"), F.col("b.node_id").alias("last_exact"), F.size("c").cast("long").alias("n_any_case"), F.col("d.node_id").alias("by_regex"), F.col("e.node_id").alias("container"), F.replace(F.col("f.text"), F.lit("View"), F.lit("View ")).alias("last_text"))
 
 
@@ -207,12 +211,11 @@ s AS (SELECT event_id, named, 2.0::DOUBLE * least(a, b) / (a + b) AS r FROM k)
 SELECT event_id, CASE WHEN named THEN floor((1.0::DOUBLE + r + 0.5 + 0.5 + 1.0 + 1.0 + 1.0 + 1.0) / 8 * 100 * 100 + 0.5) / 100 ELSE floor((1.0::DOUBLE + r + 1.0 + 1.0 + 1.0 + 1.0 + 1.0) / 7 * 100 * 100 + 0.5) / 100 END AS score FROM s""")
 def similarity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two items that differ in the length of their text, and in half of their class."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), _SHORT)
     named = F.when(F.col("event_type") == "click", F.lit(' class="{}"')).otherwise("")
     item = lambda n, name: F.concat(F.lit("<li"), F.replace(named, F.lit("{}"), F.lit(name)), F.lit(">"), F.repeat(F.lit("a"), (F.pmod(n, F.lit(40)) + 1).cast("int")), F.lit("</li>"))
-    li = E.fingerprints(e.select("event_id", F.concat(F.lit("<ul>"), item(F.col("user_id"), "xxyy"), item(F.col("event_id"), "xxzz"), F.lit("</ul>")).alias("html")), "li", keep=["event_id"])
-    both = li.groupBy("event_id").agg(F.min_by("element", "pos").alias("a"), F.max_by("element", "pos").alias("b"))
-    return both.select("event_id", relocate.similarity_score(F.col("a"), F.col("b")).alias("score"))
+    html = F.concat(F.lit("<ul>"), item(F.col("user_id"), "xxyy"), item(F.col("event_id"), "xxzz"), F.lit("</ul>"))
+    return e.select("event_id", relocate.similarity_within(html, "li").alias("score"))
 
 
 @query(f"""WITH l AS ({_LI}), c AS (SELECT page_id, pos, count(*) OVER (PARTITION BY page_id) AS n FROM l)
