@@ -54,7 +54,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the decoded text of all documents."""
     ship(spark, ROOT)
-    return sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    return sentencepiece_codec.round_trip(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -89,6 +89,43 @@ def test_runs_of_spaces_of_any_length(library):
         assert ids[off[i] : off[i + 1]].tolist() == library.encode(t), repr(t[:80])
 
 
+def test_work_of_a_character_has_no_part_of_the_longest_piece(library):
+    import sys
+
+    rng, c, calls = random.Random(5), S.codec(S.default_model()), 0
+    words = sorted({S.MARK + "".join(rng.choice("etaoinshr") for _ in range(40)) for _ in range(300)})
+    want, _ = c.encode_sorted(words)
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got, sizes = c.encode_sorted(words)
+    finally:
+        sys.setprofile(None)
+    # A piece has up to 16 characters: cutting each of them out at every character took more than 10 calls.
+    assert calls < 8 * sum(map(len, words))
+    assert got == want and got.tolist() == [i for w in words for i in library.encode(w[1:])] and len(sizes) == len(words)
+
+
+def test_what_the_codec_learned_is_forgotten_at_its_bound(library, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "MAX_PAIRS", 50)
+    monkeypatch.setattr(S, "WORDS", 7)
+    rng, c = random.Random(6), S.Codec.load(S.default_model())
+    stem = "".join(rng.choice("aeinrst") for _ in range(S.PREFIX + 9))
+    words = [stem[:n] + e for n in (S.PREFIX - 2, S.PREFIX - 1, S.PREFIX, S.PREFIX + 1, S.PREFIX + 9) for e in ("", "s", "\u2603\u0301", "🙂", "日本x", "é")]
+    texts = [" ".join(rng.choices(words + ["the", "", "", "ß", "\t", "\0", "a\0b"], k=12)) for _ in range(200)]
+    off, ids = c.encode_batch(pa.array(texts))
+    assert len(c.pairs) <= 50 and len(c.steps) <= 50
+    for i, t in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == library.encode(t), repr(t)
+    assert c.decode_batch(off, ids).to_pylist() == texts
+
+
 def test_odd_rows_of_the_codec(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "a b"), (3, "word " * 100_000)], DOC).withColumn("ids", F.lit("x")).withColumn("n_tokens", F.lit(0))
     got = S.decode(S.encode(docs)).collect()
@@ -96,6 +133,13 @@ def test_odd_rows_of_the_codec(spark):
     assert max(len(r["text"]) for r in got) == 500_000 and S.decode(S.encode(docs.where("false"))).count() == 0
 
 
+def test_one_pass_gives_what_encoding_and_then_decoding_give(spark):
+    docs = spark.createDataFrame([("a", None), ("b", ""), (None, "a b"), ("c", "  ▁x\ty  日本 "), *((str(k), "word " * k) for k in range(20))], "doc_id string, text string").withColumn("ids", F.lit("x"))
+    got, want = S.round_trip(docs), S.decode(S.encode(docs))
+    assert got.schema == want.schema and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert S.round_trip(docs.where("false")).count() == 0
+
+
 # ---- token rollup ----
 
 

@@ -19,9 +19,9 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sentencepiece_codec import decode, encode
+    from .sentencepiece_codec import round_trip
 
-    return decode(encode(_read(spark, sf_dir, "documents")))
+    return round_trip(_read(spark, sf_dir, "documents"))
 
 
 def op3_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

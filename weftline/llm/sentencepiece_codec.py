@@ -10,7 +10,9 @@ the best-scoring path.  So the forward table holds, for each prefix, the one
 last piece of that prefix's own segmentation in place of the best score: a piece
 may follow another if merging would leave just these two apart.  That is a
 forward pass of Viterbi's form with a yes/no score, and gives the library's ids
-exactly.  For models of the unigram kind the table holds the best sum of scores.
+exactly.  The pieces that end at a prefix are read off an automaton (Aho and
+Corasick's), so that the work of a character doesn't depend on the longest piece.
+For models of the unigram kind the table holds the best sum of scores.
 
 A run of spaces before a word takes no place in the trie: where pieces of marks alone
 are merged last and from the left, as in the public model, the run is cut into the
@@ -23,10 +25,12 @@ decoding ids gives back the text, with U+2581 read as a space.
 
 from __future__ import annotations
 
+import ctypes
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +48,13 @@ TRIE_BYTES = 8 << 20
 ROWS = 1500
 #: Words that are Python strings at a time.
 WORDS = 50_000
-#: Ids decoded at a time, and remembered pairs of pieces: bounds on memory alone.
+#: Characters up to which prefixes are shared and their ids kept whole; beyond, a word is followed back from its end.
+PREFIX = 32
+#: Ids decoded at a time, and remembered pairs of pieces, and steps of the automaton: bounds on memory alone.
 DECODE_IDS = 200_000
 MAX_PAIRS = 200_000
+#: Values copied at a time: their places take several times the room of the values.
+GATHER = 100_000
 
 
 def default_model() -> str:
@@ -63,20 +71,11 @@ class Codec:
         apart = {unknown, *special, *(range(bytes_from, bytes_from + 256) if bytes_from is not None else ())}
         self.ids = {p: i for i, p in enumerate(pieces) if i not in apart}
         self.scores = scores
-        self.longest = max(map(len, self.ids), default=1)
+        self.longest, self.length = max(map(len, self.ids), default=1), list(map(len, pieces))
         self.raw = [bytes([i - bytes_from]) if bytes_from is not None and bytes_from <= i < bytes_from + 256 else b"" if i in special else b" \xe2\x81\x87 " if i == unknown else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        if kind == "bpe":
-            # Ranks by order of merging; single characters come first.
-            order = sorted(self.ids.values(), key=lambda i: (len(pieces[i]) > 1, -scores[i], i))
-            self.rank = {i: k for k, i in enumerate(order)}
-            self.parts: dict[int, tuple[int, int]] = {}
-            self.made: dict[tuple[int, int], int] = {}
-            for i in order:
-                if len(p := pieces[i]) > 1 and set(p) != {MARK} and len(last := self.merge(p, i)) == 2:
-                    self.parts[i] = (last[0], last[1])
-                    self.made[last[0], last[1]] = i
-            self.follows: dict[tuple[int, int], bool] = {}
-            self.runs = self._runs()
+        # Decoding needs none of what merging and the automaton know, so that waits for the first word.
+        self.go: list[dict[str, int]] = []
+        self.runs = self._runs() if kind == "bpe" else None
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -174,50 +173,127 @@ class Codec:
     def _bytes(self, char: str) -> list[int]:
         return [self.unknown] if self.bytes_from is None else [self.bytes_from + b for b in char.encode("utf-8", "surrogatepass")]
 
+    def _merges(self) -> None:
+        """Ranks by order of merging, single characters first; the two parts of each piece that merging makes, and the piece of two parts."""
+        pieces, scores = self.pieces, self.scores
+        order = sorted(self.ids.values(), key=lambda i: (len(pieces[i]) > 1, -scores[i], i))
+        self.rank = {i: k for k, i in enumerate(order)}
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.made: dict[tuple[int, int], int] = {}
+        for i in order:
+            if len(p := pieces[i]) > 1 and set(p) != {MARK} and len(last := self.merge(p, i)) == 2:
+                self.parts[i] = (last[0], last[1])
+                self.made[last[0], last[1]] = i
+
+    def _automaton(self) -> None:
+        """The states of Aho and Corasick over the pieces that merging makes: a state is the longest suffix of the text that begins a piece.
+
+        go: the next state by character; ends: the pieces that are suffixes of the text, longest
+        first, each with minus its length and the pieces known to be left apart before it, or not.
+        """
+        self.go = [{}]
+        own: list[tuple[int, int, dict[int, bool]] | None] = [None]
+        for p, i in self.ids.items():
+            if len(p) == 1 or i in self.parts:
+                s = 0
+                for c in p:
+                    if (t := self.go[s].get(c)) is None:
+                        t = self.go[s][c] = len(self.go)
+                        self.go.append({})
+                        own.append(None)
+                    s = t
+                own[s] = (i, -len(p), {-1: True})
+        self.fail = [0] * len(self.go)
+        self.ends: list[tuple[tuple[int, int, dict[int, bool]], ...]] = [()] * len(self.go)
+        level = [0]
+        while level:
+            below = [(s, c, t) for s in level for c, t in self.go[s].items()]
+            for s, c, t in below:
+                f = self.fail[s]
+                while f and c not in self.go[f]:
+                    f = self.fail[f]
+                self.fail[t] = self.go[f].get(c, 0) if s else 0
+                self.ends[t] = (own[t], *self.ends[self.fail[t]]) if own[t] else self.ends[self.fail[t]]
+            level = [t for _, _, t in below]
+        self.known = {x[0]: x[2] for x in own if x}
+        #: What was learned: pairs of pieces (the later one first), and steps that leave the trie (state, character), as two numbers in one; both are forgotten at MAX_PAIRS.
+        self.pairs, self.steps = array("q"), array("q")
+
+    def _step(self, state: int, char: str) -> int:
+        """The state after a character that doesn't continue the state's text in the trie."""
+        if len(self.steps) >= MAX_PAIRS:
+            for x in self.steps:
+                del self.go[x >> 32][chr(x & 0xFFFFFFFF)]
+            del self.steps[:]
+        f = state
+        while f and char not in self.go[f]:
+            f = self.fail[f]
+        self.go[state][char] = to = self.go[f].get(char, 0)
+        self.steps.append(state << 32 | ord(char))
+        return to
+
+    def _follows(self, a: int, b: int) -> bool:
+        """apart(a, b), kept in known."""
+        if len(self.pairs) >= MAX_PAIRS:
+            for x in self.pairs:
+                del self.known[x >> 32][x & 0xFFFFFFFF]
+            del self.pairs[:]
+        ok = self.known[b][a] = self.apart(a, b)
+        self.pairs.append(b << 32 | a)
+        return ok
+
     def _bpe(self, words: Iterable[str]) -> tuple[array, array]:
-        ids, longest, follows, parts, pieces = self.ids, self.longest, self.follows, self.parts, self.pieces
-        last: list[int] = [-1]  # of each prefix: its last piece, or -1 - code
-        before = ""
+        if not self.go:
+            self._merges()
+            self._automaton()
+        go, ends, length = self.go, self.ends, self.length
+        # Of each prefix: its last piece, or -1 for a character without one (and for no text); its state; its ids, up to PREFIX characters.
+        last, states, paths = [-1], [0], [()]
         out, sizes = array("i"), array("i")
-        for w in words:
+        for w, k in (x for some in batched(words, WORDS) for x in zip(some, shared(some))):
             if w[:2] == MARK * 2:
                 back = self._after_marks(w)
                 out.extend(back)
                 sizes.append(len(back))
+                del last[1:], states[1:], paths[1:]
                 continue
-            n, k = min(len(w), len(before)), 0
-            while k < n and w[k] == before[k]:
-                k += 1
-            del last[k + 1 :]
-            before = w
-            for end in range(k + 1, len(w) + 1):
-                for start in range(max(0, end - longest), end):
-                    i = ids.get(w[start:end])
-                    if i is None or (end - start > 1 and i not in parts):
-                        continue
-                    if start == 0 or (p := last[start]) < 0:
-                        break
-                    ok = follows.get((p, i))
+            if len(last) <= k:  # after a run of marks
+                k = 0
+            del last[k + 1 :], states[k + 1 :], paths[k + 1 :]
+            s = states[k]
+            for c in w[k:]:
+                t = go[s].get(c)
+                s = self._step(s, c) if t is None else t
+                states.append(s)
+                for i, start, known in ends[s]:
+                    ok = known.get(last[start])
                     if ok is None:
-                        if len(follows) > MAX_PAIRS:
-                            follows.clear()
-                        ok = follows[p, i] = self.apart(p, i)
+                        ok = self._follows(last[start], i)
                     if ok:
+                        if len(last) <= PREFIX:
+                            paths.append(paths[start] + (i,))
+                        last.append(i)
                         break
                 else:
-                    i = -1 - ord(w[end - 1])
-                last.append(i)
+                    if (end := len(last)) <= PREFIX:
+                        paths.append((*paths[-1], *self._bytes(w[end - 1])))
+                    last.append(-1)
+            if len(w) <= PREFIX:
+                out.extend(paths[-1])
+                sizes.append(len(paths[-1]))
+                continue
             back, end = [], len(w)
-            while end:
+            while end > PREFIX:
                 i = last[end]
                 if i < 0:
                     back += reversed(self._bytes(w[end - 1]))
                     end -= 1
                 else:
                     back.append(i)
-                    end -= len(pieces[i])
+                    end -= length[i]
+            back += reversed(paths[end])
             back.reverse()
-            out.extend(back)
+            out.fromlist(back)
             sizes.append(len(back))
         return out, sizes
 
@@ -274,10 +350,13 @@ class Codec:
             bounds = np.append(starts, len(data))
             words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data))
             coded = words.dictionary_encode()
-            distinct = pc.replace_substring(coded.dictionary, " ", MARK)
-            order = pc.sort_indices(distinct)
-            ids, sizes = self.encode_sorted(w for k in range(0, len(order), WORDS) for w in distinct.take(order.slice(k, WORDS)).to_pylist())
-            order, flat, size = order.to_numpy(), np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
+            distinct = coded.dictionary
+            order = pc.sort_indices(distinct).to_numpy()
+            # Words that have one space at their start go first: joined, they are split at it.
+            runs = pc.starts_with(distinct, "  ").to_numpy(zero_copy_only=False)[order]
+            order = np.concatenate([order[~runs], order[runs]])
+            ids, sizes = self.encode_sorted(w for k in range(0, len(order), WORDS) for w in marked(distinct.take(pa.array(order[k : k + WORDS]))))
+            flat, size = np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
             length, begin = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
             length[order], begin[order] = size, np.cumsum(size) - size
             index = coded.indices.to_numpy()
@@ -306,11 +385,45 @@ class Codec:
             return pa.array([bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
 
+def shared(words: Sequence[str]) -> list[int]:
+    """The characters, up to PREFIX, that each word begins with as the one before it does."""
+    if len(words) < 2:
+        return [0] * len(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer(("".join(words) + "\0" * PREFIX).encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.lib.stride_tricks.sliding_window_view(points, PREFIX)[np.cumsum(size) - size]
+    other = first[1:] != first[:-1]
+    same = np.where(other.any(1), other.argmax(1), PREFIX)
+    return [0, *np.minimum(same, np.minimum(size[1:], size[:-1])).tolist()]
+
+
+def marked(words: pa.Array) -> list[str]:
+    """Words that begin with spaces, with marks in their place; those of one space before those of more."""
+    one = len(words) - pc.sum(pc.starts_with(words, "  ")).as_py()
+    data, off = T.buffers(words)
+    text = bytes(data[off[0] : off[one]]).decode()
+    return text.replace(" ", " " + MARK).split(" ")[1:] + [w.replace(" ", MARK) for w in words.slice(one).to_pylist()]
+
+
 def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """flat[begin : begin + length] of all rows, one after the other."""
     ends = np.cumsum(length)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(begin - (ends - length), length) + np.arange(total)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    i = 0
+    while i < len(ends):
+        at = int(ends[i] - length[i])
+        j = max(i + 1, int(np.searchsorted(ends, at + GATHER, "right")))
+        size, end = length[i:j], int(ends[j - 1])
+        out[at:end] = flat[np.repeat(begin[i:j] - (ends[i:j] - size), size) + np.arange(at, end)]
+        i = j
+    return out
+
+
+def give_back() -> None:
+    """Unused memory of Arrow, and of the C library where it is glibc, goes back to the system: idle workers count too."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 @lru_cache(2)
@@ -320,15 +433,18 @@ def codec(path: str) -> Codec:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Memory that an earlier stage, batch or task left unused goes back.
+        give_back()
         c = codec(path)
         for b in batches:
-            # Memory that an earlier stage or batch left unused goes back first.
             pa.default_memory_pool().release_unused()
             for i in range(0, b.num_rows, ROWS):
                 part = b.slice(i, ROWS)
                 off, ids = c.encode_batch(part.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(off), pa.int64())], names=["doc_id", "ids", "n_tokens"])
+                del part, off, ids, lists
+        give_back()
 
     return run
 
@@ -359,3 +475,9 @@ def _decode(path: str):
 def decode(coded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, text of every row of encode()'s kind."""
     return coded.select("doc_id", "ids", "n_tokens").mapInArrow(_decode(model or default_model()), f"doc_id {id_type(coded)}, ids array<int>, n_tokens long, text string")
+
+
+def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """decode(encode(docs)) in one pass: the ids of a batch are decoded where they were made, and leave Python once."""
+    encoded, decoded = _encode(path := model or default_model()), _decode(path)
+    return rows(docs).mapInArrow(lambda batches: decoded(encoded(batches)), f"doc_id {id_type(docs)}, ids array<int>, n_tokens long, text string")
